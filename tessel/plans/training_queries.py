@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions.keys import loose
+from tessel.operators import drift, nested
 from tessel.operators.references import orphan_counts, orphan_references
-from tessel.sources.tables import table
+from tessel.sources.tables import materialize, table
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +44,66 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_counts(_orphans(spark, d))
 
 
+GUIDELINE = nested.Nesting("@graph", {"@graph": ("rules", "grounding_provenance"), "rules": ("evidence",)}, ("@id", "@type"))
+VOTES = nested.Nesting("models", {"models": ("eval_trail",)}, ("model", "verdict"))
+
+
+def _objects(spark: SparkSession, d: str, source: str, with_fields: bool = True) -> DataFrame:
+    if source == "guideline_files":
+        return nested.flatten_json(table(spark, d, source), F.col("file_id").cast("string"), "payload", GUIDELINE, with_fields)
+    if source == "mollm_decisions":
+        return nested.flatten_json(table(spark, d, source), "mollm_call_id", "models", VOTES, with_fields)
+    key = F.concat("entity_id", F.lit("|"), "expanded_text")
+    return nested.flatten_typed(table(spark, d, source), key, "candidates", with_fields)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for source in ("guideline_files", "mollm_decisions", "normalized_entities"):
+        part = _objects(spark, d, source, False).select(F.lit(source).alias("parent_table"), F.col("key").alias("parent_key"), "child_path")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def _flat(source: str, table_path: str, columns: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: nested.flat_table(_objects(spark, d, source), table_path, columns).distinct()
+
+
+p2_nodes = _flat("guideline_files", "@graph", {"id": "@id", "type": "@type", "name": "name", "snomed": "snomed", "icd10": "icd10", "quality_flag": "quality_flag", "source_document": "provenance.source_document", "threshold_operator": "quantitative_threshold.operator", "threshold_lower_bound": "quantitative_threshold.lower_bound", "threshold_unit": "quantitative_threshold.unit"})
+p2_rules = _flat("guideline_files", "rules", {"predicate": "predicate", "target": "target", "rationale": "rationale", "citation": "citation", "citation_type": "citation_type", "citation_verbatim_excerpt": "citation_verbatim_excerpt"})
+p2_evidence = _flat("guideline_files", "evidence", {"kind": "kind", "grade": "grade"})
+p2_groundings = _flat("guideline_files", "grounding_provenance", {"source": "source", "tier": "tier", "grounded_at": "grounded_at"})
+p2_votes = _flat("mollm_decisions", "models", {"model": "model", "verdict": "verdict", "logprob_confidence": "logprob_confidence", "degenerate_generation": "degenerate_generation", "reasoning": "reasoning"})
+p2_trail = _flat("mollm_decisions", "eval_trail", {"candidate_index": "candidate_index", "accepted": "accepted", "error": "error"})
+p2_candidates = _flat("normalized_entities", "candidates", {"omop_concept_id": "omop_concept_id", "concept_name": "concept_name", "domain_id": "domain_id", "vocabulary_id": "vocabulary_id", "match_tier": "match_tier", "similarity_score": "similarity_score", "match_basis": "match_basis"})
+
+
+def _schemas(spark: SparkSession, d: str) -> DataFrame:
+    return drift.file_schemas(table(spark, d, "guideline_files"), GUIDELINE, file_id="file_id", series="series", version="version_no", payload="payload")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.schema_changes(_schemas(spark, d)).select("file_id", "field_path", "change_kind").distinct()
+
+
+def p6_schema(spark: SparkSession, d: str) -> DataFrame:
+    schemas = materialize(_schemas(spark, d), "schemas")
+    return drift.union_schema(schemas, drift.canonical_paths(drift.schema_changes(schemas), schemas))
+
+
+def p6_unified(spark: SparkSession, d: str) -> DataFrame:
+    schemas = materialize(_schemas(spark, d), "schemas")
+    canonical = drift.canonical_paths(drift.schema_changes(schemas), schemas)
+    names: dict[str, list[str]] = {}
+    for r in canonical.collect():
+        names.setdefault(r["canonical_path"], []).append(r["path"])
+    inner = ("rules.", "grounding_provenance.")
+    node = {p: n for p, n in names.items() if not p.startswith(inner)}
+    types = {r["field_path"]: r["types"].split("|") for r in drift.union_schema(schemas, canonical).collect()}
+    objects = _objects(spark, d, "guideline_files").where(F.col("table_path") == "@graph")
+    return drift.unified(objects, node, types).distinct()
+
+
 _P7 = r"""
 WITH k AS (
   SELECT 'normalized_entities' AS child_table, entity_id AS child_key, 'extracted_entities' AS parent, lower(trim(entity_id, E' \t\r\n\f\x0B ')) AS ref, created_at FROM normalized_entities
@@ -65,7 +126,21 @@ hit AS (
 )
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_found": p7_found, "p7_report": p7_report}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_nodes": p2_nodes,
+    "p2_rules": p2_rules,
+    "p2_evidence": p2_evidence,
+    "p2_groundings": p2_groundings,
+    "p2_votes": p2_votes,
+    "p2_trail": p2_trail,
+    "p2_candidates": p2_candidates,
+    "p6_found": p6_found,
+    "p6_schema": p6_schema,
+    "p6_unified": p6_unified,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+}
 ORACLES: dict[str, str] = {
     "p7_found": _P7 + "SELECT DISTINCT child_table, child_key, reason FROM hit WHERE reason IS NOT NULL",
     "p7_report": _P7
