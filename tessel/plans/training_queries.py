@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions.keys import loose
-from tessel.operators import drift, nested
+from tessel.operators import drift, nested, units
 from tessel.operators.references import orphan_counts, orphan_references
 from tessel.sources.tables import materialize, table
 
@@ -78,6 +78,21 @@ p2_trail = _flat("mollm_decisions", "eval_trail", {"candidate_index": "candidate
 p2_candidates = _flat("normalized_entities", "candidates", {"omop_concept_id": "omop_concept_id", "concept_name": "concept_name", "domain_id": "domain_id", "vocabulary_id": "vocabulary_id", "match_tier": "match_tier", "similarity_score": "similarity_score", "match_basis": "match_basis"})
 
 
+def _bounds(spark: SparkSession, d: str) -> DataFrame:
+    thresholds = table(spark, d, "quantitative_threshold").drop("operator", "upper_bound", "alternative_upper_bound", "source_document", "created_at").distinct()
+    return units.read_bounds(thresholds, table(spark, d, "measure_units"), row_id="threshold_id", measure="measure", lower_bound="lower_bound", unit="unit", alternative_lower_bound="alternative_lower_bound", alternative_unit="alternative_unit", condition_text="condition_text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    bounds = _bounds(spark, d).where(F.col("common_milli").isNotNull() & (F.col("unit_code") != F.col("common_unit")))
+    return bounds.select(F.col("row_id").alias("threshold_id"), F.col("common_milli").alias("lower_bound_milli")).distinct()
+
+
+def p3_units(spark: SparkSession, d: str) -> DataFrame:
+    assigned = units.assign_units(materialize(_bounds(spark, d), "bounds"), table(spark, d, "measure_units"))
+    return assigned.withColumnRenamed("row_id", "threshold_id")
+
+
 def _schemas(spark: SparkSession, d: str) -> DataFrame:
     return drift.file_schemas(table(spark, d, "guideline_files"), GUIDELINE, file_id="file_id", series="series", version="version_no", payload="payload")
 
@@ -135,6 +150,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_votes": p2_votes,
     "p2_trail": p2_trail,
     "p2_candidates": p2_candidates,
+    "p3_found": p3_found,
+    "p3_units": p3_units,
     "p6_found": p6_found,
     "p6_schema": p6_schema,
     "p6_unified": p6_unified,
