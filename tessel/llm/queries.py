@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import mapping
+from tessel.llm import confusables, leakage, mapping
 from tessel.sources.tables import table
 
 # What the labels of mentions are called in the reference list.
@@ -38,5 +38,39 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return _mapped(spark, d, _unmapped(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where("stretch > 0").select("doc_id", "item_id").distinct()
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    leaks = _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("covered").alias("most_covered"), F.max("stretch").alias("longest_stretch"))
+    items = table(spark, d, "eval_items").select("item_id", "suite").distinct()
+    return items.join(leaks, "item_id", "left").fillna({"n_documents": 0, "most_covered": 0.0, "longest_stretch": 0})
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return confusables.same_look_pairs(confusables.unify_texts(table(spark, d, "documents"), with_text=False))
+
+
+def p10_unified(spark: SparkSession, d: str) -> DataFrame:
+    return confusables.unify_texts(table(spark, d, "documents")).select("doc_id", "text", "repaired")
+
+
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return confusables.look_classes(confusables.unify_texts(table(spark, d, "documents"), with_text=False))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_unified": p10_unified,
+    "p10_classes": p10_classes,
+}
 ORACLES: dict[str, str] = {}
