@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: ASCII blanks and the no-break space, as they stand around keys.
-BLANKS = " \t\r\n\f\u000b "
+BLANKS = " \t\r\n\f\u000b\u00a0"
 
 
 def loose(col: Column | str) -> Column:
