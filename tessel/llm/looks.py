@@ -9,10 +9,10 @@ CYRILLIC_AS = "ABESIJKMHOPCTXYaesijopcxyhdqwlv"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳ"
 GREEK_AS = "ABEZHIKMNOPTYXovj"
 # Characters that show nothing of their own.
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎᠏​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯ㅤ﻿ﾠ"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u180f\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0"
 # One blank of any width, and hyphens of one look.
-SPACES = "           　"
-HYPHENS = "‐‑"
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+HYPHENS = "\u2010\u2011"
 
 TO_LATIN = {ord(a): b for a, b in zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)}
 TO_LATIN |= {ord(unicodedata.normalize("NFC", a + m)): unicodedata.normalize("NFC", b + m) for a, b in zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS) for m in "̀́̂̃̆̈̄̌̊̇" if len(unicodedata.normalize("NFC", a + m)) == 1 and len(unicodedata.normalize("NFC", b + m)) == 1}
@@ -24,7 +24,7 @@ class _Widths(dict):
     def __missing__(self, code: int) -> str | int:
         c = chr(code)
         kind = unicodedata.decomposition(c).split(" ", 1)[0]
-        out: str | int = code
+        out: str | int = unicodedata.normalize("NFC", c) if unicodedata.decomposition(c) else code
         if c in INVISIBLE or 0xFE00 <= code <= 0xFE0F or 0xE0000 <= code <= 0xE01EF:
             out = ""
         elif c in SPACES:
