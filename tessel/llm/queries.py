@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import confusables, leakage, mapping
+from tessel.llm import confusables, consensus, leakage, mapping
+from tessel.operators.nested import Nesting, flatten_json
 from tessel.sources.tables import table
 
 # What the labels of mentions are called in the reference list.
@@ -38,6 +39,36 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return _mapped(spark, d, _unmapped(spark, d))
 
 
+def _votes(spark: SparkSession, d: str) -> DataFrame:
+    votes = Nesting("models", {"models": ()}, ("model", "verdict"))
+    f = F.col("fields")
+    text = lambda name: F.regexp_replace(f[name], '^"|"$', "")
+    a = flatten_json(table(spark, d, "mollm_decisions"), "mollm_call_id", "models", votes)
+    a = a.select(F.col("key").alias("item_id"), text("model").alias("model"), text("verdict").alias("verdict"), F.col("ordinal").alias("position"), F.coalesce(f["degenerate_generation"] == "true", F.lit(False)).alias("bad"))
+    b = table(spark, d, "mollm_tier_gate_decisions").select(F.col("mollm_call_id").alias("item_id"), F.posexplode("models").alias("position", "m"))
+    b = b.select("item_id", "m.model", "m.verdict", "position", F.coalesce("m.degenerate_generation", F.lit(False)).alias("bad"))
+    return consensus.clean_votes(
+        a.unionByName(b).select("item_id", consensus.annotator_name(F.col("model")).alias("annotator"), consensus.verdict_name(F.col("verdict")).alias("label"), "position", (~F.col("bad")).alias("usable"))
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    items = consensus.weigh_votes(_votes(spark, d)).items.where("n_annotators >= 3")
+    return items.select(F.col("item_id").alias("mollm_call_id"), F.col("label").alias("verdict"))
+
+
+def p4_items(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.weigh_votes(_votes(spark, d)).items.withColumnRenamed("item_id", "mollm_call_id")
+
+
+def p4_models(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.weigh_votes(_votes(spark, d)).annotators.withColumnRenamed("annotator", "model")
+
+
+def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.chance_corrected(_votes(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).where("stretch > 0").select("doc_id", "item_id").distinct()
 
@@ -67,6 +98,10 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p4_found": p4_found,
+    "p4_items": p4_items,
+    "p4_models": p4_models,
+    "p4_agreement": p4_agreement,
     "p9_found": p9_found,
     "p9_report": p9_report,
     "p10_found": p10_found,
