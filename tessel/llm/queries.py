@@ -5,9 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import confusables, consensus, leakage, mapping
+from tessel.llm import confusables, consensus, leakage, mapping, packing, splits
 from tessel.operators.nested import Nesting, flatten_json
-from tessel.sources.tables import table
+from tessel.sources.tables import materialize, table
 
 # What the labels of mentions are called in the reference list.
 DOMAINS = {"Condition": "Condition", "Medication": "Drug", "Lab Test": "Measurement", "Procedure": "Procedure", "Observation": "Observation"}
@@ -69,6 +69,47 @@ def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.chance_corrected(_votes(spark, d))
 
 
+SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
+LABELS = tuple(DOMAINS)
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    return splits.group_notes(table(spark, d, "extracted_entities"), table(spark, d, "note_index"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.torn_groups(_notes(spark, d))
+
+
+def p5_split(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "extracted_entities").where("note_id IS NOT NULL")
+    per_note = rows.groupBy("note_id").agg(F.count("*").alias("n_rows"), *(F.count_if(F.col("entity_label") == x).alias(x) for x in LABELS))
+    notes = materialize(_notes(spark, d).select("note_id", "component").join(per_note, "note_id"), "notes")
+    sizes = notes.groupBy("component").agg(F.sum("n_rows").alias("n_rows"), *(F.sum(x).alias(x) for x in LABELS))
+    assigned = splits.split_components(sizes, SHARES, labels=list(LABELS))
+    return notes.join(assigned, "component").select("note_id", "component", "split", "n_rows")
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    rows = p5_split(spark, d)
+    return rows.groupBy("split").agg(F.count("*").alias("n_notes"), F.countDistinct("component").alias("n_groups"), F.sum("n_rows").alias("n_rows"))
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    sizes = materialize(packing.token_counts(table(spark, d, "documents")), "tokens")
+    out = None
+    for r in sorted(table(spark, d, "pack_budgets").where("capacity_tokens > 0").distinct().collect(), key=lambda r: r["capacity_tokens"]):
+        part = packing.pack(sizes, r["capacity_tokens"]).withColumn("budget_name", F.lit(r["budget_name"]))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    used = p8_pack(spark, d).where("container IS NOT NULL").groupBy("budget_name", "container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"))
+    fill = used.groupBy("budget_name").agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.sum("items").alias("n_items"), F.max("used").alias("fullest"))
+    return fill.join(table(spark, d, "pack_budgets").distinct(), "budget_name").withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).where("stretch > 0").select("doc_id", "item_id").distinct()
 
@@ -102,10 +143,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_items": p4_items,
     "p4_models": p4_models,
     "p4_agreement": p4_agreement,
+    "p5_found": p5_found,
+    "p5_split": p5_split,
+    "p5_shares": p5_shares,
+    "p8_pack": p8_pack,
+    "p8_report": p8_report,
     "p9_found": p9_found,
     "p9_report": p9_report,
     "p10_found": p10_found,
     "p10_unified": p10_unified,
     "p10_classes": p10_classes,
 }
-ORACLES: dict[str, str] = {}
+_P5 = r"""
+WITH RECURSIVE raw AS (
+  SELECT lower(trim(note_id)) AS n, lower(trim(encounter_ref)) AS e, lower(trim(copied_from)) AS c FROM note_index
+), idx AS (
+  SELECT coalesce(CAST(TRY_CAST(nullif(regexp_extract(n, '^([0-9]+)', 1), '') AS HUGEINT) AS VARCHAR), 'note:' || n) AS s, nullif(e, '') AS e,
+    CASE WHEN c <> '' THEN coalesce(CAST(TRY_CAST(nullif(regexp_extract(c, '^([0-9]+)', 1), '') AS HUGEINT) AS VARCHAR), 'note:' || c) END AS c FROM raw
+), ties AS (
+  SELECT DISTINCT a.s AS x, b.s AS y FROM idx a JOIN idx b ON a.e = b.e AND a.s <> b.s
+  UNION SELECT s, c FROM idx WHERE c IS NOT NULL AND c <> s UNION SELECT c, s FROM idx WHERE c IS NOT NULL AND c <> s
+), reach AS (
+  SELECT x AS node, x AS seen FROM ties UNION SELECT reach.node, ties.y FROM reach JOIN ties ON reach.seen = ties.x
+), comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
+notes AS (
+  SELECT note_id, bool_or(coalesce(is_test, false)) AS t, bool_or(NOT coalesce(is_test, false)) AS o,
+    coalesce(CAST(TRY_CAST(nullif(regexp_extract(lower(trim(note_id)), '^([0-9]+)', 1), '') AS HUGEINT) AS VARCHAR), 'note:' || lower(trim(note_id))) AS s
+  FROM extracted_entities WHERE trim(note_id) <> '' GROUP BY note_id
+), grouped AS (SELECT notes.*, coalesce(component, s) AS g FROM notes LEFT JOIN comp ON s = node),
+torn AS (SELECT g, min(note_id) AS group_note_id FROM grouped GROUP BY g HAVING count(*) >= 2 AND bool_or(t) AND bool_or(o))
+SELECT group_note_id, note_id FROM grouped JOIN torn USING (g) WHERE note_id <> group_note_id
+"""
+ORACLES: dict[str, str] = {"p5_found": _P5}
