@@ -101,7 +101,7 @@ def names_same(value: str, name: str, general: frozenset[str]) -> bool:
     own = [w for w in theirs if w not in general]
     if not own:
         return mine == theirs
-    return all(any(_near(w, m, 0 if len(w) <= 4 else 1 + (len(w) >= 8)) for m in mine) for w in own)
+    return all(any(_near(w, m, 0 if len(w) <= 4 else 1 + (len(w) >= 9)) for m in mine) for w in own)
 
 
 def _spread(df: DataFrame, columns: str, general: frozenset[str], forms) -> DataFrame:
@@ -145,11 +145,11 @@ def map_values(
     Returns (value, kind, entry_id, matched_name, score, status), a row per distinct (value, kind);
     status is matched, unmatched, ambiguous, withdrawn (the entry is not usable) or blank.
 
-    Values are deduplicated and brought to one spelling, candidates come from an inverted index of
-    character bigrams and trigrams, and the score is the cosine weighted by the rarity of the grams among all
-    values and names. Only the rarest grams of a value are looked up, as many as any name above
-    ``threshold`` must share, so the commonest grams never meet and no candidate is lost. A best score
-    without ``margin`` over every other entry is taken only if it alone has the value's kind.
+    Values are deduplicated and brought to one spelling. Candidates come from an inverted index of the
+    character trigrams of the names' particular words: a word within the edits that are forgiven here
+    always shares one, so no candidate is lost, and common words never meet. The score is the cosine
+    weighted by the rarity of the character bigrams and trigrams among all values and names. A best
+    score without ``margin`` over every other entry is taken only if it alone has the value's kind.
 
     Null and blank values have status blank; ties no kind settles are ambiguous; an empty list
     leaves every value unmatched; repeated rows count once; null kinds settle no tie.
@@ -171,36 +171,31 @@ def map_values(
         flat = df.select(key, F.explode("grams").alias("gram")).join(weight, "gram")
         return flat.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("w", "gram")), asc=False).alias("grams"))
 
-    v = weighted(forms, "form").withColumn("norm", F.sqrt(F.aggregate("grams", F.lit(0.0), lambda a, g: a + g["w"] * g["w"])))
-    # rest(i): weight from the i-th gram on; a name that shares none before cannot reach the threshold
-    v = v.withColumn("_rest", F.aggregate(
-        "grams",
-        F.struct(F.lit(0).alias("n"), (F.col("norm") * F.col("norm")).alias("left")),
-        lambda a, g: F.when(F.sqrt(F.greatest(a["left"], F.lit(0.0))) >= threshold * F.col("norm") - 1e-9, F.struct((a["n"] + 1).alias("n"), (a["left"] - g["w"] * g["w"]).alias("left"))).otherwise(a),
-    ))
-    v = materialize(v.select("form", "grams", F.col("norm").alias("na"), F.col("_rest.left").alias("rest"), F.slice("grams", 1, F.col("_rest.n")).alias("rare")), "forms")
-    c = weighted(listed.select(F.col("form").alias("name"), "grams").dropDuplicates(["name"]), "name")
-    c = materialize(c.withColumn("nb", F.sqrt(F.aggregate("grams", F.lit(0.0), lambda a, g: a + g["w"] * g["w"]))), "entries")
-
-    index = c.select("name", "nb", F.explode("grams.gram").alias("gram"))
-    looked = v.select("form", "na", "rest", F.explode("rare").alias("g")).select("form", "na", "rest", F.col("g.gram").alias("gram"), (F.col("g.w") * F.col("g.w")).alias("ww"))
-    # what the rare grams gave and the others can still give bounds the cosine
-    pairs = looked.join(index, "gram").groupBy("form", "name", "na", "nb", "rest").agg(F.sum("ww").alias("dot"))
-    pairs = pairs.where(F.col("dot") + F.greatest("rest", F.lit(0.0)) >= (threshold - 1e-9) * F.col("na") * F.col("nb")).select("form", "name", "na", "nb")
-    both = pairs.join(v.select("form", F.col("grams").alias("a")), "form").join(c.select("name", F.col("grams").alias("b")), "name")
-
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    norm = F.sqrt(F.aggregate("grams", F.lit(0.0), lambda a, g: a + g["w"] * g["w"]))
+    v = materialize(weighted(forms, "form").select("form", "grams", norm.alias("na")), "forms")
+    c = weighted(listed.select(F.col("form").alias("name"), "grams").dropDuplicates(["name"]), "name").select("name", "grams", norm.alias("nb"))
+    c = materialize(c, "entries")
+
+    # the particular words of values and names meet over their trigrams; words too far apart for names_same part again
+    common = F.array(*(F.lit(g) for g in sorted(general))) if general else F.array().cast("array<string>")
+    split = lambda df, x: df.select(x, F.explode(F.array_except(F.split(x, " "), common)).alias("word"))
+    mine, theirs = split(v.select("form"), "form"), split(c.select("name"), "name")
+    trigrams = lambda word: F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(F.concat(F.lit("#"), word, F.lit("#")), i, F.lit(3)))
+    index = theirs.select("word").distinct().select(F.col("word").alias("m"), F.explode(F.array_distinct(trigrams(F.col("word")))).alias("gram"))
+    asked = mine.select("word").distinct().select(F.col("word").alias("w"), F.explode(F.array_distinct(trigrams(F.col("word")))).alias("gram"))
+    near = asked.join(index, "gram").where((F.abs(F.length("w") - F.length("m")) <= 2) & (F.levenshtein("w", "m", 4) >= 0)).select("w", "m").distinct()
+    pairs = mine.join(near, F.col("word") == F.col("w")).join(theirs.withColumnRenamed("word", "t"), F.col("t") == F.col("m")).select("form", "name")
+    pairs = pairs.union(v.join(c, F.col("form") == F.col("name")).select("form", "name")).distinct()
+    both = pairs.join(v.select("form", F.map_from_entries(F.transform("grams", lambda g: F.struct(g["gram"], g["w"]))).alias("a"), "na"), "form").join(c.select("name", "grams.gram", "nb"), "name")
+    dot = F.aggregate(F.filter("gram", lambda g: F.map_contains_key("a", g)), F.lit(0.0), lambda s, g: s + F.col("a")[g] * F.col("a")[g])
+    both = both.select("form", "name", F.least(F.lit(1.0), F.round(dot / (F.col("na") * F.col("nb")), 9)).alias("score")).where(F.col("score") >= threshold)
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for name, form, a, na, b, nb in zip(*(batch.column(x).to_pylist() for x in ("name", "form", "a", "na", "b", "nb"))):
-                w = {g["gram"]: g["w"] for g in a}
-                s = sum(g["w"] ** 2 for g in b if g["gram"] in w) / (na * nb)
-                if s >= threshold and names_same(form, name, general):
-                    rows.append((form, name, min(1.0, round(s, 9))))
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["form", "name", "score"])
-
-    scored = both.mapInArrow(score, "form string, name string, score double")
+            keep = [i for i, (f, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())) if names_same(f, n, general)]
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    scored = both.mapInArrow(check, "form string, name string, score double")
     hits = typed.select("value", "form").join(scored, "form").join(listed.select(F.col("form").alias("name"), "entry_id", F.col("kind").alias("entry_kind"), "usable"), "name")
     # the two best entries of each kind say all that the margin and the kind can ask
     best = hits.groupBy("value", "entry_id", "entry_kind", "usable").agg(F.max(F.struct("score", "name")).alias("top"))
