@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.plans import training_queries
+from tessel.plans import table_queries, training_queries
 
-MODULES = [training_queries]
+MODULES = [training_queries, table_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
