@@ -248,7 +248,7 @@ def _(t: Loader):
     return t.extracted_entities.where("is_test").select("note_id").intersect(t.mollm_decisions.where("NOT is_test").select("note_id"))
 
 
-@query("set03_merge_with_cap", "SELECT DISTINCT entity_id, expanded_text, CAST(list_slice(list_concat(list_transform(list_filter(candidates, lambda c: c IS NOT NULL), lambda c: c.omop_concept_id), [omop_concept_id]), 1, 3) AS VARCHAR) AS ids FROM normalized_entities WHERE candidates IS NOT NULL AND omop_concept_id IS NOT NULL AND NOT list_contains(list_transform(candidates, lambda c: c.omop_concept_id), NULL)")
+@query("set03_merge_with_cap", "SELECT DISTINCT entity_id, expanded_text, CAST(list_slice(list_concat(list_transform(list_filter(candidates, lambda c: c IS NOT NULL), lambda c: c.omop_concept_id), [omop_concept_id]), 1, 3) AS VARCHAR) AS ids FROM normalized_entities WHERE candidates IS NOT NULL AND omop_concept_id IS NOT NULL")
 def _(t: Loader):
     ids = F.transform(F.filter("candidates", lambda c: c.isNotNull()), lambda c: c["omop_concept_id"])
     merged = F.slice(F.concat(ids, F.array("omop_concept_id")), 1, 3)
