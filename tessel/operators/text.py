@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HEADER = r"^[ \t]*([A-Z][A-Za-z0-9 /\-'&.]{2,45}?):"
 _SPAN = "start int, end int"
@@ -258,7 +259,7 @@ def name_agreement(ratio: Column) -> Column:
     return F.when(ratio >= 0.75, "agree").when(ratio >= 0.45, "weak").otherwise("reject")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def containment(needle, text):
     """Length of the longest common stretch over the needle's length."""
     return needle.combine(text, lambda a, b: None if a is None or b is None else 0.0 if not a else round(SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size / len(a), 4))
@@ -280,7 +281,7 @@ def repetition(text: Column, n: int = 6, least: int = 40) -> Column:
     return measure(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def lenient_json(text):
     """JSON as text: as is, without a code fence, or the widest {...} that parses; else null."""
 
