@@ -1,7 +1,9 @@
 """Consensus from several annotators' labels (problem 4)."""
 
 import math
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,30 +87,52 @@ def weigh_votes(
     accuracy = dict.fromkeys(names, 0.7)
     trust = {(r["annotator"], r["label"]): 0.7 for r in used}
 
-    def scored(df: DataFrame) -> DataFrame:
-        table = F.create_map(*(F.lit(x) for r in used for x in (f"{r['annotator']}\t{r['label']}", weight[r["annotator"], r["label"]])))
-        df = df.withColumn("w", F.transform("votes", lambda v: F.struct(v["label"].alias("label"), v["annotator"].alias("annotator"), table[F.concat(v["annotator"], F.lit("\t"), v["label"])].alias("w"))))
-
-        def one(i: int, label: str) -> Column:
-            own = F.aggregate("w", F.lit(0.0), lambda a, x: a + F.when(x["label"] == label, x["w"]).otherwise(0.0))
-            return F.struct((F.lit(math.log(share[label])) + own).alias("s"), F.lit(-i).alias("o"), F.lit(label).alias("label"))
-
-        # ties: the label more common so far, then string order
-        return df.withColumn("scores", F.array(*(one(i, x) for i, x in enumerate(sorted(labels, key=lambda x: (-share[x], x))))))
-
-    def others(v: Column) -> Column:
-        """The scores without the vote v."""
-        return F.transform("scores", lambda s: F.struct(F.when(s["label"] == v["label"], s["s"] - v["w"]).otherwise(s["s"]).alias("s"), s["o"].alias("o"), s["label"].alias("label")))
-
-    def support(scores: Column) -> Column:
-        return 1 / F.aggregate(scores, F.lit(0.0), lambda a, s: a + F.exp(s["s"] - F.array_max(scores)["s"]))
+    def scores_of(votes: list[dict]) -> tuple[list[float], dict[str, int]]:
+        """Each label's score, in the order that settles ties: the more common label, then string order."""
+        order = sorted(labels, key=lambda x: (-share[x], x))
+        place = {x: i for i, x in enumerate(order)}
+        s = [math.log(share[x]) for x in order]
+        for v in votes:
+            s[place[v["label"]]] += weight[v["annotator"], v["label"]]
+        return s, place
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        for batch in batches:
+            for votes, n in zip(batch.column("votes").to_pylist(), batch.column("n").to_pylist()):
+                s, place = scores_of(votes)
+                order = list(place)
+                label = order[max(range(len(s)), key=lambda i: (s[i], -i))]
+                for v in votes:
+                    own, w = place[v["label"]], weight[v["annotator"], v["label"]]
+                    s[own] -= w
+                    top = max(range(len(s)), key=lambda i: (s[i], -i))
+                    p = 1 / sum(math.exp(x - s[top]) for x in s)
+                    s[own] += w
+                    cell = sums.setdefault((v["annotator"], v["label"], order[top], label), [0, 0.0])
+                    cell[0] += n if p >= sure and len(votes) > 1 else 0
+                    cell[1] += n / len(votes)
+        cols = list(zip(*((*k, *c) for k, c in sums.items()))) or [()] * 6
+        kinds = [pa.string()] * 4 + [pa.int64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["annotator", "said", "told", "label", "n", "items"])
+
+    def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for pattern, votes in zip(batch.column("pattern").to_pylist(), batch.column("votes").to_pylist()):
+                s, place = scores_of(votes)
+                top = max(range(len(s)), key=lambda i: (s[i], -i))
+                label = list(place)[top]
+                out.append((pattern, label, len(votes), 1 / sum(math.exp(x - s[top]) for x in s), sum(v["label"] == label for v in votes) / len(votes)))
+            cols = list(zip(*out)) or [()] * 5
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["pattern", "label", "n_annotators", "support", "agreement"])
 
     rounds = 0
     while used and rounds < max_rounds:
         rounds += 1
-        won = scored(each).select("n", F.array_max("scores")["label"].alias("label"), F.transform("w", lambda v: F.struct(v["annotator"].alias("annotator"), v["label"].alias("said"), others(v).alias("o"))).alias("v"))
-        won = won.select("n", "label", F.size("v").alias("size"), F.explode("v").alias("v")).select("n", "label", "size", "v.annotator", "v.said", F.array_max("v.o")["label"].alias("told"), support(F.col("v.o")).alias("p"))
-        rows = won.groupBy("annotator", "said", "told", "label").agg(F.sum(F.when((F.col("p") >= sure) & (F.col("size") > 1), F.col("n")).otherwise(0)).alias("n"), F.sum(F.col("n") / F.col("size")).alias("items")).collect()
+        told = each.select("votes", "n").mapInArrow(learn, "annotator string, said string, told string, label string, n long, items double")
+        rows = told.groupBy("annotator", "said", "told", "label").agg(F.sum("n").alias("n"), F.sum("items").alias("items")).collect()
         seen: dict[tuple[str, str], float] = {}
         said: dict[tuple[str, str], float] = {}
         hits: dict[tuple[str, str], float] = {}
@@ -136,12 +160,7 @@ def weigh_votes(
                     trust[a, x] = (h + smoothing * new) / (said.get((a, x), 0) + smoothing)
         if moved < tolerance:
             break
-    if used:
-        done = scored(each).withColumn("label", F.array_max("scores")["label"]).withColumn("support", support(F.col("scores")))
-    else:
-        done = each.withColumn("label", F.lit(None).cast("string")).withColumn("support", F.lit(None).cast("double"))
-    agreeing = F.size(F.filter("votes", lambda v: v["label"] == F.col("label"))) / F.size("votes")
-    done = done.select("pattern", "label", F.size("votes").alias("n_annotators"), "support", agreeing.alias("agreement"))
+    done = each.select("pattern", "votes").mapInArrow(decide, "pattern string, label string, n_annotators int, support double, agreement double")
     items = pattern.select("item_id", "pattern").join(done, "pattern").drop("pattern")
     rows = [(a, float(accuracy[a]), max(t := [p for (b, _), p in trust.items() if b == a]), min(t), sum(r["n"] for r in used if r["annotator"] == a)) for a in names]
     return Consensus(items, votes.sparkSession.createDataFrame(rows, "annotator string, accuracy double, best_label_accuracy double, worst_label_accuracy double, n_votes long"), rounds)
