@@ -156,7 +156,7 @@ def map_values(
     """
     spark = values.sparkSession
     names = names.select("entry_id", "kind", "name", "usable").where(F.col("name").isNotNull()).distinct()
-    general = general_words(names)
+    general = general_words(names).union(*OPPOSITES)
     distinct = values.select("value", "kind").distinct()
     typed = materialize(_spread(distinct.select("value", F.col("value").alias("text")).where("value IS NOT NULL").distinct(), "value string", general, forms_of), "values")
     listed = _spread(names.select("entry_id", "kind", "usable", "name"), "entry_id long, kind string, usable boolean", general, lambda t, g: [" ".join(tokens_of(t, g))] if t else [])
