@@ -168,8 +168,8 @@ def numeric_context(text: Column, start: Column, end: Column) -> Column:
 
 
 def join_soft_wraps(text: Column) -> Column:
-    """Line breaks before a lower-case line, not beside a blank line, as one blank."""
-    return F.regexp_replace(text, r"(?<=\S)[ \t]*\n[ \t]*(?=[a-zäöüàéèê])", " ")
+    """Line breaks before a lower-case line of any script, not beside a blank line, as one blank."""
+    return F.regexp_replace(text, r"(?<=[^ \t\r\n])[ \t]*\r?\n[ \t]*(?=\p{IsLowercase})", " ")
 
 
 def context_words(text: Column, start: Column, end: Column, reach: int = 60, n: int = 3) -> Column:
@@ -230,9 +230,9 @@ def is_structured_result(text: Column) -> Column:
 
 # Cue words before a mention, in order of precedence.
 CUES = (
-    ("ABSENT", r"(?i)\b(?:no|denies|without|negative for|absence of)\b"),
-    ("HYPOTHETICAL", r"(?i)\b(?:if|should|in case of)\b"),
-    ("POSSIBLE", r"(?i)\b(?:possible|may|suspected|likely)\b"),
+    ("ABSENT", r"(?iU)\b(?:no|denies|without|negative for|absence of)\b"),
+    ("HYPOTHETICAL", r"(?iU)\b(?:if|should|in case of)\b"),
+    ("POSSIBLE", r"(?iU)\b(?:possible|may|suspected|likely)\b"),
 )
 
 

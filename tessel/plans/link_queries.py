@@ -188,12 +188,13 @@ def _(t: Loader):
 @query("jn17_token_subset", """WITH w AS (SELECT concept_id, list_distinct(string_split(lower(concept_name), ' ')) AS ws FROM concept), q AS (SELECT DISTINCT lower(expanded_text) AS text, list_distinct(string_split(lower(expanded_text), ' ')) AS qs FROM normalized_entities WHERE regexp_matches(expanded_text, '^[a-zA-Z]+( [a-zA-Z]+)*$'))
 SELECT text, concept_id FROM q JOIN w ON list_has_all(ws, qs) AND len(qs) >= 2""")
 def _(t: Loader):
-    c = t.concept.select("concept_id", F.array_distinct(F.split(F.lower("concept_name"), " ")).alias("ws"))
-    q = t.normalized_entities.where(F.col("expanded_text").rlike("^[a-zA-Z]+( [a-zA-Z]+)*$")).select(F.lower("expanded_text").alias("text")).distinct().withColumn("qs", F.array_distinct(F.split("text", " "))).where(F.size("qs") >= 2)
+    words = lambda c: F.array_remove(F.array_distinct(F.split(F.lower(c), r"\s+")), "")
+    c = t.concept.select("concept_id", words("concept_name").alias("ws"))
+    q = t.normalized_entities.select(F.lower("expanded_text").alias("text")).distinct().withColumn("qs", words("text")).where(F.size("qs") >= 2)
     counts = c.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     # a name that has all words of a mention has its rarest one, so they meet on that
-    words = q.select("text", "qs", F.explode("qs").alias("word")).join(counts, "word", "left")
-    rare = words.groupBy("text", "qs").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    asked = q.select("text", "qs", F.explode("qs").alias("word")).join(counts, "word", "left")
+    rare = asked.groupBy("text", "qs").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
     return rare.join(c.select("concept_id", "ws", F.explode("ws").alias("word")), "word").where(F.size(F.array_except("qs", "ws")) == 0).select("text", "concept_id").distinct()
 
 

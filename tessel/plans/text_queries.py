@@ -11,13 +11,10 @@ from tessel.plans.registry import Loader, Registry
 query = Registry()
 TERMS = ["mg", "acute", "chronic", "serum", "daily", "left", "right", "stable"]
 _T = "(VALUES " + ", ".join(f"('{t}')" for t in TERMS) + ") t(term)"
+# The SQL of these queries covers only ASCII texts, where both regex dialects agree; the queries take every text.
 _ASCII = "text IS NOT NULL AND regexp_matches(text, '^[\\x20-\\x7e\\n]*$')"
 
 
-def _docs(t: Loader):
-    return t.documents.where(F.col("text").rlike(r"^[\x20-\x7e\n]*$"))
-
-
 @query("tx01_sections")
 def _(t: Loader):
     return tx.sections(t.documents, "doc_id", "text")
@@ -25,7 +22,7 @@ def _(t: Loader):
 
 @query("tx01_section_counts", r"SELECT doc_id, len(regexp_extract_all(text, '(?m)^[ \t]*([A-Z][A-Za-z0-9 /\-''&.]{2,45}?):')) AS n FROM documents WHERE " + _ASCII + r" AND regexp_matches(text, '(?m)^[ \t]*([A-Z][A-Za-z0-9 /\-''&.]{2,45}?):')")
 def _(t: Loader):
-    return tx.sections(_docs(t), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return tx.sections(t.documents, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("tx02_abbreviation_table", "SELECT lower(original_text) AS abbreviation, array_to_string(list_sort(list_distinct(list(expanded_text))), '|') AS meanings FROM extracted_entities WHERE length(original_text) <= 5 AND expanded_text IS NOT NULL GROUP BY 1")
@@ -39,13 +36,12 @@ _EXPAND = {"daily": "each day", "mg": "milligrams", "left": "left-sided"}
 
 @query("tx03_expand_abbreviations", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(^|[^A-Za-z0-9/])mg([^A-Za-z0-9/]|$)', '\\1milligrams\\2', 'g'), '(^|[^A-Za-z0-9/])daily([^A-Za-z0-9/]|$)', '\\1each day\\2', 'g'), '(^|[^A-Za-z0-9/])left([^A-Za-z0-9/]|$)', '\\1left-sided\\2', 'g') AS expanded FROM documents WHERE " + _ASCII + " AND NOT regexp_matches(text, '(?i)(MG|Mg|mG|DAILY|Daily|LEFT|Left|(mg|daily|left)[^A-Za-z0-9/](mg|daily|left))', 's') AND NOT regexp_matches(text, 'MG|Mg')")
 def _(t: Loader):
-    docs = _docs(t).where(~F.col("text").rlike("(?is)(MG|Mg|mG|DAILY|Daily|LEFT|Left|(mg|daily|left)[^A-Za-z0-9/](mg|daily|left))"))
-    return tx.expand(docs, "doc_id", "text", _EXPAND).select("doc_id", "expanded")
+    return tx.expand(t.documents, "doc_id", "text", _EXPAND).select("doc_id", "expanded")
 
 
 @query("tx06_offsets_to_original")
 def _(t: Loader):
-    e = tx.expand(_docs(t), "doc_id", "text", _EXPAND).withColumn("edit", F.explode("edits"))
+    e = tx.expand(t.documents, "doc_id", "text", _EXPAND).withColumn("edit", F.explode("edits"))
     return e.select("doc_id", F.col("edit.start").alias("start"), tx.to_original(F.col("edits"), F.col("edit.exp_start"), False).alias("back"))
 
 
@@ -53,12 +49,12 @@ def _(t: Loader):
 SELECT doc_id, CASE WHEN regexp_matches(substr(text, p + 3, 12), '^\\s*[<>=\\-]\\s*-?\\d') THEN 'lab_value' WHEN regexp_matches(substr(text, p + 3, 12), '^\\s*\\d') OR regexp_matches(substr(text, greatest(p - 11, 1), least(p, 12)), '\\d\\s*$') THEN 'unit_value' END AS kind FROM d""")
 def _(t: Loader):
     p = F.instr("text", " mg")
-    return _docs(t).where(F.contains("text", F.lit(" mg"))).select("doc_id", tx.numeric_context(F.col("text"), p, p + 2).alias("kind"))
+    return t.documents.where(F.contains("text", F.lit(" mg"))).select("doc_id", tx.numeric_context(F.col("text"), p, p + 2).alias("kind"))
 
 
 @query("tx05_soft_wraps", f"SELECT doc_id, len(regexp_extract_all(text, '\\S[ \\t]*\\n[ \\t]*[a-z]')) AS n FROM documents WHERE {_ASCII} AND regexp_matches(text, '\\S[ \\t]*\\n[ \\t]*[a-z]')")
 def _(t: Loader):
-    d = _docs(t).select("doc_id", (F.regexp_count("text", F.lit("\n")) - F.regexp_count(tx.join_soft_wraps(F.col("text")), F.lit("\n"))).cast("long").alias("n"))
+    d = t.documents.select("doc_id", (F.regexp_count("text", F.lit("\n")) - F.regexp_count(tx.join_soft_wraps(F.col("text")), F.lit("\n"))).cast("long").alias("n"))
     return d.where("n > 0")
 
 
@@ -80,20 +76,20 @@ def _(t: Loader):
 
 @query("tx11_dictionary_scan", f"SELECT doc_id, term, len(regexp_extract_all(replace(text, ' ', '  '), '(^|[^A-Za-z0-9])' || term || '([^A-Za-z0-9]|$)')) AS n FROM documents, {_T} WHERE {_ASCII} AND regexp_matches(text, '(^|[^A-Za-z0-9])' || term || '([^A-Za-z0-9]|$)')")
 def _(t: Loader):
-    return tx.dictionary_spans(_docs(t), "doc_id", "text", TERMS).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return tx.dictionary_spans(t.documents, "doc_id", "text", TERMS).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 @query("tx12_new_spans_only")
 def _(t: Loader):
-    found = tx.dictionary_spans(_docs(t), "doc_id", "text", TERMS)
-    return tx.drop_overlapping(found, tx.sections(_docs(t), "doc_id", "text").select("doc_id", F.col("header_start").alias("start"), F.col("start").alias("end")), "doc_id")
+    found = tx.dictionary_spans(t.documents, "doc_id", "text", TERMS)
+    return tx.drop_overlapping(found, tx.sections(t.documents, "doc_id", "text").select("doc_id", F.col("header_start").alias("start"), F.col("start").alias("end")), "doc_id")
 
 
 @query("tx14_context_words", f"SELECT doc_id, array_to_string(list_slice(regexp_extract_all(lower(substr(text, instr(text, ' mg') + 3, 60)), '[a-z]+'), 1, 3), ' ') AS after FROM documents WHERE {_ASCII} AND contains(text, ' mg')")
 def _(t: Loader):
     p = F.instr("text", " mg")
     w = tx.context_words(F.col("text"), p, p + 2)
-    return _docs(t).where(F.contains("text", F.lit(" mg"))).select("doc_id", F.array_join(w["after"], " ").alias("after"))
+    return t.documents.where(F.contains("text", F.lit(" mg"))).select("doc_id", F.array_join(w["after"], " ").alias("after"))
 
 
 @query("tx15_log_odds", """WITH r AS (SELECT entity_label AS g, regexp_extract(lower(expanded_text), '^([a-z]+)', 1) AS w, assertion_status AS m FROM extracted_entities WHERE assertion_status IS NOT NULL AND entity_label IS NOT NULL AND regexp_matches(expanded_text, '^[A-Za-z]')), c AS (SELECT g, w, m, count(*) AS n FROM r GROUP BY ALL), a AS (SELECT g, w, sum(n) AS wn FROM c GROUP BY ALL), b AS (SELECT g, m, sum(n) AS mn FROM c GROUP BY ALL), t AS (SELECT g, sum(n) AS tn FROM c GROUP BY ALL)
@@ -105,15 +101,14 @@ def _(t: Loader):
 
 @query("tx16_trim_connectors", "SELECT DISTINCT expanded_text, regexp_replace(regexp_replace(trim(expanded_text), '(?i)^((of|in|serum)\\s+)+', ''), '(?i)(\\s+(of|in|serum))+$', '') AS trimmed FROM normalized_entities WHERE regexp_matches(expanded_text, '^[A-Za-z ]+$')")
 def _(t: Loader):
-    return t.normalized_entities.where(F.col("expanded_text").rlike("^[A-Za-z ]+$")).select("expanded_text", tx.trim_words(F.col("expanded_text"), ["of", "in", "serum"]).alias("trimmed")).distinct()
+    return t.normalized_entities.where("expanded_text IS NOT NULL").select("expanded_text", tx.trim_words(F.col("expanded_text"), ["of", "in", "serum"]).alias("trimmed")).distinct()
 
 
 @query("tx17_compound_split", """WITH k AS (SELECT DISTINCT unnest(string_split(lower(concept_name), ' ')) AS w FROM concept), q AS (SELECT DISTINCT lower(trim(expanded_text)) AS text FROM normalized_entities WHERE regexp_matches(trim(expanded_text), '^[A-Za-z]+ [A-Za-z]+$'))
 SELECT text, replace(text, ' ', '|') AS parts FROM q WHERE string_split(text, ' ')[1] IN (SELECT w FROM k) AND string_split(text, ' ')[2] IN (SELECT w FROM k)""")
 def _(t: Loader):
     known = t.concept.select(F.explode(F.split(F.lower("concept_name"), " ")).alias("name"))
-    phrases = t.normalized_entities.where(F.trim("expanded_text").rlike("^[A-Za-z]+ [A-Za-z]+$"))
-    return tx.compound_splits(phrases, known, "expanded_text").select("text", F.array_join("parts", "|").alias("parts"))
+    return tx.compound_splits(t.normalized_entities, known, "expanded_text").select("text", F.array_join("parts", "|").alias("parts"))
 
 
 @query("tx19_strip_value", "SELECT DISTINCT original_text, regexp_replace(trim(original_text), '([A-Za-z]{2})(\\s*[-:=]\\s*|\\s+)?[<>]?\\d+([.,]\\d+)?\\s*%?$', '\\1') AS stripped FROM normalized_entities WHERE original_text IS NOT NULL")
@@ -130,7 +125,7 @@ def _(t: Loader):
 SELECT doc_id, CASE WHEN regexp_matches(own, '(?i)\\b(no|denies|without|negative for|absence of)\\b') THEN 'ABSENT' WHEN regexp_matches(own, '(?i)\\b(if|should|in case of)\\b') THEN 'HYPOTHETICAL' WHEN regexp_matches(own, '(?i)\\b(possible|may|suspected|likely)\\b') THEN 'POSSIBLE' ELSE 'PRESENT' END AS state FROM o""")
 def _(t: Loader):
     p = F.instr("text", " acute ")
-    return _docs(t).where(F.contains("text", F.lit(" acute "))).select("doc_id", tx.assertion(F.col("text"), p, p + 5).alias("state"))
+    return t.documents.where(F.contains("text", F.lit(" acute "))).select("doc_id", tx.assertion(F.col("text"), p, p + 5).alias("state"))
 
 
 @query("tx22_section_priors", "SELECT entity_id, CASE WHEN lower(section_name) LIKE '%history%' AND assertion_status = 'PRESENT' THEN 'HISTORICAL' WHEN lower(section_name) LIKE '%allerg%' AND entity_label = 'Medication' THEN 'ALLERGY' ELSE assertion_status END AS state FROM extracted_entities")
@@ -144,7 +139,7 @@ _RATIO = """WITH p AS (SELECT DISTINCT expanded_text AS a, omop_concept_name AS
 
 
 def _ratio(t: Loader):
-    p = t.normalized_entities.where(F.col("omop_concept_name").isNotNull() & F.concat("expanded_text", "omop_concept_name").rlike(r"^[\x20-\x7e]*$")).select(F.col("expanded_text").alias("a"), F.col("omop_concept_name").alias("b")).distinct()
+    p = t.normalized_entities.where("expanded_text IS NOT NULL AND omop_concept_name IS NOT NULL").select(F.col("expanded_text").alias("a"), F.col("omop_concept_name").alias("b")).distinct()
     return p.withColumn("ratio", tx.token_set_ratio(F.col("a"), F.col("b"), ["of", "in"]))
 
 
