@@ -141,16 +141,20 @@ def union_schema(schemas: DataFrame, canonical: DataFrame) -> DataFrame:
     )
 
 
-def unified(objects: DataFrame, names: dict[str, list[str]], types: dict[str, list[str]]) -> DataFrame:
-    """Flattened objects as one table with one schema.
+def unified(objects: DataFrame, names: dict[str, list[str]], types: dict[str, list[str]], levels: dict[str, str]) -> DataFrame:
+    """Flattened objects of all levels as one table with one schema; an object fills its own level's columns.
 
-    ``names`` gives for each canonical path its spellings, ``types`` the types it was seen with. A
+    ``names`` gives for each canonical path its spellings, ``types`` the types it was seen with, and
+    ``levels`` for each table path the start of its paths, such as rules and "rules."; the longest
+    start that fits tells the level of a path. Renames never leave a level. A
     field of one type is one text column; a field of several also has one column per type, filled in
     the rows of that type, beside the canonical text. Dots in paths become underscores.
     """
-    cols = ["key", "child_path", "parent_path"]
+    cols = ["key", "table_path", "child_path", "parent_path"]
     for path in sorted(names):
-        value = F.coalesce(*(F.col("fields")[n] for n in [path, *sorted(set(names[path]) - {path})]))
+        level, start = max(((t, p) for t, p in levels.items() if path.startswith(p)), key=lambda x: len(x[1]))
+        spelled = [n[len(start) :] for n in [path, *sorted(set(names[path]) - {path})]]
+        value = F.when(F.col("table_path") == level, F.coalesce(*(F.col("fields")[n] for n in spelled)))
         text = F.when(value.startswith('"'), F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")[0]).otherwise(value)
         name = path.replace(".", "_").replace("@", "")
         cols.append(text.alias(name))

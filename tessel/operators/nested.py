@@ -162,11 +162,13 @@ def json_text(value: Column) -> Column:
     return F.when(value.startswith('"'), F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")[0]).otherwise(value)
 
 
-def flat_table(objects: DataFrame, table_path: str, columns: dict[str, str]) -> DataFrame:
+def flat_table(objects: DataFrame, table_path: str, columns: dict[str, str | list[str]]) -> DataFrame:
     """One table of the flattened objects: key, child_path, parent_path, ordinal and the named columns.
 
-    ``columns`` maps each column to its dotted path; a path an object lacks gives null.
+    ``columns`` maps each column to its dotted path, or to several of which the first found counts; a
+    path an object lacks gives null.
     """
+    value = lambda p: F.coalesce(*(F.col("fields")[x] for x in ([p] if isinstance(p, str) else p)))
     return objects.where(F.col("table_path") == table_path).select(
-        "key", "child_path", "parent_path", "ordinal", *(json_text(F.col("fields")[p]).alias(c) for c, p in columns.items())
+        "key", "child_path", "parent_path", "ordinal", *(json_text(value(p)).alias(c) for c, p in columns.items())
     )

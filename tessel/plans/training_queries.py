@@ -69,10 +69,34 @@ def _flat(source: str, table_path: str, columns: dict[str, str]) -> Callable[[Sp
     return lambda spark, d: nested.flat_table(_objects(spark, d, source), table_path, columns).distinct()
 
 
-p2_nodes = _flat("guideline_files", "@graph", {"id": "@id", "type": "@type", "name": "name", "snomed": "snomed", "icd10": "icd10", "quality_flag": "quality_flag", "source_document": "provenance.source_document", "threshold_operator": "quantitative_threshold.operator", "threshold_lower_bound": "quantitative_threshold.lower_bound", "threshold_unit": "quantitative_threshold.unit"})
-p2_rules = _flat("guideline_files", "rules", {"predicate": "predicate", "target": "target", "rationale": "rationale", "citation": "citation", "citation_type": "citation_type", "citation_verbatim_excerpt": "citation_verbatim_excerpt"})
-p2_evidence = _flat("guideline_files", "evidence", {"kind": "kind", "grade": "grade"})
-p2_groundings = _flat("guideline_files", "grounding_provenance", {"source": "source", "tier": "tier", "grounded_at": "grounded_at"})
+#: For each table path of a guideline graph, the start of its fields' paths in the schemas.
+LEVELS = {"@graph": "", "rules": "rules.", "evidence": "rules.evidence.", "grounding_provenance": "grounding_provenance."}
+
+
+def _names(canonical: DataFrame) -> dict[str, list[str]]:
+    names: dict[str, list[str]] = {}
+    for r in canonical.collect():
+        names.setdefault(r["canonical_path"], []).append(r["path"])
+    return names
+
+
+def _flat_drifted(table_path: str, columns: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
+    """Like _flat for guideline graphs, reading each column under all names its field had through renames."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        schemas = materialize(_schemas(spark, d), "schemas")
+        start = LEVELS[table_path]
+        groups = [sorted(g) for g in _names(drift.canonical_paths(drift.schema_changes(schemas), schemas)).values()]
+        spelled = {p: [x[len(start) :] for g in groups if f"{start}{p}" in g for x in g if x != f"{start}{p}"] for p in columns.values()}
+        return nested.flat_table(_objects(spark, d, "guideline_files"), table_path, {c: [p, *spelled[p]] for c, p in columns.items()}).distinct()
+
+    return run
+
+
+p2_nodes = _flat_drifted("@graph", {"id": "@id", "type": "@type", "name": "name", "snomed": "snomed", "icd10": "icd10", "quality_flag": "quality_flag", "source_document": "provenance.source_document", "threshold_operator": "quantitative_threshold.operator", "threshold_lower_bound": "quantitative_threshold.lower_bound", "threshold_unit": "quantitative_threshold.unit"})
+p2_rules = _flat_drifted("rules", {"predicate": "predicate", "target": "target", "rationale": "rationale", "citation": "citation", "citation_type": "citation_type", "citation_verbatim_excerpt": "citation_verbatim_excerpt"})
+p2_evidence = _flat_drifted("evidence", {"kind": "kind", "grade": "grade"})
+p2_groundings = _flat_drifted("grounding_provenance", {"source": "source", "tier": "tier", "grounded_at": "grounded_at"})
 p2_votes = _flat("mollm_decisions", "models", {"model": "model", "verdict": "verdict", "logprob_confidence": "logprob_confidence", "degenerate_generation": "degenerate_generation", "reasoning": "reasoning"})
 p2_trail = _flat("mollm_decisions", "eval_trail", {"candidate_index": "candidate_index", "accepted": "accepted", "error": "error"})
 p2_candidates = _flat("normalized_entities", "candidates", {"omop_concept_id": "omop_concept_id", "concept_name": "concept_name", "domain_id": "domain_id", "vocabulary_id": "vocabulary_id", "match_tier": "match_tier", "similarity_score": "similarity_score", "match_basis": "match_basis"})
@@ -109,14 +133,8 @@ def p6_schema(spark: SparkSession, d: str) -> DataFrame:
 def p6_unified(spark: SparkSession, d: str) -> DataFrame:
     schemas = materialize(_schemas(spark, d), "schemas")
     canonical = drift.canonical_paths(drift.schema_changes(schemas), schemas)
-    names: dict[str, list[str]] = {}
-    for r in canonical.collect():
-        names.setdefault(r["canonical_path"], []).append(r["path"])
-    inner = ("rules.", "grounding_provenance.")
-    node = {p: n for p, n in names.items() if not p.startswith(inner)}
     types = {r["field_path"]: r["types"].split("|") for r in drift.union_schema(schemas, canonical).collect()}
-    objects = _objects(spark, d, "guideline_files").where(F.col("table_path") == "@graph")
-    return drift.unified(objects, node, types).distinct()
+    return drift.unified(_objects(spark, d, "guideline_files"), _names(canonical), types, LEVELS).distinct()
 
 
 _P7 = r"""
