@@ -92,6 +92,11 @@ def dictionary_spans(df: DataFrame, key: str, text: str, terms: list[str], ignor
 
     All terms are found in one pass over the text by an automaton; overlapping terms are all found.
     """
+    return spans_udtf(df, key, text, term_finder(terms, ignore_case), "term string, " + _SPAN)
+
+
+def term_finder(terms: list[str], ignore_case: bool = False) -> Callable[[str], Iterator[tuple]]:
+    """A function from a text to the (term, start, end) of dictionary_spans."""
     words = sorted({t.lower() if ignore_case else t for t in terms if t})
 
     def find(t: str) -> Iterator[tuple]:
@@ -111,7 +116,22 @@ def dictionary_spans(df: DataFrame, key: str, text: str, terms: list[str], ignor
             if (start == 0 or not low[start - 1].isalnum()) and (stop == len(low) or not low[stop].isalnum()):
                 yield w, start, stop
 
-    return spans_udtf(df, key, text, find, "term string, " + _SPAN)
+    return find
+
+
+def mentions(df: DataFrame, key: str, text: str, terms: list[str], reach: int) -> DataFrame:
+    """(key, term, start, end, near, at): dictionary_spans with the text up to ``reach`` characters around each.
+
+    ``at`` is the mention's start within ``near``, so that a long text is not repeated per mention.
+    """
+    find_terms = term_finder(terms)
+
+    def find(t: str) -> Iterator[tuple]:
+        for w, start, stop in find_terms(t):
+            left = max(start - reach, 0)
+            yield w, start, stop, t[left : stop + reach], start - left
+
+    return spans_udtf(df, key, text, find, "term string, " + _SPAN + ", near string, at int")
 
 
 def drop_overlapping(spans: DataFrame, taken: DataFrame, key: str) -> DataFrame:
@@ -174,9 +194,9 @@ def join_soft_wraps(text: Column) -> Column:
 
 def context_words(text: Column, start: Column, end: Column, reach: int = 60, n: int = 3) -> Column:
     """(before, after): the nearest n words on each side within ``reach`` characters, lower-cased."""
-    low = F.lower(text)
-    before = F.regexp_extract_all(F.substring(low, F.greatest(start - reach + 1, F.lit(1)), F.least(start, F.lit(reach))), F.lit("[a-z]+"), F.lit(0))
-    after = F.regexp_extract_all(F.substring(low, end + 1, F.lit(reach)), F.lit("[a-z]+"), F.lit(0))
+    words = lambda part: F.transform(F.regexp_extract_all(part, F.lit("[A-Za-z]+"), F.lit(0)), F.lower)
+    before = words(F.substring(text, F.greatest(start - reach + 1, F.lit(1)), F.least(start, F.lit(reach))))
+    after = words(F.substring(text, end + 1, F.lit(reach)))
     return F.struct(F.when(F.size(before) > n, F.slice(before, -n, n)).otherwise(before).alias("before"), F.slice(after, 1, n).alias("after"))
 
 

@@ -48,8 +48,8 @@ def _(t: Loader):
 @query("tx04_numeric_context", f"""WITH d AS (SELECT doc_id, text, instr(text, ' mg') AS p FROM documents WHERE {_ASCII} AND contains(text, ' mg'))
 SELECT doc_id, CASE WHEN regexp_matches(substr(text, p + 3, 12), '^\\s*[<>=\\-]\\s*-?\\d') THEN 'lab_value' WHEN regexp_matches(substr(text, p + 3, 12), '^\\s*\\d') OR regexp_matches(substr(text, greatest(p - 11, 1), least(p, 12)), '\\d\\s*$') THEN 'unit_value' END AS kind FROM d""")
 def _(t: Loader):
-    p = F.instr("text", " mg")
-    return t.documents.where(F.contains("text", F.lit(" mg"))).select("doc_id", tx.numeric_context(F.col("text"), p, p + 2).alias("kind"))
+    m = tx.mentions(t.documents, "doc_id", "text", ["mg"], 12)
+    return m.select("doc_id", "start", tx.numeric_context(F.col("near"), F.col("at"), F.col("at") + F.length("term")).alias("kind"))
 
 
 @query("tx05_soft_wraps", f"SELECT doc_id, len(regexp_extract_all(text, '\\S[ \\t]*\\n[ \\t]*[a-z]')) AS n FROM documents WHERE {_ASCII} AND regexp_matches(text, '\\S[ \\t]*\\n[ \\t]*[a-z]')")
@@ -87,9 +87,9 @@ def _(t: Loader):
 
 @query("tx14_context_words", f"SELECT doc_id, array_to_string(list_slice(regexp_extract_all(lower(substr(text, instr(text, ' mg') + 3, 60)), '[a-z]+'), 1, 3), ' ') AS after FROM documents WHERE {_ASCII} AND contains(text, ' mg')")
 def _(t: Loader):
-    p = F.instr("text", " mg")
-    w = tx.context_words(F.col("text"), p, p + 2)
-    return t.documents.where(F.contains("text", F.lit(" mg"))).select("doc_id", F.array_join(w["after"], " ").alias("after"))
+    m = tx.mentions(t.documents, "doc_id", "text", ["mg"], 60)
+    w = tx.context_words(F.col("near"), F.col("at"), F.col("at") + F.length("term"))
+    return m.select("doc_id", "start", F.array_join(w["before"], " ").alias("before"), F.array_join(w["after"], " ").alias("after"))
 
 
 @query("tx15_log_odds", """WITH r AS (SELECT entity_label AS g, regexp_extract(lower(expanded_text), '^([a-z]+)', 1) AS w, assertion_status AS m FROM extracted_entities WHERE assertion_status IS NOT NULL AND entity_label IS NOT NULL AND regexp_matches(expanded_text, '^[A-Za-z]')), c AS (SELECT g, w, m, count(*) AS n FROM r GROUP BY ALL), a AS (SELECT g, w, sum(n) AS wn FROM c GROUP BY ALL), b AS (SELECT g, m, sum(n) AS mn FROM c GROUP BY ALL), t AS (SELECT g, sum(n) AS tn FROM c GROUP BY ALL)
@@ -124,8 +124,8 @@ def _(t: Loader):
 @query("tx21_assertion", f"""WITH d AS (SELECT doc_id, text, instr(text, ' acute ') AS p FROM documents WHERE {_ASCII} AND contains(text, ' acute ')), o AS (SELECT doc_id, regexp_extract(substr(text, greatest(p - 39, 1), least(p, 40)), '([^.;\\n]*)$', 1) AS own FROM d)
 SELECT doc_id, CASE WHEN regexp_matches(own, '(?i)\\b(no|denies|without|negative for|absence of)\\b') THEN 'ABSENT' WHEN regexp_matches(own, '(?i)\\b(if|should|in case of)\\b') THEN 'HYPOTHETICAL' WHEN regexp_matches(own, '(?i)\\b(possible|may|suspected|likely)\\b') THEN 'POSSIBLE' ELSE 'PRESENT' END AS state FROM o""")
 def _(t: Loader):
-    p = F.instr("text", " acute ")
-    return t.documents.where(F.contains("text", F.lit(" acute "))).select("doc_id", tx.assertion(F.col("text"), p, p + 5).alias("state"))
+    m = tx.mentions(t.documents, "doc_id", "text", ["acute"], 40)
+    return m.select("doc_id", "start", tx.assertion(F.col("near"), F.col("at"), F.col("at") + F.length("term")).alias("state"))
 
 
 @query("tx22_section_priors", "SELECT entity_id, CASE WHEN lower(section_name) LIKE '%history%' AND assertion_status = 'PRESENT' THEN 'HISTORICAL' WHEN lower(section_name) LIKE '%allerg%' AND entity_label = 'Medication' THEN 'ALLERGY' ELSE assertion_status END AS state FROM extracted_entities")
