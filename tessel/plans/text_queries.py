@@ -254,10 +254,11 @@ def _(t: Loader):
 
 @query("kg12_vector_tiebreak", "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT label, list_avg(list(x[1])) AS m1, list_avg(list(x[2])) AS m2 FROM v GROUP BY 1), d AS (SELECT label, vec_id, sqrt(pow(x[1] - m1, 2) + pow(x[2] - m2, 2)) AS d FROM v JOIN c USING (label)) SELECT label, arg_min(vec_id, (round(d, 9), vec_id)) AS vec_id FROM d GROUP BY 1")
 def _(t: Loader):
-    x = F.col("embedding")
-    v = t.embeddings.select("vec_id", "label", x[0].cast("double").alias("a"), x[1].cast("double").alias("b"))
-    c = v.groupBy("label").agg(F.avg("a").alias("m1"), F.avg("b").alias("m2"))
-    d = v.join(c, "label").withColumn("d", F.round(F.sqrt(F.pow(F.col("a") - F.col("m1"), 2) + F.pow(F.col("b") - F.col("m2"), 2)), 9))
+    v = t.embeddings.where("embedding IS NOT NULL").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    means = v.select("label", F.posexplode("x").alias("i", "value")).groupBy("label", "i").agg(F.avg("value").alias("m"))
+    c = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
+    squares = F.zip_with("x", "m", lambda a, b: F.pow(a - b, 2))
+    d = v.join(c, "label").withColumn("d", F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, q: s + q)), 9)).where("d IS NOT NULL")
     return d.groupBy("label").agg(F.min_by("vec_id", F.struct("d", "vec_id")).alias("vec_id"))
 
 
