@@ -1,5 +1,6 @@
 """Linking text to a vocabulary: exact, synonym, edit-distance, vector and full-text search, and ranking."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,3 +132,56 @@ def ancestors(start: DataFrame, edges: DataFrame, most: int) -> DataFrame:
         part = now.withColumn("hops", F.lit(n))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("start", "node").agg(F.min("hops").alias("hops"))
+
+
+def nearest_ancestor(start: DataFrame, edges: DataFrame, standard: DataFrame, most: int) -> DataFrame:
+    """(start, node, hops): the standard node fewest steps above each start, never itself; ties go to the smaller node."""
+    up = ancestors(start, edges, most).where("start <> node").join(standard.select("node").distinct(), "node", "left_semi")
+    return up.groupBy("start").agg(F.min_by(F.struct("node", "hops"), F.struct("hops", "node")).alias("x")).select("start", "x.node", "x.hops")
+
+
+def collapse_hierarchy(pool: DataFrame, edges: DataFrame, keys: list[str], entry: str, name: str, score: str, curated: str, place: str) -> DataFrame:
+    """``pool`` with one survivor for each set of candidates that edges inside their own pool connect.
+
+    ``keys`` name a pool, ``edges`` are (src, dst) of parents and children in either direction. A
+    curated candidate beats any score, else the highest score wins, then the earlier ``place``; the
+    survivor takes the place of its set's first member. Names with "and" or "&" are all kept as they
+    are and survive nothing else, but their edges still connect others.
+    """
+    ids = pool.select(*keys, F.col(entry).alias("src")).distinct()
+    pairs = ids.join(edges.select("src", "dst").where("src <> dst").distinct(), "src").join(ids.withColumnRenamed("src", "dst"), [*keys, "dst"]).select(*[F.col(k).alias(f"_{k}") for k in keys], "src", "dst")
+
+    def reduce(cands: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        root = {x: x for x in cands[entry]}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in zip(pairs["src"], pairs["dst"]):
+            root[find(a)] = find(b)
+        cands = cands.sort_values(place, kind="stable")
+        compound = cands[name].fillna("").str.contains(r"\b(?:and|&)\b", case=False)
+        plain = cands[~compound].assign(_root=[find(x) for x in cands[~compound][entry]], _cur=cands[curated].fillna(False).astype(bool))
+        first = plain.groupby("_root")[place].min()
+        best = plain.sort_values(["_cur", score], ascending=False, kind="stable", na_position="last").drop_duplicates("_root")
+        best = best.assign(**{place: best["_root"].map(first)})
+        return pd.concat([cands[compound], best[cands.columns]])
+
+    return pool.groupBy(*keys).cogroup(pairs.groupBy(*[f"_{k}" for k in keys])).applyInPandas(reduce, pool.schema)
+
+
+def context_rule_winner(mentions: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """(key, meaning, score): the meaning whose context rules score highest for a mention.
+
+    ``mentions`` are (key, abbreviation, before, after) with arrays of words and ``rules`` are
+    (abbreviation, meaning, trigger_word, position, score) with position pre or post. The scores of the
+    rules whose word stands on their side are added up, each word once; a tie gives no row.
+    """
+    side = lambda c, p: mentions.select(key, F.lower("abbreviation").alias("abbreviation"), F.lit(p).alias("position"), F.explode(F.array_distinct(c)).alias("trigger_word"))
+    words = side("before", "pre").unionByName(side("after", "post"))
+    total = words.join(rules, ["abbreviation", "position", "trigger_word"]).groupBy(key, "meaning").agg(F.round(F.sum("score"), 9).alias("score"))
+    best = total.groupBy(key).agg(F.max("score").alias("score"))
+    return total.join(best, [key, "score"]).groupBy(key).agg(F.min("meaning").alias("meaning"), F.min("score").alias("score"), F.count("*").alias("n")).where("n = 1").drop("n")
