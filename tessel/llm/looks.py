@@ -96,16 +96,39 @@ def look(text: str) -> str:
 
 _CODES = re.compile(r"\[[^\[\]\n]{0,40}\]|\(\s*\w?\d\w{0,3}\s*\)")
 _WORD = re.compile(r"\w+")
+_FOREIGN = re.compile(r"(?<!\w)[^\W\u0370-\u052f]*+[\u0370-\u052f]\w*")
+
+
+def _word_look(m: re.Match) -> str:
+    """A word with Greek or Cyrillic letters in the letters it looks like, before case is left out.
+
+    A word that has Latin letters, or only letters that look Latin, is read by the look of each letter
+    as written. One whose capitals all look Latin is read by them, so that it stays one word in either
+    case; a lone letter is not. Any other is a word of its own script.
+    """
+    word, high = m[0], m[0].upper()
+    letters = [c for c in word if c.isalpha()]
+    if any(c < "\u0250" for c in letters) or all(ord(c) in TO_LATIN for c in letters):
+        return word.translate(LOOKS)
+    if len(letters) > 1 and all(ord(c) in TO_LATIN for c in high if c.isalpha()):
+        return high.translate(LOOKS)
+    return word
 
 
 def plain_words(text: str | None) -> list[str]:
     """The words of a text without case, punctuation, line layout, bracketed codes and odd characters."""
     if not text:
         return []
-    text = text.lower()
     if not text.isascii():
         odd, marks = _odd(text)
-        text = _swap(unicodedata.normalize("NFC", _swap(text, WIDTHS, odd)) if marks else text, WORDS, _odd(text)[0] if marks else odd)
+        text = _swap(text, WIDTHS, odd)
+        text = unicodedata.normalize("NFC", text) if marks else text
+        if any("\u0370" <= c <= "\u052f" for c in _odd(text)[0]):
+            text = _FOREIGN.sub(_word_look, text)
+        text = text.lower()
+        text = _swap(text, WORDS, _odd(text)[0])
+    else:
+        text = text.lower()
     if "[" in text or "(" in text:
         text = _CODES.sub(" ", text)
     return _WORD.findall(text)
