@@ -125,24 +125,40 @@ def threshold_sweep(df: DataFrame, confidence: str, outcome: str, thresholds: li
 POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406)
 
 
-def bootstrap_rate(df: DataFrame, cluster: str, hit: Column, draws: int = 200, seed: int = 13) -> DataFrame:
-    """One row (n_clusters, rate, low, high): percentile interval of a rate over resampled clusters.
-
-    A cluster's weight in a draw is a Poisson count taken from a hash of seed, draw and cluster, so no
-    draw needs to see all clusters and a re-run gives the same interval.
-    """
-    sums = df.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.sum(hit.cast("long")).alias("h"), F.count(hit).alias("n"))
+def _draws(sums: DataFrame, cluster: str, draws: int, seed: int, rate: Column) -> DataFrame:
+    """One row (low, high): percentile interval of ``rate``, an aggregate over w, over the draws of the clusters."""
     each = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(cluster).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     weight = F.lit(len(POISSON))
     for i in reversed(range(len(POISSON))):
         weight = F.when(u < POISSON[i], i).otherwise(weight)
-    drawn = each.withColumn("w", weight).groupBy("draw").agg((F.sum(F.col("w") * F.col("h")) / F.sum(F.col("w") * F.col("n"))).alias("r"))
+    drawn = each.withColumn("w", weight).groupBy("draw").agg(rate.alias("r"))
     lo, hi = int(0.025 * draws), min(draws - 1, int(0.975 * draws))
-    interval = drawn.agg(F.array_sort(F.collect_list("r")).alias("r")).select(F.round(F.col("r")[lo], 6).alias("low"), F.round(F.col("r")[hi], 6).alias("high"))
+    return drawn.agg(F.array_sort(F.collect_list("r")).alias("r")).select(F.round(F.col("r")[lo], 6).alias("low"), F.round(F.col("r")[hi], 6).alias("high"))
+
+
+def bootstrap_rate(df: DataFrame, cluster: str, hit: Column, draws: int = 2000, seed: int = 13) -> DataFrame:
+    """One row (n_clusters, rate, low, high): percentile interval of a rate over resampled clusters.
+
+    A cluster's weight in a draw is a Poisson count taken from a hash of seed, draw and cluster, so no
+    draw needs to see all clusters and a re-run gives the same interval.
+    """
+    sums = df.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.sum(hit.cast("long")).alias("h"), F.count(hit).alias("n"))
+    interval = _draws(sums, cluster, draws, seed, F.sum(F.col("w") * F.col("h")) / F.sum(F.col("w") * F.col("n")))
     return sums.agg(F.count("*").alias("n_clusters"), F.round(F.sum("h") / F.sum("n"), 6).alias("rate")).crossJoin(interval)
 
 
+def bootstrap_difference(df: DataFrame, cluster: str, a: Column, b: Column, draws: int = 2000, seed: int = 13) -> DataFrame:
+    """One row (n_clusters, difference, low, high): interval of rate a less rate b, both over the same draws.
+
+    Rows where either outcome is null do not count, so both rates are over the same rows.
+    """
+    rows = df.where(F.col(cluster).isNotNull() & a.isNotNull() & b.isNotNull())
+    sums = rows.groupBy(cluster).agg(F.sum(a.cast("long") - b.cast("long")).alias("h"), F.count("*").alias("n"))
+    rate = lambda w: F.sum(w * F.col("h")) / F.sum(w * F.col("n"))
+    return sums.agg(F.count("*").alias("n_clusters"), F.round(rate(F.lit(1)), 6).alias("difference")).crossJoin(_draws(sums, cluster, draws, seed, rate(F.col("w"))))
+
+
 def headroom(df: DataFrame, group: list[str], score: str, outcome: Column, tie: str) -> DataFrame:
     """One row (n, top1, oracle, headroom): how often the best-scored row is right, and any row is."""
     per = df.groupBy(*group).agg(F.max_by(outcome, F.struct(F.col(score), -F.col(tie))).alias("top"), F.max(outcome).alias("any"))
