@@ -216,18 +216,19 @@ def trim_words(text: Column, words: list[str]) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(text), rf"(?i)^(?:(?:{alt})\s+)+", ""), rf"(?i)(?:\s+(?:{alt}))+$", "")
 
 
-def compound_splits(phrases: DataFrame, known: DataFrame, text: str, most_parts: int = 4, most_words: int = 12) -> DataFrame:
+def compound_splits(phrases: DataFrame, known: DataFrame, text: str, most_parts: int = 4) -> DataFrame:
     """(text, parts): the first cut of an unknown phrase into 2..most_parts known pieces.
 
-    Cuts are tried with fewer parts first, then shorter first parts. Phrases of more than
-    ``most_words`` words have no cut, which bounds the pieces per phrase by most_words squared.
+    Cuts are tried with fewer parts first, then shorter first parts. No piece is longer than the
+    longest known name, so a phrase has at most that many pieces per word, however long it is.
     """
     words = F.split(F.lower(F.trim(text)), r"\s+")
-    p = phrases.select(F.lower(F.trim(text)).alias("text"), words.alias("w")).where(F.size("w").between(2, most_words)).distinct()
+    p = phrases.select(F.lower(F.trim(text)).alias("text"), words.alias("w")).where(F.size("w") >= 2).distinct()
     names = known.select(F.lower("name").alias("piece")).distinct()
+    longest = names.agg(F.max(F.size(F.split("piece", r"\s+")))).first()[0] or 1
     p = p.join(names, F.col("text") == F.col("piece"), "left_anti")
     place = F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i")
-    pieces = p.select("text", "w", place).select("text", F.size("w").alias("n"), "i", "w", F.explode(F.sequence(F.col("i") + 1, F.size("w"))).alias("j"))
+    pieces = p.select("text", "w", place).select("text", F.size("w").alias("n"), "i", "w", F.explode(F.sequence(F.col("i") + 1, F.least(F.size("w"), F.col("i") + longest))).alias("j"))
     pieces = pieces.select("text", "n", "i", "j", F.array_join(F.slice("w", F.col("i") + 1, F.col("j") - F.col("i")), " ").alias("piece")).join(names, "piece")
     paths = pieces.where("i = 0").select("text", "n", "j", F.array("piece").alias("parts"))
     out = None
@@ -250,19 +251,20 @@ def is_structured_result(text: Column) -> Column:
 
 # Cue words before a mention, in order of precedence.
 CUES = (
-    ("ABSENT", r"(?iU)\b(?:no|denies|without|negative for|absence of)\b"),
-    ("HYPOTHETICAL", r"(?iU)\b(?:if|should|in case of)\b"),
-    ("POSSIBLE", r"(?iU)\b(?:possible|may|suspected|likely)\b"),
+    ("ABSENT", "no|denies|without|negative for|absence of"),
+    ("HYPOTHETICAL", "if|should|in case of"),
+    ("POSSIBLE", "possible|may|suspected|likely"),
 )
 
 
 def assertion(text: Column, start: Column, end: Column, reach: int = 40) -> Column:
     """The state a mention is given by the cue words of its own sentence before it, else PRESENT."""
     before = F.substring(text, F.greatest(start - reach + 1, F.lit(1)), F.least(start, F.lit(reach)))
-    own = F.regexp_extract(before, r"([^.;\n]*)$", 1)
-    out = F.when(own.rlike(CUES[0][1]), CUES[0][0])
-    for state, cue in CUES[1:]:
-        out = out.when(own.rlike(cue), state)
+    own = F.regexp_extract(before, r"([^.;\n]*)\z", 1)
+    says = lambda words: own.rlike(rf"(?iU)\b(?:{words})\b")
+    out = F.when(says(CUES[0][1]), CUES[0][0])
+    for state, words in CUES[1:]:
+        out = out.when(says(words), state)
     return out.otherwise("PRESENT")
 
 

@@ -185,7 +185,7 @@ def _(t: Loader):
     return _is_a(t).withColumn("hops", F.lit(1)).groupBy("src").agg(F.min_by("dst", F.struct("hops", "dst")).alias("dst"))
 
 
-@query("jn17_token_subset", """WITH w AS (SELECT concept_id, list_distinct(string_split(lower(concept_name), ' ')) AS ws FROM concept), q AS (SELECT DISTINCT lower(expanded_text) AS text, list_distinct(string_split(lower(expanded_text), ' ')) AS qs FROM normalized_entities WHERE regexp_matches(expanded_text, '^[a-zA-Z]+( [a-zA-Z]+)*$'))
+@query("jn17_token_subset", """WITH w AS (SELECT concept_id, list_filter(list_distinct(regexp_split_to_array(lower(concept_name), '\\s+')), lambda x: x <> '') AS ws FROM concept), q AS (SELECT DISTINCT lower(expanded_text) AS text, list_filter(list_distinct(regexp_split_to_array(lower(expanded_text), '\\s+')), lambda x: x <> '') AS qs FROM normalized_entities)
 SELECT text, concept_id FROM q JOIN w ON list_has_all(ws, qs) AND len(qs) >= 2""")
 def _(t: Loader):
     words = lambda c: F.array_remove(F.array_distinct(F.split(F.lower(c), r"\s+")), "")

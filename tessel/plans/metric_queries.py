@@ -68,8 +68,8 @@ def _(t: Loader):
 _PO = "CASE " + " ".join(f"WHEN u < {p} THEN {i}" for i, p in enumerate(mx.POISSON)) + f" ELSE {len(mx.POISSON)} END"
 
 
-@query("ag10_bootstrap_interval", f"""WITH {_CO}, s AS (SELECT note_id, count_if(y) AS h, count(*) AS n FROM co WHERE note_id IS NOT NULL GROUP BY 1), d AS (SELECT draw, h, n, ('0x' || substr(md5('13:' || draw || ':' || note_id), 1, 8))::BIGINT / 4294967296.0 AS u FROM s, range(200) r(draw)),
-r AS (SELECT draw, sum(({_PO}) * h) / sum(({_PO}) * n) AS r FROM d GROUP BY 1), l AS (SELECT list_sort(list(r)) AS r FROM r) SELECT (SELECT count(*) FROM s) AS n_clusters, (SELECT round(sum(h) / sum(n), 6) FROM s) AS rate, round(r[6], 6) AS low, round(r[196], 6) AS high FROM l""")
+@query("ag10_bootstrap_interval", f"""WITH {_CO}, s AS (SELECT note_id, count_if(y) AS h, count(*) AS n FROM co WHERE note_id IS NOT NULL GROUP BY 1), d AS (SELECT draw, h, n, ('0x' || substr(md5('13:' || draw || ':' || note_id), 1, 8))::BIGINT / 4294967296.0 AS u FROM s, range(2000) r(draw)),
+r AS (SELECT draw, sum(({_PO}) * h) / sum(({_PO}) * n) AS r FROM d GROUP BY 1), l AS (SELECT list_sort(list(r)) AS r FROM r) SELECT (SELECT count(*) FROM s) AS n_clusters, (SELECT round(sum(h) / sum(n), 6) FROM s) AS rate, round(r[51], 6) AS low, round(r[1951], 6) AS high FROM l""")
 def _(t: Loader):
     return mx.bootstrap_rate(_co(t), "note_id", F.col("y"))
 

@@ -1,5 +1,7 @@
 """Queries of text operators and of the guideline graph."""
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from tessel.operators import text as tx
@@ -10,9 +12,14 @@ from tessel.plans.registry import Loader, Registry
 
 query = Registry()
 TERMS = ["mg", "acute", "chronic", "serum", "daily", "left", "right", "stable"]
-_T = "(VALUES " + ", ".join(f"('{t}')" for t in TERMS) + ") t(term)"
-# The SQL of these queries covers only ASCII texts, where both regex dialects agree; the queries take every text.
-_ASCII = "text IS NOT NULL AND regexp_matches(text, '^[\\x20-\\x7e\\n]*$')"
+
+
+def _mentions_sql(terms: list[str]) -> str:
+    """m(doc_id, text, term, start): every occurrence of a term that stands in no longer word."""
+    values = ", ".join(f"('{t}')" for t in terms)
+    return f"""s AS (SELECT doc_id, text, term, string_split(text, term) AS p FROM documents, (VALUES {values}) v(term) WHERE contains(text, term)),
+o AS (SELECT doc_id, text, term, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * length(term) AS INT) AS start FROM s, unnest(range(1, len(p))) u(k)),
+m AS (SELECT * FROM o WHERE (start = 0 OR NOT regexp_matches(substr(text, start, 1), '[\\p{{L}}\\p{{N}}]')) AND NOT regexp_matches(substr(text, start + length(term) + 1, 1), '[\\p{{L}}\\p{{N}}]'))"""
 
 
 @query("tx01_sections")
@@ -20,7 +27,7 @@ def _(t: Loader):
     return tx.sections(t.documents, "doc_id", "text")
 
 
-@query("tx01_section_counts", r"SELECT doc_id, len(regexp_extract_all(text, '(?m)^[ \t]*([A-Z][A-Za-z0-9 /\-''&.]{2,45}?):')) AS n FROM documents WHERE " + _ASCII + r" AND regexp_matches(text, '(?m)^[ \t]*([A-Z][A-Za-z0-9 /\-''&.]{2,45}?):')")
+@query("tx01_section_counts", r"SELECT doc_id, len(regexp_extract_all(text, '(?m)^[ \t]*([A-Z][A-Za-z0-9 /\-''&.]{2,45}?):')) AS n FROM documents WHERE regexp_matches(text, '(?m)^[ \t]*([A-Z][A-Za-z0-9 /\-''&.]{2,45}?):')")
 def _(t: Loader):
     return tx.sections(t.documents, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
 
@@ -34,7 +41,7 @@ def _(t: Loader):
 _EXPAND = {"daily": "each day", "mg": "milligrams", "left": "left-sided"}
 
 
-@query("tx03_expand_abbreviations", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(^|[^A-Za-z0-9/])mg([^A-Za-z0-9/]|$)', '\\1milligrams\\2', 'g'), '(^|[^A-Za-z0-9/])daily([^A-Za-z0-9/]|$)', '\\1each day\\2', 'g'), '(^|[^A-Za-z0-9/])left([^A-Za-z0-9/]|$)', '\\1left-sided\\2', 'g') AS expanded FROM documents WHERE " + _ASCII + " AND NOT regexp_matches(text, '(?i)(MG|Mg|mG|DAILY|Daily|LEFT|Left|(mg|daily|left)[^A-Za-z0-9/](mg|daily|left))', 's') AND NOT regexp_matches(text, 'MG|Mg')")
+@query("tx03_expand_abbreviations", """SELECT doc_id, CASE WHEN text = '' THEN '' ELSE array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9/]+|[^A-Za-z0-9/]+'), lambda w: CASE w """ + " ".join(f"WHEN '{c}' THEN '{v}'" for k, v in _EXPAND.items() for c in sorted({"".join(x) for x in product(*((a, a.upper()) for a in k))})) + """ ELSE w END), '') END AS expanded FROM documents WHERE text IS NOT NULL""")
 def _(t: Loader):
     return tx.expand(t.documents, "doc_id", "text", _EXPAND).select("doc_id", "expanded")
 
@@ -45,14 +52,14 @@ def _(t: Loader):
     return e.select("doc_id", F.col("edit.start").alias("start"), tx.to_original(F.col("edits"), F.col("edit.exp_start"), False).alias("back"))
 
 
-@query("tx04_numeric_context", f"""WITH d AS (SELECT doc_id, text, instr(text, ' mg') AS p FROM documents WHERE {_ASCII} AND contains(text, ' mg'))
-SELECT doc_id, CASE WHEN regexp_matches(substr(text, p + 3, 12), '^\\s*[<>=\\-]\\s*-?\\d') THEN 'lab_value' WHEN regexp_matches(substr(text, p + 3, 12), '^\\s*\\d') OR regexp_matches(substr(text, greatest(p - 11, 1), least(p, 12)), '\\d\\s*$') THEN 'unit_value' END AS kind FROM d""")
+@query("tx04_numeric_context", f"""WITH {_mentions_sql(["mg"])}, c AS (SELECT doc_id, start, substr(text, start + 3, 12) AS after, substr(text, greatest(start - 11, 1), least(start, 12)) AS before FROM m)
+SELECT doc_id, start, CASE WHEN regexp_matches(after, '^\\s*[<>=\\-]\\s*-?\\d') THEN 'lab_value' WHEN regexp_matches(after, '^\\s*\\d') OR regexp_matches(before, '\\d\\s*$') THEN 'unit_value' END AS kind FROM c""")
 def _(t: Loader):
     m = tx.mentions(t.documents, "doc_id", "text", ["mg"], 12)
     return m.select("doc_id", "start", tx.numeric_context(F.col("near"), F.col("at"), F.col("at") + F.length("term")).alias("kind"))
 
 
-@query("tx05_soft_wraps", f"SELECT doc_id, len(regexp_extract_all(text, '\\S[ \\t]*\\n[ \\t]*[a-z]')) AS n FROM documents WHERE {_ASCII} AND regexp_matches(text, '\\S[ \\t]*\\n[ \\t]*[a-z]')")
+@query("tx05_soft_wraps", r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), w AS (SELECT doc_id, len(list_filter(range(1, len(l)), lambda i: regexp_matches(l[i], '[^ \t\r][ \t]*\r?$') AND regexp_matches(l[i + 1], '^[ \t]*[\p{Ll}\x{AA}\x{BA}]'))) AS n FROM l) SELECT * FROM w WHERE n > 0""")
 def _(t: Loader):
     d = t.documents.select("doc_id", (F.regexp_count("text", F.lit("\n")) - F.regexp_count(tx.join_soft_wraps(F.col("text")), F.lit("\n"))).cast("long").alias("n"))
     return d.where("n > 0")
@@ -74,7 +81,7 @@ def _(t: Loader):
     return rows.select("entity_id", tx.span_id(F.col("note_id"), F.col("orig_start"), F.col("orig_end"), F.col("entity_label")).alias("made")).distinct()
 
 
-@query("tx11_dictionary_scan", f"SELECT doc_id, term, len(regexp_extract_all(replace(text, ' ', '  '), '(^|[^A-Za-z0-9])' || term || '([^A-Za-z0-9]|$)')) AS n FROM documents, {_T} WHERE {_ASCII} AND regexp_matches(text, '(^|[^A-Za-z0-9])' || term || '([^A-Za-z0-9]|$)')")
+@query("tx11_dictionary_scan", f"WITH {_mentions_sql(TERMS)} SELECT doc_id, term, count(*) AS n FROM m GROUP BY ALL")
 def _(t: Loader):
     return tx.dictionary_spans(t.documents, "doc_id", "text", TERMS).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
@@ -85,7 +92,8 @@ def _(t: Loader):
     return tx.drop_overlapping(found, tx.sections(t.documents, "doc_id", "text").select("doc_id", F.col("header_start").alias("start"), F.col("start").alias("end")), "doc_id")
 
 
-@query("tx14_context_words", f"SELECT doc_id, array_to_string(list_slice(regexp_extract_all(lower(substr(text, instr(text, ' mg') + 3, 60)), '[a-z]+'), 1, 3), ' ') AS after FROM documents WHERE {_ASCII} AND contains(text, ' mg')")
+@query("tx14_context_words", f"""WITH {_mentions_sql(["mg"])}, w AS (SELECT doc_id, start, list_transform(regexp_extract_all(substr(text, greatest(start - 59, 1), least(start, 60)), '[A-Za-z]+'), lambda x: lower(x)) AS b, list_transform(regexp_extract_all(substr(text, start + 3, 60), '[A-Za-z]+'), lambda x: lower(x)) AS a FROM m)
+SELECT doc_id, start, array_to_string(b[greatest(len(b) - 2, 1):len(b)], ' ') AS before, array_to_string(a[1:3], ' ') AS after FROM w""")
 def _(t: Loader):
     m = tx.mentions(t.documents, "doc_id", "text", ["mg"], 60)
     w = tx.context_words(F.col("near"), F.col("at"), F.col("at") + F.length("term"))
@@ -99,15 +107,17 @@ def _(t: Loader):
     return tx.log_odds(rows.select(F.col("entity_label").alias("g"), F.regexp_extract(F.lower("expanded_text"), "^([a-z]+)", 1).alias("w"), F.col("assertion_status").alias("m")), "g", "w", "m")
 
 
-@query("tx16_trim_connectors", "SELECT DISTINCT expanded_text, regexp_replace(regexp_replace(trim(expanded_text), '(?i)^((of|in|serum)\\s+)+', ''), '(?i)(\\s+(of|in|serum))+$', '') AS trimmed FROM normalized_entities WHERE regexp_matches(expanded_text, '^[A-Za-z ]+$')")
+@query("tx16_trim_connectors", "SELECT DISTINCT expanded_text, regexp_replace(regexp_replace(trim(expanded_text), '(?i)^((of|in|serum)\\s+)+', ''), '(?i)(\\s+(of|in|serum))+$', '') AS trimmed FROM normalized_entities WHERE expanded_text IS NOT NULL")
 def _(t: Loader):
     return t.normalized_entities.where("expanded_text IS NOT NULL").select("expanded_text", tx.trim_words(F.col("expanded_text"), ["of", "in", "serum"]).alias("trimmed")).distinct()
 
 
-@query("tx17_compound_split", """WITH k AS (SELECT DISTINCT unnest(string_split(lower(concept_name), ' ')) AS w FROM concept), q AS (SELECT DISTINCT lower(trim(expanded_text)) AS text FROM normalized_entities WHERE regexp_matches(trim(expanded_text), '^[A-Za-z]+ [A-Za-z]+$'))
-SELECT text, replace(text, ' ', '|') AS parts FROM q WHERE string_split(text, ' ')[1] IN (SELECT w FROM k) AND string_split(text, ' ')[2] IN (SELECT w FROM k)""")
+@query("tx17_compound_split", """WITH k AS (SELECT lower(concept_name) AS x FROM concept UNION SELECT unnest(string_split(lower(concept_name), ' ')) FROM concept), q AS (SELECT DISTINCT lower(trim(expanded_text)) AS text, regexp_split_to_array(lower(trim(expanded_text)), '\\s+') AS w FROM normalized_entities WHERE lower(trim(expanded_text)) NOT IN (SELECT x FROM k)),
+c AS (SELECT text, w, [a] AS cut FROM q, unnest(range(1, len(w))) u(a) UNION ALL SELECT text, w, [a, b] FROM q, unnest(range(1, len(w))) u(a), unnest(range(1, len(w))) v(b) WHERE a < b UNION ALL SELECT text, w, [a, b, c] FROM q, unnest(range(1, len(w))) u(a), unnest(range(1, len(w))) v(b), unnest(range(1, len(w))) x(c) WHERE a < b AND b < c),
+p AS (SELECT text, list_transform(range(1, len(cut) + 2), lambda i: array_to_string(w[coalesce(cut[i - 1], 0) + 1:coalesce(cut[i], len(w))], ' ')) AS parts FROM c), f AS (SELECT text, parts FROM p, unnest(parts) u(x) JOIN k USING (x) GROUP BY ALL HAVING count(*) = len(parts))
+SELECT text, array_to_string(arg_min(parts, (len(parts), list_transform(parts, lambda x: length(x)), parts)), '|') AS parts FROM f GROUP BY 1""")
 def _(t: Loader):
-    known = t.concept.select(F.explode(F.split(F.lower("concept_name"), " ")).alias("name"))
+    known = t.concept.select(F.lower("concept_name").alias("name")).union(t.concept.select(F.explode(F.split(F.lower("concept_name"), " "))))
     return tx.compound_splits(t.normalized_entities, known, "expanded_text").select("text", F.array_join("parts", "|").alias("parts"))
 
 
@@ -121,8 +131,11 @@ def _(t: Loader):
     return t.documents.where(tx.is_structured_result(F.col("text"))).select("doc_id")
 
 
-@query("tx21_assertion", f"""WITH d AS (SELECT doc_id, text, instr(text, ' acute ') AS p FROM documents WHERE {_ASCII} AND contains(text, ' acute ')), o AS (SELECT doc_id, regexp_extract(substr(text, greatest(p - 39, 1), least(p, 40)), '([^.;\\n]*)$', 1) AS own FROM d)
-SELECT doc_id, CASE WHEN regexp_matches(own, '(?i)\\b(no|denies|without|negative for|absence of)\\b') THEN 'ABSENT' WHEN regexp_matches(own, '(?i)\\b(if|should|in case of)\\b') THEN 'HYPOTHETICAL' WHEN regexp_matches(own, '(?i)\\b(possible|may|suspected|likely)\\b') THEN 'POSSIBLE' ELSE 'PRESENT' END AS state FROM o""")
+_CUE = r"(^|[^\p{L}\p{M}\p{N}\p{Pc}])(%s)($|[^\p{L}\p{M}\p{N}\p{Pc}])"
+
+
+@query("tx21_assertion", f"""WITH {_mentions_sql(["acute"])}, w AS (SELECT doc_id, start, regexp_extract(substr(text, greatest(start - 39, 1), least(start, 40)), '([^.;\\n]*)$', 1) AS own FROM m)
+SELECT doc_id, start, CASE """ + " ".join(f"WHEN regexp_matches(own, '(?i){_CUE % words}') THEN '{state}'" for state, words in tx.CUES) + " ELSE 'PRESENT' END AS state FROM o")
 def _(t: Loader):
     m = tx.mentions(t.documents, "doc_id", "text", ["acute"], 40)
     return m.select("doc_id", "start", tx.assertion(F.col("near"), F.col("at"), F.col("at") + F.length("term")).alias("state"))
@@ -135,7 +148,7 @@ def _(t: Loader):
     return t.extracted_entities.select("entity_id", state.alias("state"))
 
 
-_RATIO = """WITH p AS (SELECT DISTINCT expanded_text AS a, omop_concept_name AS b FROM normalized_entities WHERE omop_concept_name IS NOT NULL AND regexp_matches(expanded_text || omop_concept_name, '^[\\x20-\\x7e]*$')), w AS (SELECT a, b, list_filter(list_distinct(regexp_extract_all(lower(a), '[a-z0-9]+')), lambda x: x NOT IN ('of', 'in')) AS x, list_filter(list_distinct(regexp_extract_all(lower(b), '[a-z0-9]+')), lambda x: x NOT IN ('of', 'in')) AS y FROM p), r AS (SELECT a, b, CASE WHEN least(len(x), len(y)) > 0 THEN round(len(list_intersect(x, y)) / least(len(x), len(y)), 4) ELSE 0 END AS ratio FROM w)"""
+_RATIO = """WITH p AS (SELECT DISTINCT expanded_text AS a, omop_concept_name AS b FROM normalized_entities WHERE omop_concept_name IS NOT NULL AND expanded_text IS NOT NULL), w AS (SELECT a, b, list_filter(list_distinct(regexp_extract_all(lower(a), '[a-z0-9]+')), lambda x: x NOT IN ('of', 'in')) AS x, list_filter(list_distinct(regexp_extract_all(lower(b), '[a-z0-9]+')), lambda x: x NOT IN ('of', 'in')) AS y FROM p), r AS (SELECT a, b, CASE WHEN least(len(x), len(y)) > 0 THEN round(len(list_intersect(x, y)) / least(len(x), len(y)), 4) ELSE 0 END AS ratio FROM w)"""
 
 
 def _ratio(t: Loader):
@@ -252,7 +265,7 @@ def _(t: Loader):
     return global_rank(a, ["entity"]).select("entity", F.col("rank").alias("id"))
 
 
-@query("kg12_vector_tiebreak", "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT label, list_avg(list(x[1])) AS m1, list_avg(list(x[2])) AS m2 FROM v GROUP BY 1), d AS (SELECT label, vec_id, sqrt(pow(x[1] - m1, 2) + pow(x[2] - m2, 2)) AS d FROM v JOIN c USING (label)) SELECT label, arg_min(vec_id, (round(d, 9), vec_id)) AS vec_id FROM d GROUP BY 1")
+@query("kg12_vector_tiebreak", "WITH v AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) u(i)), c AS (SELECT label, i, avg(x) AS m FROM v GROUP BY 1, 2), d AS (SELECT label, vec_id, sqrt(sum(pow(x - m, 2))) AS d FROM v JOIN c USING (label, i) GROUP BY 1, 2) SELECT label, arg_min(vec_id, (round(d, 9), vec_id)) AS vec_id FROM d GROUP BY 1")
 def _(t: Loader):
     v = t.embeddings.where("embedding IS NOT NULL").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
     means = v.select("label", F.posexplode("x").alias("i", "value")).groupBy("label", "i").agg(F.avg("value").alias("m"))
