@@ -135,7 +135,7 @@ _CUE = r"(^|[^\p{L}\p{M}\p{N}\p{Pc}])(%s)($|[^\p{L}\p{M}\p{N}\p{Pc}])"
 
 
 @query("tx21_assertion", f"""WITH {_mentions_sql(["acute"])}, w AS (SELECT doc_id, start, regexp_extract(substr(text, greatest(start - 39, 1), least(start, 40)), '([^.;\\n]*)$', 1) AS own FROM m)
-SELECT doc_id, start, CASE """ + " ".join(f"WHEN regexp_matches(own, '(?i){_CUE % words}') THEN '{state}'" for state, words in tx.CUES) + " ELSE 'PRESENT' END AS state FROM o")
+SELECT doc_id, start, CASE """ + " ".join(f"WHEN regexp_matches(own, '(?i){_CUE % words}') THEN '{state}'" for state, words in tx.CUES) + " ELSE 'PRESENT' END AS state FROM w")
 def _(t: Loader):
     m = tx.mentions(t.documents, "doc_id", "text", ["acute"], 40)
     return m.select("doc_id", "start", tx.assertion(F.col("near"), F.col("at"), F.col("at") + F.length("term")).alias("state"))

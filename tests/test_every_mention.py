@@ -33,7 +33,7 @@ def kind(t, s, e):
 
 def state(t, s):
     own = re.split(r"[.;\n]", t[max(s - 40, 0) : s])[-1]
-    return next((name for name, cue in CUES if re.search(cue.replace("(?iU)", "(?i)"), own)), "PRESENT")
+    return next((name for name, cue in CUES if re.search(rf"(?i)\b(?:{cue})\b", own)), "PRESENT")
 
 
 def test_every_number_context(got):
