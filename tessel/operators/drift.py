@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.operators.nested import Nesting, parse_record
+from tessel.operators.nested import find_shape, record_objects
 
 _FIELD = pa.struct([("path", pa.string()), ("types", pa.string()), ("sign", pa.string())])
 
@@ -69,18 +69,22 @@ def changes_between(old: list[dict], new: list[dict]) -> list[tuple[str, str, st
     return out
 
 
-def file_schemas(files: DataFrame, nesting: Nesting, *, file_id: str, series: str, version: str, payload: str) -> DataFrame:
+def file_schemas(files: DataFrame, root: str, *, file_id: str, series: str, version: str, payload: str) -> DataFrame:
     """One row per readable file with the fields its records hold and the types of each.
 
+    The records are the objects of the payload's outermost array, called ``root`` (see nested.roots).
+
     Unreadable, null and empty payloads give no row; repeated deliveries of a file count once. A
     readable payload without records counts as a version without fields.
     """
 
+    shape = find_shape(files, payload, root)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, fields = [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
-                if (items := parse_record(text, nesting)) is not None:
+                if (items := record_objects(text, root, shape)) is not None:
                     keep.append(i)
                     fields.append([dict(zip(("path", "types", "sign"), f)) for f in fields_of(items)])
             kept = pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:3]], names=["file_id", "series", "version_no"])
@@ -112,22 +116,31 @@ def schema_changes(schemas: DataFrame) -> DataFrame:
 def canonical_paths(changes: DataFrame, schemas: DataFrame) -> DataFrame:
     """(path, canonical_path): the names a field had through renames, mapped to the one most files use.
 
-    The paths of a schema, not the rows, bound its size. Names are joined through chains of renames.
+    Names are joined through renames, the most frequent first, unless they stand together in as many
+    files as they were renamed in: then they are two fields that once changed places. The paths of a
+    schema, not the rows, bound its size.
     """
     used = schemas.select(F.explode("fields.path").alias("path")).groupBy("path").agg(F.count("*").alias("n")).collect()
-    links = changes.where(F.col("change_kind") == "renamed").select("field_path", "new_path").distinct().collect()
-    root = {r["path"]: r["path"] for r in used}
+    links = changes.where(F.col("change_kind") == "renamed").groupBy("field_path", "new_path").agg(F.count("*").alias("n")).collect()
+    renamed = sorted({p for r in links for p in (r["field_path"], r["new_path"])})
+    own = schemas.select(F.array_sort(F.array_intersect("fields.path", F.array(*map(F.lit, renamed)).cast("array<string>"))).alias("p")).where(F.size("p") > 1).groupBy("p").agg(F.count("*").alias("n"))
+    pairs = own.select("p", "n", F.explode("p").alias("a")).select("a", "n", F.explode("p").alias("b")).where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    both = {(r["a"], r["b"]): r["n"] for r in pairs}
+    moved: dict[tuple[str, str], int] = {}
+    for r in links:
+        for k in ((r["field_path"], r["new_path"]), (r["new_path"], r["field_path"])):
+            moved[k] = moved.get(k, 0) + r["n"]
     count = {r["path"]: r["n"] for r in used}
-
-    def find(p: str) -> str:
-        while root.setdefault(p, p) != p:
-            p = root[p]
-        return p
-
-    for r in sorted(map(tuple, links)):
-        a, b = sorted((find(r[0]), find(r[1])), key=lambda p: (-count.get(p, 0), p))
-        root[b] = a
-    return schemas.sparkSession.createDataFrame([(p, find(p)) for p in sorted(root)] or [], "path string, canonical_path string")
+    group = {p: {p} for p in [*count, *renamed]}
+    for r in sorted(links, key=lambda r: (-r["n"], r["field_path"], r["new_path"])):
+        a, b = group[r["field_path"]], group[r["new_path"]]
+        between = [(p, q) for p in a for q in b]
+        if a is not b and sum(both.get(k, 0) for k in between) < sum(moved.get(k, 0) for k in between):
+            for p in b:
+                group[p] = a
+            a |= b
+    rows = [(p, min(g, key=lambda x: (-count.get(x, 0), x))) for p, g in sorted(group.items())]
+    return schemas.sparkSession.createDataFrame(rows, "path string, canonical_path string")
 
 
 def union_schema(schemas: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -148,12 +161,17 @@ def unified(objects: DataFrame, names: dict[str, list[str]], types: dict[str, li
     ``levels`` for each table path the start of its paths, such as rules and "rules."; the longest
     start that fits tells the level of a path. Renames never leave a level. A
     field of one type is one text column; a field of several also has one column per type, filled in
-    the rows of that type, beside the canonical text. Dots in paths become underscores.
+    the rows of that type, beside the canonical text. Dots in paths become underscores. Where an
+    object has a field under two of its names, the value under the second is kept in ``other_names``.
     """
     cols = ["key", "table_path", "child_path", "parent_path"]
+    second = []
     for path in sorted(names):
         level, start = max(((t, p) for t, p in levels.items() if path.startswith(p)), key=lambda x: len(x[1]))
         spelled = [n[len(start) :] for n in [path, *sorted(set(names[path]) - {path})]]
+        if len(spelled) > 1:
+            held = F.filter(F.array(*map(F.lit, spelled)), lambda n: F.map_contains_key("fields", n))
+            second.append(F.when(F.col("table_path") == level, F.slice(held, 2, len(spelled))).otherwise(F.array().cast("array<string>")))
         value = F.when(F.col("table_path") == level, F.coalesce(*(F.col("fields")[n] for n in spelled)))
         text = F.when(value.startswith('"'), F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")[0]).otherwise(value)
         name = path.replace(".", "_").replace("@", "")
@@ -162,4 +180,7 @@ def unified(objects: DataFrame, names: dict[str, list[str]], types: dict[str, li
             tag = {"string": value.startswith('"'), "array": value.startswith("["), "boolean": value.isin("true", "false"), "number": value.rlike("^-?[0-9]")}
             cast = {"string": text, "array": F.from_json(value, "array<string>"), "boolean": value == "true", "number": value.cast("double")}
             cols += [F.when(tag[t], cast[t]).alias(f"{name}__{t}") for t in sorted(types[path])]
-    return objects.select(*cols)
+    rest = F.concat(*second) if second else F.array().cast("array<string>")
+    other = F.map_filter("fields", lambda k, _: F.array_contains("_second", k))
+    kept = F.when(F.size("_second") > 0, F.array_sort(F.map_entries(other)))  # a map could not be compared
+    return objects.withColumn("_second", rest).select(*cols, kept.alias("other_names"))

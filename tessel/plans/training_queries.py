@@ -44,17 +44,18 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_counts(_orphans(spark, d))
 
 
-GUIDELINE = nested.Nesting("@graph", {"@graph": ("rules", "grounding_provenance"), "rules": ("evidence",)}, ("@id", "@type"))
-VOTES = nested.Nesting("models", {"models": ("eval_trail",)}, ("model", "verdict"))
+#: What the outermost array of a record is called.
+ROOTS = {"guideline_files": "@graph", "mollm_decisions": "models"}
 
 
 def _objects(spark: SparkSession, d: str, source: str, with_fields: bool = True) -> DataFrame:
+    rows = table(spark, d, source)
     if source == "guideline_files":
-        return nested.flatten_json(table(spark, d, source), F.col("file_id").cast("string"), "payload", GUIDELINE, with_fields)
+        return nested.flatten_json(rows, F.col("file_id").cast("string"), "payload", ROOTS[source], with_fields)
     if source == "mollm_decisions":
-        return nested.flatten_json(table(spark, d, source), "mollm_call_id", "models", VOTES, with_fields)
+        return nested.flatten_json(rows, "mollm_call_id", "models", ROOTS[source], with_fields)
     key = F.concat("entity_id", F.lit("|"), "expanded_text")
-    return nested.flatten_typed(table(spark, d, source), key, "candidates", with_fields)
+    return nested.flatten_typed(rows, key, "candidates", with_fields)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +71,7 @@ def _flat(source: str, table_path: str, columns: dict[str, str]) -> Callable[[Sp
 
 
 #: For each table path of a guideline graph, the start of its fields' paths in the schemas.
-LEVELS = {"@graph": "", "rules": "rules.", "evidence": "rules.evidence.", "grounding_provenance": "grounding_provenance."}
+LEVELS = {"@graph": "", "rules": "rules.", "rules.evidence": "rules.evidence.", "grounding_provenance": "grounding_provenance."}
 
 
 def _names(canonical: DataFrame) -> dict[str, list[str]]:
@@ -95,13 +96,23 @@ def _flat_drifted(table_path: str, columns: dict[str, str]) -> Callable[[SparkSe
 
 p2_nodes = _flat_drifted("@graph", {"id": "@id", "type": "@type", "name": "name", "snomed": "snomed", "icd10": "icd10", "quality_flag": "quality_flag", "source_document": "provenance.source_document", "threshold_operator": "quantitative_threshold.operator", "threshold_lower_bound": "quantitative_threshold.lower_bound", "threshold_unit": "quantitative_threshold.unit"})
 p2_rules = _flat_drifted("rules", {"predicate": "predicate", "target": "target", "rationale": "rationale", "citation": "citation", "citation_type": "citation_type", "citation_verbatim_excerpt": "citation_verbatim_excerpt"})
-p2_evidence = _flat_drifted("evidence", {"kind": "kind", "grade": "grade"})
+p2_evidence = _flat_drifted("rules.evidence", {"kind": "kind", "grade": "grade"})
 p2_groundings = _flat_drifted("grounding_provenance", {"source": "source", "tier": "tier", "grounded_at": "grounded_at"})
 p2_votes = _flat("mollm_decisions", "models", {"model": "model", "verdict": "verdict", "logprob_confidence": "logprob_confidence", "degenerate_generation": "degenerate_generation", "reasoning": "reasoning"})
 p2_trail = _flat("mollm_decisions", "eval_trail", {"candidate_index": "candidate_index", "accepted": "accepted", "error": "error"})
 p2_candidates = _flat("normalized_entities", "candidates", {"omop_concept_id": "omop_concept_id", "concept_name": "concept_name", "domain_id": "domain_id", "vocabulary_id": "vocabulary_id", "match_tier": "match_tier", "similarity_score": "similarity_score", "match_basis": "match_basis"})
 
 
+def p2_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Every scalar of the JSON records by its path: how often it stands there and in how many records."""
+    out = None
+    for source, (key, text) in {"guideline_files": (F.col("file_id").cast("string"), "payload"), "mollm_decisions": (F.col("mollm_call_id"), "models")}.items():
+        part = nested.path_triples(table(spark, d, source), key, text).groupBy("path").agg(F.count("*").alias("n_values"), F.countDistinct("key").alias("n_records"), F.max(F.size("ordinals")).alias("depth"))
+        part = part.select(F.lit(source).alias("parent_table"), "path", "depth", "n_values", "n_records")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _bounds(spark: SparkSession, d: str) -> DataFrame:
     thresholds = table(spark, d, "quantitative_threshold").drop("operator", "upper_bound", "alternative_upper_bound", "source_document", "created_at").distinct()
     return units.read_bounds(thresholds, table(spark, d, "measure_units"), row_id="threshold_id", measure="measure", lower_bound="lower_bound", unit="unit", alternative_lower_bound="alternative_lower_bound", alternative_unit="alternative_unit", condition_text="condition_text")
@@ -118,7 +129,7 @@ def p3_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _schemas(spark: SparkSession, d: str) -> DataFrame:
-    return drift.file_schemas(table(spark, d, "guideline_files"), GUIDELINE, file_id="file_id", series="series", version="version_no", payload="payload")
+    return drift.file_schemas(table(spark, d, "guideline_files"), ROOTS["guideline_files"], file_id="file_id", series="series", version="version_no", payload="payload")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -161,6 +172,7 @@ hit AS (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p2_triples": p2_triples,
     "p2_nodes": p2_nodes,
     "p2_rules": p2_rules,
     "p2_evidence": p2_evidence,

@@ -3,7 +3,7 @@ from datetime import datetime
 
 from tessel.operators import drift, nested, references, units
 
-N = nested.Nesting("models", {"models": ("trail",)}, ("model",))
+N = "models"
 
 
 def _orphans(spark, child, parent, **kw):
@@ -84,9 +84,8 @@ def test_rename_needs_the_same_places_and_ignores_null_elements():
 
 
 def test_schema_changes_skip_unreadable_versions_and_repeats(spark):
-    g = nested.Nesting("@graph", {}, ("@id",))
     rows = [(1, "s", 1, '{"@graph": [{"a": 1}]}'), (2, "s", 2, "broken"), (3, "s", 3, '{"@graph": [{"a": 1, "b": 2}]}'), (3, "s", 3, '{"@graph": [{"a": 1, "b": 2}]}'), (4, "s", 4, None), (5, None, 1, '{"@graph": []}')]
-    schemas = drift.file_schemas(spark.createDataFrame(rows, "id long, series string, v int, payload string"), g, file_id="id", series="series", version="v", payload="payload")
+    schemas = drift.file_schemas(spark.createDataFrame(rows, "id long, series string, v int, payload string"), "@graph", file_id="id", series="series", version="v", payload="payload")
     assert [tuple(r)[:3] for r in drift.schema_changes(schemas).collect()] == [(3, "b", "added")]
     assert drift.schema_changes(schemas.limit(0)).count() == 0
 

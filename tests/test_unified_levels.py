@@ -5,9 +5,9 @@ import pytest
 from tessel.plans import catalog
 
 
-def _payload(snomed, op, excerpt, kind):
+def _payload(snomed, op, excerpt, kind, groundings=lambda g: g):
     rule = {"predicate": "treats", "target": "t", excerpt: "as said", kind: "guideline", "evidence": [{"kind": "trial", "grade": "A"}]}
-    node = {"@id": "n1", "@type": "Finding", "name": "x", snomed: "123", "quantitative_threshold": {op: ">", "lower_bound": 5}, "rules": [rule], "grounding_provenance": {"source": "s", "tier": "1"}}
+    node = {"@id": "n1", "@type": "Finding", "name": "x", snomed: "123", "quantitative_threshold": {op: ">", "lower_bound": 5}, "rules": [rule], "grounding_provenance": groundings({"source": "s", "tier": "1"})}
     return json.dumps({"@graph": [node]})
 
 
@@ -15,7 +15,7 @@ def _payload(snomed, op, excerpt, kind):
 def folder(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("guidelines")
     files = [
-        (1, "g", 1, _payload("snomed", "operator", "citation_verbatim_excerpt", "citation_type")),
+        (1, "g", 1, _payload("snomed", "operator", "citation_verbatim_excerpt", "citation_type", lambda g: [g])),
         (2, "g", 2, _payload("snomedId", "op", "excerpt", "cite_kind")),
         (3, "h", 1, _payload("snomed", "operator", "citation_verbatim_excerpt", "citation_type")),
         (4, "h", 2, "{unreadable"),
@@ -31,12 +31,12 @@ def test_unified_holds_every_field_of_every_level(spark, folder):
     own = {
         "@graph": {"id": "n1", "type": "Finding", "name": "x", "snomed": "123", "quantitative_threshold_operator": ">", "quantitative_threshold_lower_bound": "5"},
         "rules": {"rules_predicate": "treats", "rules_target": "t", "rules_citation_verbatim_excerpt": "as said", "rules_citation_type": "guideline"},
-        "evidence": {"rules_evidence_kind": "trial", "rules_evidence_grade": "A"},
+        "rules.evidence": {"rules_evidence_kind": "trial", "rules_evidence_grade": "A"},
         "grounding_provenance": {"grounding_provenance_source": "s", "grounding_provenance_tier": "1"},
     }
     none = dict.fromkeys(c for fields in own.values() for c in fields)
     for (_, level), row in rows.items():
-        assert {c: v for c, v in row.items() if c not in ("key", "table_path", "child_path", "parent_path")} == none | own[level]
+        assert {c: v for c, v in row.items() if c not in ("key", "table_path", "child_path", "parent_path", "other_names")} == none | own[level]
 
 
 def test_flat_tables_read_drifted_names(spark, folder):
