@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import confusables, consensus, leakage, mapping, packing, splits
-from tessel.operators.nested import Nesting, flatten_json
+from tessel.operators.nested import Shape, flatten_json
 from tessel.sources.tables import materialize, table
 
 # What the labels of mentions are called in the reference list.
@@ -39,11 +39,14 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return _mapped(spark, d, _unmapped(spark, d))
 
 
+#: What the vote records hold; given, so that they are read once only.
+VOTES = Shape(frozenset({"eval_trail"}), frozenset({"model", "verdict", "logprob_confidence", "degenerate_generation", "clinical_meaning", "reasoning", "eval_trail"}))
+
+
 def _votes(spark: SparkSession, d: str) -> DataFrame:
-    votes = Nesting("models", {"models": ()}, ("model", "verdict"))
     f = F.col("fields")
     text = lambda name: F.regexp_replace(f[name], '^"|"$', "")
-    a = flatten_json(table(spark, d, "mollm_decisions"), "mollm_call_id", "models", votes)
+    a = flatten_json(table(spark, d, "mollm_decisions"), "mollm_call_id", "models", "models", shape=VOTES).where("table_path = 'models'")
     a = a.select(F.col("key").alias("item_id"), text("model").alias("model"), text("verdict").alias("verdict"), F.col("ordinal").alias("position"), F.coalesce(f["degenerate_generation"] == "true", F.lit(False)).alias("bad"))
     b = table(spark, d, "mollm_tier_gate_decisions").select(F.col("mollm_call_id").alias("item_id"), F.posexplode("models").alias("position", "m"))
     b = b.select("item_id", "m.model", "m.verdict", "position", F.coalesce("m.degenerate_generation", F.lit(False)).alias("bad"))
@@ -114,6 +117,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).where("stretch > 0").select("doc_id", "item_id").distinct()
 
 
+def p9_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs by the share of the item under tiles, in whatever order these stand."""
+    return _leaks(spark, d).where("covered >= 0.5").groupBy("doc_id", "item_id").agg(F.round(F.max("covered"), 6).alias("covered"))
+
+
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     leaks = _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("covered").alias("most_covered"), F.max("stretch").alias("longest_stretch"))
     items = table(spark, d, "eval_items").select("item_id", "suite").distinct()
@@ -149,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_pack": p8_pack,
     "p8_report": p8_report,
     "p9_found": p9_found,
+    "p9_covered": p9_covered,
     "p9_report": p9_report,
     "p10_found": p10_found,
     "p10_unified": p10_unified,
