@@ -10,12 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.looks import LOOKS, look, plain_widths
+from tessel.llm.looks import TO_LATIN, look, plain_widths
 from tessel.sources.tables import materialize
 
-_WORD = re.compile(r"[^\W\d_]+")
-_FOREIGN = re.compile(r"[Ͱ-ϿЀ-ԯἀ-῿]")
-_WITH_FOREIGN = re.compile(r"[^\W\d_]*[Ͱ-ϿЀ-ԯἀ-῿][^\W\d_]*")
+# The blocks of Greek and Cyrillic letters; a letter keeps the marks that follow it.
+_GREEK_CYRILLIC = "\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff"
+_MARK = "\u0300-\u036f"
+_LETTER = rf"(?:[^\W\d_][{_MARK}]*+)"
+_WORD = re.compile(rf"{_LETTER}++")
+_FOREIGN = re.compile(f"[{_GREEK_CYRILLIC}]")
+_TWINS = frozenset(map(chr, TO_LATIN)) | frozenset("".join(TO_LATIN.values()))
 
 
 def script_of(c: str) -> str:
@@ -27,44 +31,59 @@ def script_of(c: str) -> str:
     return "cyrillic" if 0x400 <= code <= 0x52F else unicodedata.name(c, "other").split()[0].lower()
 
 
-def _scripts(word: str) -> Counter:
-    return Counter(s for s in map(script_of, word) if s != "common")
+class _Letters(dict):
+    """Character to (its script, whether it tells the script of its word); filled as characters come up.
+
+    A letter tells nothing when a letter of another script looks the same, with or without marks.
+    """
+
+    def __missing__(self, c: str) -> tuple[str, bool]:
+        script = script_of(c) if c.isalpha() else "common"
+        self[c] = out = (script, script != "common" and unicodedata.normalize("NFD", c)[0] not in _TWINS)
+        return out
+
+
+_LETTERS = _Letters()
+
+
+def dominant(text: str, otherwise: str) -> str:
+    """The script of most letters that have no look-alike in another; ``otherwise`` if there are none or as many of it."""
+    kinds: Counter = Counter()
+    for c, n in Counter(text).items():
+        script, tells = _LETTERS[c]
+        if tells:
+            kinds[script] += n
+    if not kinds:
+        return otherwise
+    top = max(kinds.values())
+    return otherwise if kinds[otherwise] == top else min(s for s, n in kinds.items() if n == top)
 
 
-def _alike(word: str) -> bool:
-    """Whether every letter of a word looks like a Latin one."""
-    return all(c.isascii() or LOOKS[ord(c)] != ord(c) for c in word)
+def _scripts(word: str) -> set[str]:
+    return {s for s, _ in map(_LETTERS.__getitem__, word)} - {"common"}
 
 
-def odd_words(text: str) -> list[tuple[str, str]]:
-    """(word, script it should be in) of the words whose letters may be look-alikes.
+def odd_words(text: str, words: set[str]) -> list[tuple[str, str]]:
+    """(word, script it should be in) of the words of a text that hold letters of another script than their own.
 
-    Words of several scripts should be in their dominant one; words of one script whose letters all
-    look like another's, in a text that is mostly of another script, should be in the text's.
+    A word's script is the dominant one of its letters that could be of no other; a word all of whose
+    letters could is of the text's script. So words that look the same in texts that look the same
+    always get the same script.
     """
     if not _FOREIGN.search(text):
         return []
-    found: dict[str, str] = {}
-    main = None
-    words = _WITH_FOREIGN.findall(text)
-    mostly = Counter()
-    for w in words:
-        mostly.update(_scripts(w))
-    if sum(mostly[s] for s in mostly if s != "latin") * 2 > len(text) / 3:  # not a Latin text with a few odd letters
-        words = _WORD.findall(text)
-    for w in dict.fromkeys(words):
-        kinds = _scripts(w)
-        if len(kinds) > 1:
-            top = max(kinds.values())
-            best = [s for s, n in kinds.items() if n == top]
-            if len(best) > 1:
-                main = main or _scripts("".join(_WORD.findall(text))).most_common(1)[0][0]
-            found[w] = best[0] if len(best) == 1 else main if main in best else sorted(best)[0]
-        elif kinds and _alike(w):
-            main = main or _scripts("".join(_WORD.findall(text))).most_common(1)[0][0]
-            if main not in kinds:
-                found[w] = main
-    return list(found.items())
+    main = dominant(text, "latin")
+    found = []
+    for w in sorted(words):
+        if main == "latin" and w.isascii():
+            continue
+        own = _scripts(w)
+        if own == {main}:
+            continue
+        script = dominant(w, main)
+        if own - {script}:
+            found.append((w, script))
+    return found
 
 
 _PAIR = pa.struct([("word", pa.string()), ("script", pa.string()), ("look", pa.string())])
@@ -82,15 +101,15 @@ def _first(with_text: bool):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 plain = plain_widths(text)
-                odd = odd_words(plain)
-                names = {w for w, _ in odd}
-                new = set(_WORD.findall(plain)) - known - names
+                words = set(_WORD.findall(plain))
+                odd = odd_words(plain, words)
+                new = words - known - {w for w, _ in odd}
                 if len(known) > 1_000_000:
                     known = set()
                 known |= new
-                seen = [{"word": w, "script": next(iter(k), "common") if len(k := _scripts(w)) < 2 else "mixed", "look": look(w)} for w in new]
+                seen = [{"word": w, "script": next(iter(k), "common") if len(k := _scripts(w)) < 2 else "mixed", "look": look(w)} for w in sorted(new)]
                 shows = not plain.isspace() and plain != ""
-                out.append((doc, _digest(text), _digest(look(plain)) if shows and not odd else None, plain if odd or with_text else None, [{"word": w, "script": s, "look": look(w)} for w, s in odd] if shows else [], seen))
+                out.append((doc, _digest(text), _digest(plain) if shows and not odd else None, plain if odd or with_text else None, [{"word": w, "script": s, "look": look(w)} for w, s in odd] if shows else [], seen))
             cols = list(zip(*out)) or [()] * 6
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.list_(_PAIR), pa.list_(_PAIR))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "exact", "look", "body", "odd", "seen"])
@@ -102,38 +121,42 @@ def _repair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for doc, exact, body, fixes in zip(*(c.to_pylist() for c in batch.columns)):
-            swap = {f["word"]: f["right"] for f in fixes or [] if f["right"] is not None}
+            swap = {f["word"]: f["right"] for f in fixes or []}
             text = _WORD.sub(lambda m: swap.get(m[0], m[0]), body) if swap else body
-            out.append((doc, exact, _digest(look(text)), text, len(swap)))
+            out.append((doc, exact, _digest(text), text, len(swap)))
         cols = list(zip(*out)) or [()] * 5
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "exact", "look", "text", "repaired"])
 
 
-def unify_texts(documents: DataFrame, with_text: bool = True) -> DataFrame:
+def unify_texts(documents: DataFrame, with_text: bool = True, repair: bool = True) -> DataFrame:
     """Every text in one form in which equal looks mean equal strings.
 
     documents: (doc_id, text). Returns (doc_id, exact, look, text, repaired): digests of the text as
-    written and of what it looks like, the unified text, and how many of its words were repaired.
-    Without ``with_text`` the text is only given where words had to be looked up.
+    written and of its unified form, that form, and how many of its words were repaired. Without
+    ``with_text`` the text is only given where words had to be looked up; without ``repair`` words
+    stay as they are.
 
     Widths, blanks, invisible characters and composed accents are folded per character. A word that
-    mixes scripts, or is of look-alikes foreign to its text, is written in its dominant script, if
-    the corpus has that very word; all words of the corpus are its vocabulary. Words the corpus does
-    not have stay as written; ``look`` then still tells which texts cannot be told apart. Raised
-    figures, accents, case and line breaks count as visible.
+    holds letters foreign to its script (see odd_words) is replaced by the word of that script which
+    looks the same, if the corpus has it; all words of the corpus are its vocabulary. Where the corpus
+    has it in no pure form, the forms it has are written as the first of them in string order, so words
+    of one look end up the same in either case. Raised figures, accents, case and line breaks count
+    as visible.
 
     Null ids or texts give no row, texts without a visible character a null ``look``; repeated rows
     count once. Long texts are read whole. Only texts with doubtful words are shuffled.
     """
     source = documents.select(F.col("doc_id").cast("long"), F.col("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     first = materialize(source.mapInArrow(_first(with_text), _SCHEMA), "looks")
-    words = first.select(F.explode("seen").alias("s")).select("s.*").where("script <> 'mixed'").distinct()
     odd = first.select(F.explode("odd").alias("o")).select("o.*").distinct()
-    right = odd.join(words.select("script", "look", F.col("word").alias("right")), ["script", "look"]).groupBy("word", "script").agg(F.min("right").alias("right"))
+    words = first.select(F.explode("seen").alias("s")).select("s.*").where("script <> 'mixed'").groupBy("script", "look").agg(F.min("word").alias("pure"))
+    forms = odd.groupBy("script", "look").agg(F.min("word").alias("form"))
+    best = forms.join(words, ["script", "look"], "left").select("script", "look", F.coalesce("pure", "form").alias("right"))
+    right = odd.join(best, ["script", "look"]).where("word <> right").select("word", "script", "right")
     doubtful = first.where(F.size("odd") > 0).select("doc_id", "exact", "body", "odd").dropDuplicates(["doc_id", "exact"])
     each = doubtful.select("doc_id", "exact", F.explode("odd").alias("o")).select("doc_id", "exact", "o.word", "o.script")
-    fixes = each.join(right, ["word", "script"]).groupBy("doc_id", "exact").agg(F.collect_list(F.struct("word", "right")).alias("fixes"))
+    fixes = each.join(right if repair else right.limit(0), ["word", "script"]).groupBy("doc_id", "exact").agg(F.collect_list(F.struct("word", "right")).alias("fixes"))
     repaired = doubtful.join(fixes, ["doc_id", "exact"], "left").select("doc_id", "exact", "body", "fixes").mapInArrow(_repair, "doc_id long, exact binary, look binary, text string, repaired int")
     sound = first.where(F.size("odd") == 0).select("doc_id", "exact", "look", F.col("body").alias("text"), F.lit(0).alias("repaired"))
     return sound.dropDuplicates(["doc_id", "exact"]).unionByName(repaired)

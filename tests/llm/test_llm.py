@@ -249,4 +249,9 @@ def test_mixed_words_are_repaired_only_to_words_of_the_corpus(spark):
     df = spark.createDataFrame([(1, "serum level"), (2, "sеrum zzаz level"), (3, "Пaциент"), (4, "Пациент")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in confusables.unify_texts(df).collect()}
     assert got == {1: "serum level", 2: "serum zzаz level", 3: "Пациент", 4: "Пациент"}
+    many = spark.createDataFrame([(1, "The РОСТ growth"), (2, "The POCT growth"), (3, "ребёнка РОСТ"), (4, "ребёнка POCT"), (5, "rаrelу word"), (6, "rаrely word"), (7, "ca\u0301s word"), (8, "cа\u0301s word")], "doc_id long, text string")
+    pairs = lambda **kw: set(rows(confusables.same_look_pairs(confusables.unify_texts(many, False, **kw)), "doc_id_a", "doc_id_b"))
+    assert pairs() == {(1, 2), (3, 4), (5, 6), (7, 8)} and pairs(repair=False) == set()
+    texts = {r["doc_id"]: r["text"] for r in confusables.unify_texts(many).collect()}
+    assert (texts[1], texts[3]) == ("The POCT growth", "ребёнка РОСТ")
     assert confusables.unify_texts(df.limit(0)).count() == 0
