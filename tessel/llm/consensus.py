@@ -3,7 +3,9 @@
 import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,31 +45,72 @@ def clean_votes(votes: DataFrame) -> DataFrame:
 class Consensus:
     """Result of weigh_votes: per-item labels lazily, per-annotator figures at hand."""
 
-    def __init__(self, items: DataFrame, annotators: DataFrame, rounds: int):
-        self.items, self.annotators, self.rounds = items, annotators, rounds
+    def __init__(self, items: DataFrame, annotators: DataFrame, rounds: int, settled: bool):
+        self.items, self.annotators, self.rounds, self.settled = items, annotators, rounds, settled
+
+
+class _Weights:
+    """What a round knows: labels in the order that settles ties, their log shares, and a weight per annotator and label."""
+
+    def __init__(self, labels: list[str], pairs: list[tuple[str, str]], share: dict[str, float], weight: dict[tuple[str, str], float]):
+        self.labels = sorted(labels, key=lambda x: (-share[x], x))
+        place = {x: i for i, x in enumerate(self.labels)}
+        self.pairs = pa.array([f"{a}\t{x}" for a, x in pairs], pa.string())
+        self.label = np.array([place[x] for _, x in pairs], np.int64)
+        self.weight = np.array([weight[k] for k in pairs])
+        self.prior = np.log(np.array([share[x] for x in self.labels]))
+
+    def score(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, end, row of each vote, its pair, scores of each row's labels) of parts of a batch
+        that are small enough for a table of votes by labels."""
+        votes = batch.column(batch.schema.get_field_index("votes"))
+        flat = votes.flatten()
+        pair = pc.index_in(pc.binary_join_element_wise(flat.field("annotator"), flat.field("label"), "\t"), value_set=self.pairs).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(np.diff(votes.offsets.to_numpy()))
+        width = max(1, 4_000_000 // max(1, len(self.labels)))
+        start = first = 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, first + width, side="right")))
+            own = pair[first : ends[stop - 1]]
+            row = np.repeat(np.arange(stop - start), np.diff(np.concatenate([[first], ends[start:stop]])))
+            scores = np.tile(self.prior, (stop - start, 1))
+            np.add.at(scores, (row, self.label[own]), self.weight[own])
+            yield start, stop, row, own, scores
+            start, first = stop, int(ends[stop - 1])
+
+
+def _certainty(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    top = scores.argmax(1)
+    return top, 1 / np.exp(scores - scores[np.arange(len(scores)), top][:, None]).sum(1)
 
 
 def weigh_votes(
     votes: DataFrame,
     *,
+    per_label: bool = True,
     smoothing: float = 2.0,
     sure: float = 0.9,
     tolerance: float = 1e-3,
-    max_rounds: int = 30,
+    max_rounds: int = 100,
     most: int = 10_000,
 ) -> Consensus:
     """Iteratively reweighted voting over clean votes (item_id, annotator, label).
 
     In turn, each item's consensus is the label of the largest summed weight, and each annotator's
     accuracy is measured, smoothed, against the weighted vote of the others, without the own vote,
-    on the items where the others are ``sure``. The accuracy is kept per label said, as some
-    annotators say one label whenever they do not know: a vote weighs the log of how much oftener it
-    is said when it is right than when it is not. Labels start with the log of their share of the
-    consensus. This ends when no accuracy moves by ``tolerance``.
+    on the items where the others are ``sure`` (0: on all). This ends when no accuracy moves by
+    ``tolerance``; after ten rounds the counts are averaged over the rounds, so that figures which go
+    back and forth settle too. ``settled`` tells whether they did within ``max_rounds``.
+
+    A vote weighs the log odds of its annotator's accuracy. With ``per_label`` the leave-one-out
+    accuracy is kept per label said, as some annotators say one label whenever they do not know: a
+    vote weighs the log of how much oftener it is said when it is right than when it is not, and
+    labels start with the log of their share of the consensus.
 
     ``items`` gives (item_id, label, n_annotators, support, agreement): the share of the weight behind
     the label and the share of annotators behind it; ``annotators`` the accuracy over all labels, the
-    accuracy of the annotator's most and least trusted label, and the number of votes.
+    accuracy of the annotator's most and least trusted label, the number of votes, the rounds and
+    whether they settled.
 
     Items with the same votes by the same annotators are counted once, so the rounds run over the
     distinct patterns; only figures per annotator and label reach the driver, at most ``most``
@@ -81,89 +124,103 @@ def weigh_votes(
     labels, names = sorted({r["label"] for r in used}), sorted({r["annotator"] for r in used})
     if len(labels) > most or len(names) > most or len(used) > most * 10:
         raise ValueError(f"more than {most} labels or annotators")
+    pairs = sorted((r["annotator"], r["label"]) for r in used)
     k = max(2, len(labels))
-    share = {x: 1 / k for x in labels}
-    weight = {(a, x): math.log(0.7 * (k - 1) / 0.3) for a in names for x in labels}
+    odds = lambda right: math.log(right * (k - 1) / (1 - right))
+    share = dict.fromkeys(labels, 1 / k)
+    weight = dict.fromkeys(pairs, odds(0.7))
     accuracy = dict.fromkeys(names, 0.7)
-    trust = {(r["annotator"], r["label"]): 0.7 for r in used}
-
-    def scores_of(votes: list[dict]) -> tuple[list[float], dict[str, int]]:
-        """Each label's score, in the order that settles ties: the more common label, then string order."""
-        order = sorted(labels, key=lambda x: (-share[x], x))
-        place = {x: i for i, x in enumerate(order)}
-        s = [math.log(share[x]) for x in order]
-        for v in votes:
-            s[place[v["label"]]] += weight[v["annotator"], v["label"]]
-        return s, place
-
-    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, list] = {}
-        for batch in batches:
-            for votes, n in zip(batch.column("votes").to_pylist(), batch.column("n").to_pylist()):
-                s, place = scores_of(votes)
-                order = list(place)
-                label = order[max(range(len(s)), key=lambda i: (s[i], -i))]
-                for v in votes:
-                    own, w = place[v["label"]], weight[v["annotator"], v["label"]]
-                    s[own] -= w
-                    top = max(range(len(s)), key=lambda i: (s[i], -i))
-                    p = 1 / sum(math.exp(x - s[top]) for x in s)
-                    s[own] += w
-                    cell = sums.setdefault((v["annotator"], v["label"], order[top], label), [0, 0.0])
-                    cell[0] += n if p >= sure and len(votes) > 1 else 0
-                    cell[1] += n / len(votes)
-        cols = list(zip(*((*k, *c) for k, c in sums.items()))) or [()] * 6
-        kinds = [pa.string()] * 4 + [pa.int64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["annotator", "said", "told", "label", "n", "items"])
+    trust = dict.fromkeys(pairs, 0.7)
+    by_name: dict[str, list[str]] = {}
+    for a, x in pairs:
+        by_name.setdefault(a, []).append(x)
+
+    def learner(now: _Weights):
+        n_labels = len(now.labels)
+
+        def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            told_n = np.zeros(len(pairs) * n_labels, np.int64)
+            label_n = np.zeros(n_labels, np.int64)
+            for batch in batches:
+                n = batch.column(batch.schema.get_field_index("n")).to_numpy()
+                for start, stop, row, own, scores in now.score(batch):
+                    part = n[start:stop]
+                    np.add.at(label_n, scores.argmax(1), part)
+                    others = scores[row]
+                    others[np.arange(len(row)), now.label[own]] -= now.weight[own]
+                    told, p = _certainty(others)
+                    counts = (p >= sure) & (np.bincount(row, minlength=stop - start)[row] > 1)
+                    np.add.at(told_n, own[counts] * n_labels + told[counts], part[row[counts]])
+            at = np.flatnonzero(told_n)
+            rows = [(int(i // n_labels), int(i % n_labels), int(told_n[i])) for i in at] + [(-1, int(i), int(label_n[i])) for i in np.flatnonzero(label_n)]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["pair", "told", "n"])
+
+        return learn
 
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = _Weights(labels, pairs, share, weight)
+        names = np.array(now.labels, object)
         for batch in batches:
-            out = []
-            for pattern, votes in zip(batch.column("pattern").to_pylist(), batch.column("votes").to_pylist()):
-                s, place = scores_of(votes)
-                top = max(range(len(s)), key=lambda i: (s[i], -i))
-                label = list(place)[top]
-                out.append((pattern, label, len(votes), 1 / sum(math.exp(x - s[top]) for x in s), sum(v["label"] == label for v in votes) / len(votes)))
-            cols = list(zip(*out)) or [()] * 5
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["pattern", "label", "n_annotators", "support", "agreement"])
-
-    rounds = 0
-    while used and rounds < max_rounds:
+            for start, stop, row, own, scores in now.score(batch):
+                top, p = _certainty(scores)
+                size = np.bincount(row, minlength=stop - start)
+                behind = np.bincount(row, weights=now.label[own] == top[row], minlength=stop - start)
+                cols = [batch.column(0).slice(start, stop - start), pa.array(names[top], pa.string()), pa.array(size, pa.int32()), pa.array(p), pa.array(behind / size)]
+                yield pa.RecordBatch.from_arrays(cols, names=["pattern", "label", "n_annotators", "support", "agreement"])
+
+    rounds, settled, last = 0, not used, ()
+    while used and rounds < max_rounds and not settled:
         rounds += 1
-        told = each.select("votes", "n").mapInArrow(learn, "annotator string, said string, told string, label string, n long, items double")
-        rows = told.groupBy("annotator", "said", "told", "label").agg(F.sum("n").alias("n"), F.sum("items").alias("items")).collect()
+        now = _Weights(labels, pairs, share, weight)
+        rows = each.select("votes", "n").mapInArrow(learner(now), "pair long, told long, n long").groupBy("pair", "told").agg(F.sum("n").alias("n")).collect()
         seen: dict[tuple[str, str], float] = {}
         said: dict[tuple[str, str], float] = {}
         hits: dict[tuple[str, str], float] = {}
         counts = dict.fromkeys(labels, 1.0)
         for r in rows:
-            a, x, t, n = r["annotator"], r["said"], r["told"], r["n"]
+            t, n = now.labels[r["told"]], r["n"]
+            if r["pair"] < 0:
+                counts[t] += n
+                continue
+            a, x = pairs[r["pair"]]
             seen[a, t] = seen.get((a, t), 0) + n
             said[a, x] = said.get((a, x), 0) + n
             hits[a, x] = hits.get((a, x), 0) + n * (x == t)
-            counts[r["label"]] += r["items"]
+        if rounds > 10:  # figures that go back and forth are averaged over the rounds, so they settle
+            step = 1 / (rounds - 9)
+            for new, old in zip((seen, said, hits, counts), last):
+                for key in new.keys() | old.keys():
+                    new[key] = old.get(key, 0) + step * (new.get(key, 0) - old.get(key, 0))
+        last = (seen, said, hits, counts)
         total = sum(counts.values())
-        share = {x: counts[x] / total for x in labels}
+        share = {x: counts[x] / total if per_label else 1 / k for x in labels}
         moved = 0.0
+        every, right_n = dict.fromkeys(names, 0), dict.fromkeys(names, 0)
+        for (a, _), n in said.items():
+            every[a] += n
+        for (a, _), n in hits.items():
+            right_n[a] += n
         for a in names:
-            every = sum(seen.get((a, x), 0) for x in labels)
-            new = (sum(hits.get((a, x), 0) for x in labels) + smoothing) / (every + 2 * smoothing)
+            new = (right_n[a] + smoothing) / (every[a] + 2 * smoothing)
             moved = max(moved, abs(new - accuracy[a]))
             accuracy[a] = new
-            for x in labels:
+            for x in by_name[a]:
                 h = hits.get((a, x), 0)
                 right = (h + smoothing * new) / (seen.get((a, x), 0) + smoothing)
-                wrong = (said.get((a, x), 0) - h + smoothing * (1 - new) / (k - 1)) / (every - seen.get((a, x), 0) + smoothing)
-                weight[a, x] = max(-6.0, min(8.0, math.log(right / wrong)))
-                if (a, x) in trust:
-                    trust[a, x] = (h + smoothing * new) / (said.get((a, x), 0) + smoothing)
-        if moved < tolerance:
-            break
+                wrong = (said.get((a, x), 0) - h + smoothing * (1 - new) / (k - 1)) / (every[a] - seen.get((a, x), 0) + smoothing)
+                weight[a, x] = max(-6.0, min(8.0, math.log(right / wrong))) if per_label else odds(new)
+                trust[a, x] = (h + smoothing * new) / (said.get((a, x), 0) + smoothing)
+        settled = moved < tolerance
     done = each.select("pattern", "votes").mapInArrow(decide, "pattern string, label string, n_annotators int, support double, agreement double")
     items = pattern.select("item_id", "pattern").join(done, "pattern").drop("pattern")
-    rows = [(a, float(accuracy[a]), max(t := [p for (b, _), p in trust.items() if b == a]), min(t), sum(r["n"] for r in used if r["annotator"] == a)) for a in names]
-    return Consensus(items, votes.sparkSession.createDataFrame(rows, "annotator string, accuracy double, best_label_accuracy double, worst_label_accuracy double, n_votes long"), rounds)
+    best, worst, cast = {}, {}, dict.fromkeys(names, 0)
+    for (a, _), t in trust.items():
+        best[a], worst[a] = max(t, best.get(a, 0.0)), min(t, worst.get(a, 1.0))
+    for r in used:
+        cast[r["annotator"]] += r["n"]
+    rows = [(a, float(accuracy[a]), best[a], worst[a], cast[a], rounds, settled) for a in names]
+    return Consensus(items, votes.sparkSession.createDataFrame(rows, "annotator string, accuracy double, best_label_accuracy double, worst_label_accuracy double, n_votes long, rounds int, settled boolean"), rounds, settled)
 
 
 def chance_corrected(votes: DataFrame) -> DataFrame:

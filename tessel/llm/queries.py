@@ -68,6 +68,14 @@ def p4_models(spark: SparkSession, d: str) -> DataFrame:
     return consensus.weigh_votes(_votes(spark, d)).annotators.withColumnRenamed("annotator", "model")
 
 
+def p4_weightings(spark: SparkSession, d: str) -> DataFrame:
+    """One row: decisions with three models or more, and on how many of them both weightings give one verdict."""
+    votes = materialize(_votes(spark, d), "votes")
+    own = consensus.weigh_votes(votes).items.where("n_annotators >= 3")
+    plain = consensus.weigh_votes(votes, per_label=False, sure=0.0).items.select("item_id", F.col("label").alias("plain"))
+    return own.join(plain, "item_id").agg(F.count("*").alias("n_items"), F.count_if(F.col("label") == F.col("plain")).alias("n_same"))
+
+
 def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.chance_corrected(_votes(spark, d))
 
@@ -150,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_items": p4_items,
     "p4_models": p4_models,
+    "p4_weightings": p4_weightings,
     "p4_agreement": p4_agreement,
     "p5_found": p5_found,
     "p5_split": p5_split,

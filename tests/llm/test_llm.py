@@ -62,9 +62,54 @@ def test_reweighted_votes_beat_the_majority_and_single_votes_stand(spark):
     assert right > 0.9 > majority and got["lone"] == "a"
     acc = {r["annotator"]: r["accuracy"] for r in c.annotators.collect()}
     assert acc["good"] > acc["fair"] > acc["bad1"]
+    assert c.settled and set(r["settled"] for r in c.annotators.collect()) == {True}
+    assert not consensus.weigh_votes(df, max_rounds=1).settled
     assert consensus.weigh_votes(df.limit(0)).items.count() == 0
 
 
+def _plain_consensus(votes, smoothing=2.0, start=0.7, tolerance=1e-3):
+    """The named method, vote by vote: accuracy on all items against the others' weighted vote."""
+    import math
+
+    labels, names = sorted({x for _, _, x in votes}), sorted({a for _, a, _ in votes})
+    k = max(2, len(labels))
+    items = {}
+    for i, a, x in votes:
+        items.setdefault(i, []).append((a, x))
+    weight, acc = dict.fromkeys(names, math.log(start * (k - 1) / (1 - start))), dict.fromkeys(names, start)
+    order = labels
+    top = lambda s: max(order, key=lambda x: (s[x], -order.index(x)))
+    while True:
+        score = {i: {x: sum(weight[a] for a, y in v if y == x) for x in labels} for i, v in items.items()}
+        share = {x: 1.0 + sum(top(s) == x for s in score.values()) for x in labels}
+        hits, n = dict.fromkeys(names, 0), dict.fromkeys(names, 0)
+        for i, v in items.items():
+            for a, x in v if len(v) > 1 else ():
+                s = dict(score[i])
+                s[x] -= weight[a]
+                n[a] += 1
+                hits[a] += top(s) == x
+        new = {a: (hits[a] + smoothing) / (n[a] + 2 * smoothing) for a in names}
+        moved = max(abs(new[a] - acc[a]) for a in names)
+        acc, weight = new, {a: math.log(new[a] * (k - 1) / (1 - new[a])) for a in names}
+        if moved < tolerance:
+            return {i: top({x: sum(weight[a] for a, y in v if y == x) for x in labels}) for i, v in items.items()}, acc
+
+
+def test_the_plain_weighting_equals_brute_force(spark):
+    rng = random.Random(11)
+    votes = []
+    for i in range(300):
+        t = rng.choice("abc")
+        for m, p in (("m1", 0.93), ("m2", 0.81), ("m3", 0.66), ("m4", 0.43)):
+            if rng.random() < 0.8:
+                votes.append((str(i), m, t if rng.random() < p else rng.choice([x for x in "abc" if x != t])))
+    c = consensus.weigh_votes(spark.createDataFrame(votes, "item_id string, annotator string, label string"), per_label=False, sure=0.0)
+    want, acc = _plain_consensus(votes)
+    assert {r["item_id"]: r["label"] for r in c.items.collect()} == want
+    assert {r["annotator"]: round(r["accuracy"], 9) for r in c.annotators.collect()} == {a: round(x, 9) for a, x in acc.items()}
+
+
 def test_votes_are_cleaned(spark):
     raw = [("i", "M-7B (q8)", "Supported-1", 1, True), ("i", "m-7b@r2", "NONE_CORRECT", 2, True), ("i", "n-3b:q4", "RERANK_TO_3", 3, True), ("i", "o", None, 4, True), ("i", "p", "None correct", 5, False), (None, "q", "x", 1, True)]
     df = spark.createDataFrame(raw, "item_id string, a string, l string, position int, usable boolean")
