@@ -45,6 +45,8 @@ _FIRST = re.compile(rf"^\s*(?:>=|<=|=>|=<|[<>≥≤=~≈±]|approx\.?|about|circ
 _RANGE = re.compile(rf"^\s*(?:-|–|—|−|\.\.|to\b|through\b|until\b)\s*{_NUMBER}", re.I)
 _CUE = r"(?:>=|=>|[>≥=]|at least|more than|no less than|not less than|above|over|from|exceeds|exceeding|minimum of|of)"
 
+_BEHIND = re.compile(rf"([^\d]*?)(?<!\w){_CUE}\s*({_NUMBER})", re.I)
+
 
 def fold_unit(text: str | None) -> str:
     """One spelling of a unit: lower case, plain characters, single blanks, no closing full stop."""
@@ -52,7 +54,7 @@ def fold_unit(text: str | None) -> str:
         return ""
     text = _RAISED.sub(lambda m: "10^" + m[1].translate(_UNIT_CHARS), text.strip()).translate(_UNIT_CHARS).lower()
     text = re.sub(r"\s+", " ", re.sub(r"\s*([/*^])\s*", r"\1", text)).strip().rstrip(".").strip()
-    return re.sub(r"^(.+)\*([a-z]+)-1$", r"\1/\2", text)
+    return re.sub(r"\*([a-z]+)-1(?![0-9])", r"/\1", text)
 
 
 class UnitTable:
@@ -66,19 +68,26 @@ class UnitTable:
         for m, u in self.units.items():  # a code itself is never another code's spelling
             self.codes[m].update({fold_unit(c): c for c in u})
         self.longest = {m: sorted(c, key=len, reverse=True) for m, c in self.codes.items()}
+        any_name = "|".join(_name_pattern(m) for m in sorted(self.units, key=len, reverse=True) if m)
+        self.stops = re.compile(rf"(?i)[;!?\n]|\.(?!\d)|(?<!\w)(?:{any_name})(?!\w)") if any_name else re.compile(r"[;!?\n]")
+        self.mentions = {m: re.compile(rf"(?i)(?<!\w){_name_pattern(m)}(?!\w)") for m in self.units if m}
 
     def code(self, measure: str, text: str | None) -> str | None:
         return self.codes.get(measure, {}).get(fold_unit(text))
 
     def leading(self, measure: str, text: str) -> str | None:
         """The unit a text begins with."""
-        folded = fold_unit(text[:40])
+        folded = fold_unit(" ".join(text.split(None, 24)[:24]))  # no spelling has so many words
         for s in self.longest.get(measure, ()):
             if folded.startswith(s) and not (s[-1].isalnum() and folded[len(s) : len(s) + 1].isalnum()) and folded[len(s) : len(s) + 1] not in ("/", "^"):
                 return self.codes[measure][s]
         return None
 
 
+def _name_pattern(name: str) -> str:
+    return r"\s+".join(map(re.escape, name.split(" ")))
+
+
 def fold_name(text: str | None) -> str:
     return re.sub(r"\s+", " ", text or "").strip().lower()
 
@@ -104,10 +113,12 @@ def read_bound(units: UnitTable, measure: str | None, bound: str | None, unit: s
         return number(found[1]), (units.leading(m, rest) if rest.strip() else None) or units.code(m, unit), "lower_bound"
     if alt_bound is not None and alt_bound == alt_bound and (code := units.code(m, alt_unit)):
         return Decimal(repr(alt_bound)), code, "alternative"
-    if condition and m:
-        for found in re.finditer(rf"(?i)(?<!\w){re.escape(m).replace(chr(92) + ' ', chr(92) + 's+')}(?!\w)[^\d,;]{{0,12}}?{_CUE}\s*({_NUMBER})\s*(.*)", condition):
-            if code := units.leading(m, found[2]):
-                return number(found[1]), code, "condition_text"
+    if condition and m in units.mentions:
+        for found in units.mentions[m].finditer(condition):
+            # the first number behind the measure, in its own clause and before any other measure's name
+            first = _BEHIND.match(condition, found.end())
+            if first and not units.stops.search(first[1]) and (code := units.leading(m, condition[first.end() :])):
+                return number(first[2]), code, "condition_text"
     return None, None, "none"
 
 
@@ -119,6 +130,13 @@ def thousandths(value: Decimal) -> int:
     return int((value * 1000).to_integral_value(ROUND_HALF_UP))
 
 
+def _unit_rows(units: DataFrame, most: int) -> list[tuple]:
+    rows = [tuple(r) for r in units.select("measure", "unit_code", "common_unit", "factor", "offset_value").where("measure IS NOT NULL AND unit_code IS NOT NULL").limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"the unit table has more than {most} rows")
+    return rows
+
+
 def read_bounds(df: DataFrame, units: DataFrame, *, row_id: str, measure: str, lower_bound: str, unit: str, alternative_lower_bound: str, alternative_unit: str, condition_text: str, max_units: int = 100_000) -> DataFrame:
     """(row_id, measure, value, unit_code, common_unit, common_milli, basis) of every row.
 
@@ -127,10 +145,7 @@ def read_bounds(df: DataFrame, units: DataFrame, *, row_id: str, measure: str, l
     1000, rounded half up. The unit table goes to every task; it must hold at most ``max_units`` rows.
     Null cells count as not written; repeated rows are repeated; an empty table gives no rows.
     """
-    rows = [tuple(r) for r in units.select("measure", "unit_code", "common_unit", "factor", "offset_value").where("measure IS NOT NULL AND unit_code IS NOT NULL").limit(max_units + 1).collect()]
-    if len(rows) > max_units:
-        raise ValueError(f"the unit table has more than {max_units} rows")
-    table = UnitTable(rows)
+    table = UnitTable(_unit_rows(units, max_units))
     source = df.select(F.col(row_id).cast("long"), F.col(measure).cast("string"), F.col(lower_bound).cast("string"), F.col(unit).cast("string"), F.col(alternative_lower_bound).cast("double"), F.col(alternative_unit).cast("string"), F.col(condition_text).cast("string"))
     schema = pa.schema([("row_id", pa.int64()), ("measure", pa.string()), ("value", pa.float64()), ("unit_code", pa.string()), ("common_unit", pa.string()), ("common_milli", pa.int64()), ("basis", pa.string())])
 
@@ -148,19 +163,21 @@ def read_bounds(df: DataFrame, units: DataFrame, *, row_id: str, measure: str, l
     return source.mapInArrow(run, "row_id long, measure string, value double, unit_code string, common_unit string, common_milli long, basis string")
 
 
-def fit_unit_mixture(read: DataFrame, units: DataFrame, *, step: float = 0.02, rounds: int = 40) -> dict[str, dict]:
+def fit_unit_mixture(read: DataFrame, units: DataFrame, *, step: float = 0.02, rounds: int = 40, max_units: int = 100_000) -> dict[str, dict]:
     """For each measure a log-scale mixture whose components differ by the known conversions.
 
     All units of a measure share one log-normal of the common value; a unit's component is that curve
     moved by its conversion. Known units fix the curve and add to the shares, missing units are split
-    by their posterior. The values are counted in log bins of ``step`` first, so the driver sees one
-    row per measure, unit and bin, however many rows there are.
+    by their posterior. The values of the measures of the unit table are counted in log bins of
+    ``step`` first, so the driver sees one row per measure, unit and bin, however many rows there are.
     """
     table: dict[str, dict[str, tuple[float, float]]] = {}
-    for r in units.where("measure IS NOT NULL AND unit_code IS NOT NULL").collect():
-        table.setdefault(fold_name(r["measure"]), {})[r["unit_code"].strip().lower()] = (r["factor"], r["offset_value"])
+    for measure, code, _, factor, offset in _unit_rows(units, max_units):
+        table.setdefault(fold_name(measure), {})[code.strip().lower()] = (factor, offset)
+    known = read.sparkSession.createDataFrame([(m,) for m in sorted(table)], "measure string")
     bins = (
         read.where(F.col("value") > 0)
+        .join(known, "measure", "left_semi")
         .groupBy("measure", "unit_code", F.round(F.log("value") / step).cast("int").alias("bin"))
         .agg(F.count("*").alias("n"))
         .collect()
@@ -242,3 +259,21 @@ def assign_units(read: DataFrame, units: DataFrame, *, sure: float = 0.9, **fit)
         .withColumn("uncertain", F.coalesce(F.col("posterior") < sure, F.lit(True)))
         .drop("scores", "best", "units")
     )
+
+
+def holdout_accuracy(read: DataFrame, units: DataFrame, *, folds: int = 2, **options) -> DataFrame:
+    """(measure, n, accuracy, mean_posterior, n_uncertain, accuracy_of_sure) of units that were hidden and assigned.
+
+    Every row whose unit is known is hidden once: in turn, a hashed part of the rows loses its units,
+    the mixture is fitted to the rest and assigns them. Rows without a number are left out.
+    """
+    out = None
+    usable = read.where("value > 0 AND unit_code IS NOT NULL")
+    for k in range(folds):
+        hidden = F.pmod(F.xxhash64("row_id", "value", "unit_code"), F.lit(folds)) == k
+        rows = usable.withColumn("own_unit", F.when(hidden, F.col("unit_code"))).withColumn("unit_code", F.when(~hidden, F.col("unit_code")))
+        part = assign_units(rows, units, **options).where("own_unit IS NOT NULL").select("measure", (F.col("assigned_unit") == F.col("own_unit")).alias("right"), "posterior", "uncertain")
+        out = part if out is None else out.unionByName(part)
+    mean = lambda c: F.round(F.avg(c), 4)
+    right = F.coalesce("right", F.lit(False)).cast("int")
+    return out.groupBy("measure").agg(F.count("*").alias("n"), mean(right).alias("accuracy"), mean("posterior").alias("mean_posterior"), F.count_if("uncertain").alias("n_uncertain"), mean(F.when(~F.col("uncertain"), right)).alias("accuracy_of_sure"))

@@ -118,14 +118,22 @@ def _bounds(spark: SparkSession, d: str) -> DataFrame:
     return units.read_bounds(thresholds, table(spark, d, "measure_units"), row_id="threshold_id", measure="measure", lower_bound="lower_bound", unit="unit", alternative_lower_bound="alternative_lower_bound", alternative_unit="alternative_unit", condition_text="condition_text")
 
 
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    return units.assign_units(materialize(_bounds(spark, d), "bounds"), table(spark, d, "measure_units"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    bounds = _bounds(spark, d).where(F.col("common_milli").isNotNull() & (F.col("unit_code") != F.col("common_unit")))
-    return bounds.select(F.col("row_id").alias("threshold_id"), F.col("common_milli").alias("lower_bound_milli")).distinct()
+    """Of all bounds with their assigned unit, those whose unit is recorded, which the mixture keeps, and not the common one."""
+    rows = _assigned(spark, d).where(F.col("common_milli").isNotNull() & (F.col("assigned_unit") == F.col("unit_code")) & (F.col("unit_code") != F.col("common_unit")))
+    return rows.select(F.col("row_id").alias("threshold_id"), F.col("common_milli").alias("lower_bound_milli")).distinct()
 
 
 def p3_units(spark: SparkSession, d: str) -> DataFrame:
-    assigned = units.assign_units(materialize(_bounds(spark, d), "bounds"), table(spark, d, "measure_units"))
-    return assigned.withColumnRenamed("row_id", "threshold_id")
+    return _assigned(spark, d).withColumnRenamed("row_id", "threshold_id")
+
+
+def p3_holdout(spark: SparkSession, d: str) -> DataFrame:
+    return units.holdout_accuracy(materialize(_bounds(spark, d), "bounds"), table(spark, d, "measure_units"))
 
 
 def _schemas(spark: SparkSession, d: str) -> DataFrame:
@@ -182,6 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_candidates": p2_candidates,
     "p3_found": p3_found,
     "p3_units": p3_units,
+    "p3_holdout": p3_holdout,
     "p6_found": p6_found,
     "p6_schema": p6_schema,
     "p6_unified": p6_unified,

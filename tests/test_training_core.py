@@ -102,6 +102,10 @@ def test_bounds_in_many_notations():
     assert [str(x) for x in read("glucose", "see text", "mmol/l", 101.0, "mg%", None)] == ["101.0", "mg/dl"]
     assert [str(x) for x in read("body temperature", None, None, None, None, "page 3: Body  temperature at least 100,4 ℉, within 24 hours")] == ["100.4", "degf"]
     assert read("glucose", None, None, None, None, "first 12 hours only") == (None, None)
+    for text in ("glucose measured in plasma at least 7 mg/dl", "glucose level (fasting) at least 7 mg/dl", "Glucose, if fasting, above 7mg\u00b7dl\u207b\u00b9; body weight over 80 kg", "glucose is read daily. Keep glucose  from 7 mg\u00b7dl\u207b\u00b9 in 4 of 10 checks", "glucose over 3 days, then glucose > 7 mg/dl"):
+        assert [str(x) for x in read("glucose", None, None, None, None, text)] == ["7", "mg/dl"], text
+    assert read("glucose", None, None, None, None, "glucose and body weight above 80 kg") == (None, None)
+    assert read("glucose", None, None, None, None, "glucose. Insulin above 80 mg/dl") == (None, None)
     assert read(None, None, None, None, None, None) == (None, None)
     assert units.thousandths(units.to_common(units.Decimal("101"), 0.0555, 0.0)) == 5606
 
@@ -117,3 +121,13 @@ def test_missing_units_are_assigned_by_posterior(spark):
     assert (got[100]["assigned_unit"], got[101]["assigned_unit"]) == ("kg", "g")
     assert not got[100]["uncertain"] and got[102]["uncertain"] and got[103]["assigned_unit"] is None
     assert got[60]["posterior"] == 1.0 and units.read_bounds(df.limit(0), table, row_id="id", measure="m", lower_bound="lo", unit="u", alternative_lower_bound="ab", alternative_unit="au", condition_text="t").count() == 0
+
+
+def test_hidden_units_are_found_again(spark):
+    rows = [(i, "body weight", str(60 + i % 30), "kg", None, None, None) for i in range(120)] + [(i, "body weight", str(60000 + 7 * i), "g", None, None, None) for i in range(120, 200)]
+    df = spark.createDataFrame(rows, "id long, m string, lo string, u string, ab double, au string, t string")
+    table = spark.createDataFrame(UNITS, "measure string, unit_code string, common_unit string, factor double, offset_value double")
+    read = units.read_bounds(df, table, row_id="id", measure="m", lower_bound="lo", unit="u", alternative_lower_bound="ab", alternative_unit="au", condition_text="t")
+    got = units.holdout_accuracy(read, table).collect()
+    assert [(r["measure"], r["n"], r["accuracy"], r["n_uncertain"]) for r in got] == [("body weight", 200, 1.0, 0)]
+    assert units.holdout_accuracy(read.limit(0), table).count() == 0
