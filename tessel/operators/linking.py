@@ -4,6 +4,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.sources.tables import materialize
+
 
 def name_key(col: Column | str) -> Column:
     """Lower-cased text with blanks collapsed and trimmed."""
@@ -124,14 +126,35 @@ def walk(start: DataFrame, edges: DataFrame, hops: list[str]) -> DataFrame:
 
 
 def ancestors(start: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """(start, node, hops): nodes up to ``most`` steps along (src, dst), with the fewest steps."""
-    now = start.select(F.col("node").alias("start"), "node").distinct()
-    out = None
+    """(start, node, hops): nodes up to ``most`` steps along (src, dst), with the fewest steps.
+
+    Each step goes on only from what was not reached before, so a cycle ends; no node is its own
+    ancestor. Steps are written to the shared folder, so none is computed twice.
+    """
+    steps = materialize(edges.select(F.col("src").alias("node"), "dst").distinct(), "edges")
+    now = materialize(start.select(F.col("node").alias("start"), "node").distinct(), "reached")
+    seen = now.withColumn("hops", F.lit(0))
     for n in range(1, most + 1):
-        now = now.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("start", F.col("dst").alias("node")).distinct()
-        part = now.withColumn("hops", F.lit(n))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("start", "node").agg(F.min("hops").alias("hops"))
+        now = now.join(steps, "node").select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
+        now = materialize(now, "reached")
+        seen = seen.unionByName(now.withColumn("hops", F.lit(n)))
+    return seen.where("hops > 0")
+
+
+def crosswalk(concepts: DataFrame, edges: DataFrame, vocabulary: str, preferred: str) -> DataFrame:
+    """(concept_id, snomed_id, code): each concept's own id and code if it is of ``vocabulary``, else those
+    of the one it leads to along valid ``edges`` (src, dst, rel): over the ``preferred`` relation first,
+    then of its own domain, then the smallest id; null if there is none.
+
+    concepts: (concept_id, domain_id, vocabulary_id, concept_code).
+    """
+    of = concepts.where(F.col("vocabulary_id") == vocabulary).select(F.col("concept_id").alias("dst"), F.col("domain_id").alias("_d"), F.col("concept_code").alias("_code"))
+    met = edges.join(of, "dst").join(concepts.select(F.col("concept_id").alias("src"), "domain_id"), "src")
+    order = F.struct((F.col("rel") != preferred).alias("a"), F.coalesce(F.col("_d") != F.col("domain_id"), F.lit(True)).alias("b"), "dst")
+    best = met.groupBy("src").agg(F.min_by(F.struct("dst", "_code"), order).alias("x"))
+    own = F.col("vocabulary_id") == vocabulary
+    out = concepts.join(best, F.col("src") == F.col("concept_id"), "left")
+    return out.select("concept_id", F.when(own, F.col("concept_id")).otherwise(F.col("x.dst")).alias("snomed_id"), F.when(own, F.col("concept_code")).otherwise(F.col("x._code")).alias("code"))
 
 
 def nearest_ancestor(start: DataFrame, edges: DataFrame, standard: DataFrame, most: int) -> DataFrame:
@@ -170,7 +193,9 @@ def collapse_hierarchy(pool: DataFrame, edges: DataFrame, keys: list[str], entry
         best = best.assign(**{place: best["_root"].map(first)})
         return pd.concat([cands[compound], best[cands.columns]])
 
-    return pool.groupBy(*keys).cogroup(pairs.groupBy(*[f"_{k}" for k in keys])).applyInPandas(reduce, pool.schema)
+    tied = pairs.select(*[F.col(f"_{k}").alias(k) for k in keys]).distinct()  # pools without an edge stay as they are
+    reduced = pool.join(tied, keys, "left_semi").groupBy(*keys).cogroup(pairs.groupBy(*[f"_{k}" for k in keys])).applyInPandas(reduce, pool.schema)
+    return pool.join(tied, keys, "left_anti").unionByName(reduced)
 
 
 def context_rule_winner(mentions: DataFrame, rules: DataFrame, key: str) -> DataFrame:

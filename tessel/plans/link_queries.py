@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessel.operators import linking as lk
 from tessel.operators import spans as sp
+from tessel.plans import vocabulary
 from tessel.plans.registry import Loader, Registry
 
 query = Registry()
@@ -99,45 +100,49 @@ def _(t: Loader):
     return lk.exact_link(_probes(t), t.concept_synonym, "text", "concept_synonym_name", "concept_id", k=1000).drop("rn").join(c, "concept_id").select("text", "concept_id", "concept_name")
 
 
-@query("jn04_relationship_walk", "SELECT DISTINCT l_orderkey % 97 AS start, r_name AS node FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query("jn04_relationship_walk", f"""WITH {vocabulary.REL}, r AS (SELECT * FROM relationship WHERE invalid_reason IS NULL)
+SELECT DISTINCT p.concept_id_1 AS start, i.concept_id_2 AS node FROM r p JOIN r q ON p.concept_id_2 = q.concept_id_1 JOIN r i ON q.concept_id_2 = i.concept_id_1 JOIN concept c ON c.concept_id = i.concept_id_2 WHERE p.relationship_id = 'Brand name of' AND q.relationship_id = 'Tradename of' AND i.relationship_id = 'RxNorm has ing' AND c.standard_concept = 'S'""")
 def _(t: Loader):
-    sup = t.lineitem.select((F.col("l_orderkey") % 97).alias("g"), "l_suppkey")
-    a = sup.select(F.col("g").cast("string").alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), F.lit("supplied").alias("rel")).distinct()
-    b = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("dst"), F.lit("in").alias("rel"))
-    c = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"), F.col("r_name").alias("dst"), F.lit("part of").alias("rel"))
-    out = lk.walk(a.select(F.col("src").alias("node")), a.union(b).union(c), ["supplied", "in", "part of"])
-    return out.select(F.col("start").cast("long").alias("start"), "node")
+    hops = ["Brand name of", "Tradename of", "RxNorm has ing"]
+    out = lk.walk(t.concept.select(F.col("concept_id").alias("node")), vocabulary.edges(t, *hops), hops)
+    return out.join(t.concept.where("standard_concept = 'S'").select(F.col("concept_id").alias("node")), "node", "left_semi").select("start", "node")
 
 
-_EDGES = "e AS (SELECT DISTINCT concept_id::VARCHAR AS src, regexp_extract(concept_name, '(\\S+)$', 1) AS dst FROM concept UNION SELECT DISTINCT regexp_extract(concept_name, '(\\S+)$', 1), domain_id FROM concept UNION SELECT DISTINCT domain_id, vocabulary_id FROM concept)"
+_UP = f"{vocabulary.REL}, e AS (SELECT concept_id_1 AS src, concept_id_2 AS dst FROM relationship WHERE relationship_id = 'Is a' AND invalid_reason IS NULL), w AS (SELECT concept_id AS start, concept_id AS node, 0 AS hops FROM concept UNION SELECT start, dst, hops + 1 FROM w JOIN e ON node = src WHERE hops < {{n}}), up AS (SELECT start, node, min(hops) AS hops FROM w GROUP BY 1, 2 HAVING min(hops) > 0)"
 
 
-def _is_a(t: Loader):
-    word = F.regexp_extract("concept_name", r"(\S+)$", 1)
-    c = t.concept
-    return c.select(F.col("concept_id").cast("string").alias("src"), word.alias("dst")).union(c.select(word, "domain_id")).union(c.select("domain_id", "vocabulary_id")).distinct()
+def _nodes(t: Loader):
+    return t.concept.select(F.col("concept_id").alias("node"))
 
 
-@query("jn05_ancestors", f"WITH RECURSIVE {_EDGES}, w AS (SELECT concept_id::VARCHAR AS start, concept_id::VARCHAR AS node, 0 AS hops FROM concept UNION SELECT start, dst, hops + 1 FROM w JOIN e ON node = src WHERE hops < 3) SELECT start, node, min(hops) AS hops FROM w WHERE hops > 0 GROUP BY 1, 2")
+@query("jn05_ancestors", f"WITH RECURSIVE {_UP.format(n=3)} SELECT d.concept_code AS code, a.concept_code AS ancestor_code, min(hops) AS hops FROM up JOIN concept d ON start = d.concept_id JOIN concept a ON node = a.concept_id WHERE d.vocabulary_id = 'SNOMED' AND a.vocabulary_id = 'SNOMED' AND node NOT IN (SELECT min(concept_id) FROM concept GROUP BY concept_id % 7) GROUP BY 1, 2")
 def _(t: Loader):
-    return lk.ancestors(t.concept.select(F.col("concept_id").cast("string").alias("node")), _is_a(t), 3)
+    code = t.concept.where("vocabulary_id = 'SNOMED'").select("concept_id", "concept_code")
+    tops = t.concept.groupBy((F.col("concept_id") % 7).alias("k")).agg(F.min("concept_id").alias("node")).select("node")
+    up = lk.ancestors(_nodes(t), vocabulary.edges(t, "Is a"), 3).join(tops, "node", "left_anti")
+    up = up.join(code.select(F.col("concept_id").alias("start"), F.col("concept_code").alias("code")), "start").join(code.select(F.col("concept_id").alias("node"), F.col("concept_code").alias("ancestor_code")), "node")
+    return up.groupBy("code", "ancestor_code").agg(F.min("hops").alias("hops"))
 
 
-@query("jn06_path_match", f"WITH {_EDGES} SELECT a.src, count(DISTINCT b.dst) AS n FROM e a JOIN e b ON a.dst = b.src GROUP BY 1")
+@query("jn06_path_match", f"WITH RECURSIVE {_UP.format(n=6)} SELECT start, hops, count(*) AS n FROM up GROUP BY 1, 2")
 def _(t: Loader):
-    e = _is_a(t)
-    two = e.withColumnRenamed("dst", "mid").join(e.select(F.col("src").alias("mid"), "dst"), "mid")
-    return two.groupBy("src").agg(F.countDistinct("dst").alias("n"))
+    return lk.ancestors(_nodes(t), vocabulary.edges(t, "Is a"), 6).groupBy("start", "hops").agg(F.count("*").alias("n"))
 
 
-@query("jn11_crosswalk", """SELECT concept_id, coalesce(CASE WHEN vocabulary_id = 'SNOMED' THEN concept_code END, other) AS code FROM concept LEFT JOIN (SELECT omop_concept_id, code AS other FROM (
-SELECT m.omop_concept_id, c.concept_code AS code, row_number() OVER (PARTITION BY m.omop_concept_id ORDER BY (c.domain_id = m.d) DESC, c.concept_id) AS rn FROM (SELECT DISTINCT omop_concept_id, omop_domain AS d, unnest(candidates, max_depth := 2) FROM normalized_entities WHERE omop_domain IS NOT NULL AND omop_concept_id IS NOT NULL) m JOIN concept c ON m.concept_name = c.concept_name AND c.vocabulary_id = 'SNOMED') WHERE rn = 1) ON omop_concept_id = concept_id""")
+_XW = """x AS (SELECT c.concept_id AS id, o.concept_id AS other, o.concept_code AS code, row_number() OVER (PARTITION BY c.concept_id ORDER BY (r.relationship_id = 'RxNorm - SNOMED eq') DESC, (o.domain_id = c.domain_id) DESC, o.concept_id) AS rn FROM relationship r JOIN concept c ON c.concept_id = r.concept_id_1 JOIN concept o ON o.concept_id = r.concept_id_2 WHERE o.vocabulary_id = 'SNOMED' AND r.invalid_reason IS NULL AND r.relationship_id IN ('Mapped from', 'RxNorm - SNOMED eq', 'Value mapped from', 'Maps to')),
+xw AS (SELECT concept_id, CASE WHEN vocabulary_id = 'SNOMED' THEN concept_id ELSE other END AS snomed_id, CASE WHEN vocabulary_id = 'SNOMED' THEN concept_code ELSE code END AS code FROM concept LEFT JOIN x ON id = concept_id AND rn = 1)"""
+
+
+def crosswalk(t: Loader):
+    """(concept_id, snomed_id, code): the concept itself or, over a valid relation, the preferred one of SNOMED."""
+    rel = vocabulary.edges(t, "Mapped from", "RxNorm - SNOMED eq", "Value mapped from", "Maps to")
+    c = t.concept.select("concept_id", "domain_id", "vocabulary_id", "concept_code")
+    return lk.crosswalk(c, rel, "SNOMED", "RxNorm - SNOMED eq")
+
+
+@query("jn11_crosswalk", f"WITH {vocabulary.REL}, {_XW} SELECT concept_id, code FROM xw")
 def _(t: Loader):
-    near = t.normalized_entities.where("omop_domain IS NOT NULL AND omop_concept_id IS NOT NULL").select("omop_concept_id", F.col("omop_domain").alias("d"), F.explode("candidates").alias("c")).select("omop_concept_id", "d", "c.concept_name").distinct()
-    snomed = t.concept.where("vocabulary_id = 'SNOMED'").select("concept_name", "concept_code", F.col("concept_id").alias("other_id"), "domain_id")
-    best = lk.top_k(near.join(snomed, "concept_name"), ["omop_concept_id"], [(F.col("domain_id") == F.col("d")).desc(), F.col("other_id")], 1)
-    own = F.when(F.col("vocabulary_id") == "SNOMED", F.col("concept_code"))
-    return t.concept.select("concept_id", own.alias("own")).join(best.select(F.col("omop_concept_id").alias("concept_id"), F.col("concept_code").alias("other")), "concept_id", "left").select("concept_id", F.coalesce("own", "other").alias("code"))
+    return crosswalk(t).select("concept_id", "code")
 
 
 _COS = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT p.vec_id AS probe, i.vec_id AS vec_id, round(list_dot_product(p.x, i.x) / sqrt(list_dot_product(p.x, p.x)) / sqrt(list_dot_product(i.x, i.x)), 6) AS similarity FROM v p JOIN v i ON p.vec_id <> i.vec_id {w} WHERE p.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY similarity DESC, vec_id) AS rn FROM s)"
@@ -164,13 +169,22 @@ def _(t: Loader):
     return lk.fuzzy_link(_probes(t), t.concept, "text", "concept_name", "concept_id").select("text", "concept_id", F.col("distance").cast("long").alias("distance"))
 
 
-@query("jn14_candidate_pairs", """WITH c AS (SELECT DISTINCT entity_id, x.omop_concept_id AS id, x.match_basis AS basis FROM (SELECT entity_id, unnest(candidates) AS x FROM normalized_entities) WHERE x.omop_concept_id IS NOT NULL AND x.match_basis IS NOT NULL)
-SELECT a.id AS a, b.id AS b, count(DISTINCT a.entity_id) AS n FROM c a JOIN c b ON a.entity_id = b.entity_id AND a.id < b.id GROUP BY ALL HAVING count(DISTINCT a.entity_id) >= 3""")
-def _(t: Loader):
-    c = t.normalized_entities.select("entity_id", F.explode("candidates").alias("x")).where("x.omop_concept_id IS NOT NULL AND x.match_basis IS NOT NULL").select("entity_id", F.col("x.omop_concept_id").alias("id")).distinct()
+_PAIRS = "c AS (SELECT DISTINCT entity_id, x.omop_concept_id AS id FROM (SELECT entity_id, unnest(candidates) AS x FROM normalized_entities) WHERE x.omop_concept_id IS NOT NULL), pairs AS (SELECT a.id AS a, b.id AS b, count(DISTINCT a.entity_id) AS n FROM c a JOIN c b ON a.entity_id = b.entity_id AND a.id < b.id GROUP BY ALL)"
+
+
+def _candidate_pairs(t: Loader):
+    """(a, b, n): pairs of candidates that some mention offers together, and for how many mentions."""
+    c = t.normalized_entities.select("entity_id", F.explode("candidates").alias("x")).where("x.omop_concept_id IS NOT NULL").select("entity_id", F.col("x.omop_concept_id").alias("id")).distinct()
     per = c.groupBy("entity_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))  # a mention's candidates are a handful
     pairs = per.select(F.explode(F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
-    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where("n >= 3")
+    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+
+
+@query("jn14_candidate_relations", f"WITH {vocabulary.REL}, {_PAIRS}, r AS (SELECT concept_id_1 AS a, concept_id_2 AS b, relationship_id AS rel FROM relationship WHERE invalid_reason IS NULL UNION SELECT concept_id_2, concept_id_1, relationship_id FROM relationship WHERE invalid_reason IS NULL) SELECT a, b, n, string_agg(DISTINCT rel, '|' ORDER BY rel) AS relations FROM pairs JOIN r USING (a, b) GROUP BY ALL")
+def _(t: Loader):
+    r = vocabulary.relationship(t).where("invalid_reason IS NULL")
+    both = r.select(F.col("concept_id_1").alias("a"), F.col("concept_id_2").alias("b"), "relationship_id").union(r.select("concept_id_2", "concept_id_1", "relationship_id")).distinct()
+    return _candidate_pairs(t).join(both, ["a", "b"]).groupBy("a", "b", "n").agg(F.array_join(F.array_sort(F.collect_set("relationship_id")), "|").alias("relations"))
 
 
 @query("jn15_name_collisions", "SELECT DISTINCT a.p_partkey AS a, min(b.p_partkey) AS b FROM part a JOIN part b ON lower(a.p_name) = lower(b.p_name) AND a.p_partkey <> b.p_partkey GROUP BY 1")
@@ -180,9 +194,9 @@ def _(t: Loader):
     return t.part.select(F.col("p_partkey").alias("a"), F.lower("p_name").alias("k")).join(low, "k").select("a", F.when(F.col("a") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("b"))
 
 
-@query("jn16_nearest_ancestor", f"WITH {_EDGES} SELECT src, min(dst) AS dst FROM e GROUP BY 1")
+@query("jn16_nearest_ancestor", f"WITH RECURSIVE {_UP.format(n=5)} SELECT start, arg_min(node, (hops, node)) AS node, min(hops) AS hops FROM up JOIN concept ON concept_id = node WHERE standard_concept = 'S' AND start <> node GROUP BY 1")
 def _(t: Loader):
-    return _is_a(t).withColumn("hops", F.lit(1)).groupBy("src").agg(F.min_by("dst", F.struct("hops", "dst")).alias("dst"))
+    return lk.nearest_ancestor(_nodes(t), vocabulary.edges(t, "Is a"), t.concept.where("standard_concept = 'S'").select(F.col("concept_id").alias("node")), 5)
 
 
 @query("jn17_token_subset", """WITH w AS (SELECT concept_id, list_filter(list_distinct(regexp_split_to_array(lower(concept_name), '\\s+')), lambda x: x <> '') AS ws FROM concept), q AS (SELECT DISTINCT lower(expanded_text) AS text, list_filter(list_distinct(regexp_split_to_array(lower(expanded_text), '\\s+')), lambda x: x <> '') AS qs FROM normalized_entities)
@@ -198,14 +212,14 @@ def _(t: Loader):
     return rare.join(c.select("concept_id", "ws", F.explode("ws").alias("word")), "word").where(F.size(F.array_except("qs", "ws")) == 0).select("text", "concept_id").distinct()
 
 
-@query("jn18_code_resolve", """SELECT DISTINCT e.entity_id, coalesce(direct.concept_id, mapped.concept_id) AS concept_id FROM (SELECT DISTINCT entity_id, omop_concept_id, omop_concept_name FROM normalized_entities) e LEFT JOIN concept direct ON direct.concept_id = e.omop_concept_id AND direct.invalid_reason IS NULL
-LEFT JOIN (SELECT lower(concept_name) AS k, min(concept_id) AS concept_id FROM concept WHERE invalid_reason IS NULL GROUP BY 1) mapped ON mapped.k = lower(e.omop_concept_name)""")
+@query("jn18_code_resolve", f"""WITH {vocabulary.REL}, m AS (SELECT concept_id_1 AS id, min(concept_id_2) AS other FROM relationship JOIN concept ON concept_id = concept_id_2 WHERE relationship_id = 'Maps to' AND relationship.invalid_reason IS NULL AND standard_concept = 'S' GROUP BY 1)
+SELECT concept_code AS code, min(CASE WHEN standard_concept = 'S' THEN concept_id ELSE other END) AS concept_id, bool_or(coalesce(standard_concept, '') <> 'S') AS mapped FROM concept LEFT JOIN m ON id = concept_id WHERE vocabulary_id = 'SNOMED' GROUP BY 1""")
 def _(t: Loader):
-    c = t.concept.where("invalid_reason IS NULL")
-    e = t.normalized_entities.select("entity_id", "omop_concept_id", F.lower("omop_concept_name").alias("k")).distinct()
-    out = e.join(c.select(F.col("concept_id").alias("omop_concept_id"), F.col("concept_id").alias("direct")), "omop_concept_id", "left")
-    out = out.join(c.groupBy(F.lower("concept_name").alias("k")).agg(F.min("concept_id").alias("mapped")), "k", "left")
-    return out.select("entity_id", F.coalesce("direct", "mapped").alias("concept_id")).distinct()
+    standard = t.concept.where("standard_concept = 'S'").select(F.col("concept_id").alias("dst"))
+    mapped = vocabulary.edges(t, "Maps to").join(standard, "dst").groupBy(F.col("src").alias("concept_id")).agg(F.min("dst").alias("other"))
+    own = F.coalesce(F.col("standard_concept") == "S", F.lit(False))
+    rows = t.concept.where("vocabulary_id = 'SNOMED'").join(mapped, "concept_id", "left")
+    return rows.groupBy(F.col("concept_code").alias("code")).agg(F.min(F.when(own, F.col("concept_id")).otherwise(F.col("other"))).alias("concept_id"), F.max(~own).alias("mapped"))
 
 
 @query("rk01_multi_key_rank", """SELECT entity_label, note_id, entity_id, rn FROM (SELECT DISTINCT entity_label, note_id, entity_id, row_number() OVER (PARTITION BY entity_label ORDER BY CASE assertion_status WHEN 'PRESENT' THEN 0 WHEN 'POSSIBLE' THEN 1 ELSE 90 END, confidence DESC, entity_id) AS rn FROM (SELECT entity_label, note_id, entity_id, max(confidence) AS confidence, max(assertion_status) AS assertion_status FROM extracted_entities WHERE confidence IS NOT NULL GROUP BY 1, 2, 3)) WHERE rn <= 20""")
@@ -248,10 +262,20 @@ def _(t: Loader):
     return lk.top_k(_candidates(t), ["entity_id", "expanded_text"], [adjusted.desc(), F.col("id"), F.coalesce("d", F.lit("")), F.coalesce("b", F.lit(""))], 1).select("entity_id", "expanded_text", "id", "s")
 
 
-@query("rk05_collapse_duplicates", f"WITH {_CAND} SELECT entity_id, expanded_text, d, id, s FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, expanded_text, d ORDER BY (b = 'fts') DESC NULLS LAST, s DESC, id) AS rn FROM c WHERE d IS NOT NULL) WHERE rn = 1")
+_POOL = "pool AS (SELECT entity_id, expanded_text, x.omop_concept_id AS id, min(x.concept_name) AS name, max(x.similarity_score) AS s, bool_or(coalesce(x.match_basis = 'exact', false)) AS curated, min(pos) AS place FROM (SELECT entity_id, expanded_text, unnest(candidates) AS x, CAST(generate_subscripts(candidates, 1) - 1 AS INT) AS pos FROM normalized_entities) WHERE x.omop_concept_id IS NOT NULL AND entity_id IS NOT NULL AND expanded_text IS NOT NULL GROUP BY 1, 2, 3)"
+
+
+@query("rk05_collapse_hierarchy", f"""WITH RECURSIVE {vocabulary.REL}, {_POOL}, e AS (SELECT concept_id_1 AS x, concept_id_2 AS y FROM relationship WHERE relationship_id IN ('Is a', 'Subsumes') AND invalid_reason IS NULL),
+pe AS (SELECT DISTINCT a.entity_id, a.expanded_text, a.id AS x, b.id AS y FROM pool a JOIN e ON e.x = a.id JOIN pool b ON b.id = e.y AND a.entity_id = b.entity_id AND a.expanded_text = b.expanded_text WHERE a.id <> b.id),
+both_ways AS (SELECT * FROM pe UNION SELECT entity_id, expanded_text, y, x FROM pe), reach AS (SELECT entity_id, expanded_text, id AS x, id AS y FROM pool UNION SELECT r.entity_id, r.expanded_text, r.x, b.y FROM reach r JOIN both_ways b ON r.entity_id = b.entity_id AND r.expanded_text = b.expanded_text AND r.y = b.x),
+comp AS (SELECT entity_id, expanded_text, x AS id, min(y) AS root FROM reach GROUP BY 1, 2, 3), m AS (SELECT pool.*, root, regexp_matches(coalesce(name, ''), '(?i)\\band\\b|&') AS compound FROM pool JOIN comp USING (entity_id, expanded_text, id)),
+k AS (SELECT *, min(place) OVER (PARTITION BY entity_id, expanded_text, root, compound) AS first, row_number() OVER (PARTITION BY entity_id, expanded_text, root, compound ORDER BY curated DESC, s DESC NULLS LAST, place, id) AS rn FROM m)
+SELECT entity_id, expanded_text, id, CASE WHEN compound THEN place ELSE first END AS place FROM k WHERE compound OR rn = 1""")
 def _(t: Loader):
-    order = [(F.col("b") == "fts").desc_nulls_last(), F.desc("s"), F.col("id")]
-    return lk.top_k(_candidates(t).where("d IS NOT NULL"), ["entity_id", "expanded_text", "d"], order, 1).select("entity_id", "expanded_text", "d", "id", "s")
+    rows = t.normalized_entities.where("entity_id IS NOT NULL AND expanded_text IS NOT NULL").select("entity_id", "expanded_text", F.posexplode("candidates").alias("pos", "x")).where("x.omop_concept_id IS NOT NULL")
+    pool = rows.groupBy("entity_id", "expanded_text", F.col("x.omop_concept_id").alias("id")).agg(F.min("x.concept_name").alias("name"), F.max("x.similarity_score").alias("s"), F.max(F.coalesce(F.col("x.match_basis") == "exact", F.lit(False))).alias("curated"), F.min("pos").alias("place"))
+    kept = lk.collapse_hierarchy(pool, vocabulary.edges(t, "Is a", "Subsumes"), ["entity_id", "expanded_text"], "id", "name", "s", "curated", "place")
+    return kept.select("entity_id", "expanded_text", "id", "place")
 
 
 @query("rk06_rank_and_cap", f"WITH {_CAND}, k AS (SELECT entity_id, id, max(s) AS s FROM c GROUP BY 1, 2) SELECT entity_id, id, s FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY s DESC, id) AS rn FROM k) WHERE rn <= 3")
