@@ -1,6 +1,10 @@
 """Linking text to a vocabulary: exact, synonym, edit-distance, vector and full-text search, and ranking."""
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,23 +28,40 @@ def exact_link(probes: DataFrame, vocabulary: DataFrame, text: str, name: str, e
     return top_k(met, probes.columns, [F.col(entry)], k)
 
 
+def _deletions(text: Column, most: int) -> Column:
+    """The text and what is left of it without any 1..most of its characters."""
+    out = F.array(text)
+    for _ in range(most):
+        without = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(F.filter(out, lambda s: F.length(s) > 0), without))))
+    return out
+
+
 def fuzzy_link(probes: DataFrame, vocabulary: DataFrame, text: str, name: str, entry: str, most: int = 2, least_length: int = 5, k: int = 5) -> DataFrame:
     """(text, entry, distance, score, rn): entries whose name is within ``most`` edits of the probe.
 
     Two texts within d edits agree in at least one of d + 1 equal stretches one is cut into, so names
-    and probes meet on such pieces at nearby places instead of all meeting all. Every probe text is
-    handled once. Texts shorter than ``least_length`` are not probed.
+    and probes meet on such pieces at nearby places instead of all meeting all; texts too short for
+    stretches of three characters meet on what is left when d characters are left out of each. Every
+    probe text is handled once. Texts shorter than ``least_length`` are not probed.
     """
     p = probes.select(name_key(text).alias("q")).where(F.length("q") >= least_length).distinct()
     v = vocabulary.select(entry, name_key(name).alias("n")).where("n <> ''").distinct()
     parts = most + 1
+    short = 3 * parts  # from this length on, every stretch has three characters or more
+    # long texts meet on stretches: same length of the name, same stretch, at nearby places
     step = F.floor(F.length("q") / parts).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct((i * step + 1).alias("at"), F.substring(F.col("q"), i * step + 1, F.when(i == parts - 1, F.length("q")).otherwise(step)).alias("piece"), step.alias("step")))
-    asked = p.select("q", F.explode(pieces).alias("x")).select("q", "x.*").withColumn("len", F.length("piece")).withColumn("place", F.explode(F.sequence(F.col("at") - most, F.col("at") + most))).where("place >= 1")
-    sizes = asked.select("len").distinct()
-    offered = v.crossJoin(F.broadcast(sizes)).where(F.length("n") >= F.col("len")).select(entry, "n", "len", F.explode(F.sequence(F.lit(1), F.length("n") - F.col("len") + 1)).alias("place"))
-    offered = offered.withColumn("piece", F.substring(F.col("n"), F.col("place"), F.col("len")))
-    met = asked.join(offered, ["piece", "place", "len"]).where(F.abs(F.length("q") - F.length("n")) <= most).select("q", entry, "n").distinct()
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct((i * step + 1).alias("at"), F.substring(F.col("q"), i * step + 1, F.when(i == parts - 1, F.length("q")).otherwise(step)).alias("piece")))
+    asked = p.where(F.length("q") >= short).select("q", F.explode(pieces).alias("x")).select("q", "x.*").withColumn("len", F.length("piece")).withColumn("size", F.explode(F.sequence(F.length("q") - most, F.length("q") + most)))
+    asked = asked.withColumn("place", F.explode(F.sequence(F.greatest(F.col("at") - most, F.lit(1)), F.col("at") + most)))
+    sizes = asked.select("size", "len").distinct()
+    offered = v.withColumn("size", F.length("n")).join(sizes, "size").where(F.col("size") >= F.col("len"))
+    offered = offered.select(entry, "n", "size", "len", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("len") + 1)).alias("place")).withColumn("piece", F.substring(F.col("n"), F.col("place"), F.col("len")))
+    met = asked.join(offered, ["piece", "place", "len", "size"]).select("q", entry, "n")
+    # short ones meet where they are the same after leaving out up to ``most`` characters each
+    less = lambda c, to: F.explode(_deletions(F.col(c), most)).alias(to)
+    few = p.where(F.length("q") < short).select("q", less("q", "rest")).join(v.where(F.length("n") < short + most).select(entry, "n", less("n", "rest")), "rest").select("q", entry, "n")
+    met = met.unionByName(few).where(F.abs(F.length("q") - F.length("n")) <= most).distinct()
     met = met.withColumn("distance", F.levenshtein("q", "n", most)).where("distance >= 0")
     best = met.groupBy("q", entry).agg(F.min(F.struct("distance", "n")).alias("b")).select("q", entry, "b.distance", "b.n")
     ranked = top_k(best, ["q"], [F.col("distance"), F.col(entry)], k)
@@ -58,28 +79,107 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(probes: DataFrame, items: DataFrame, probe_id: str, item_id: str, vector: str, k: int, most_probes: int = 10_000, among: str | None = None) -> DataFrame:
+class _Probes:
+    """A block of probes as a matrix of unit vectors."""
+
+    def __init__(self, rows: list, among: bool, extra: bool):
+        self.ids = np.array([r["_p"] for r in rows])
+        self.matrix = np.array([r["_a"] for r in rows], float).reshape(len(rows), -1)
+        self.group = np.array([r["_g"] for r in rows], object) if among else None
+        self.bound = np.array([r["_t"] for r in rows], float) if extra else None
+
+    def similarities(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(item ids, similarities of items by probes); -inf where a pair does not count."""
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        vectors = batch.column(1)
+        items = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        sims = np.round(items @ self.matrix.T, 6)
+        sims[ids[:, None] == self.ids[None, :]] = -np.inf
+        if self.group is not None:
+            sims[batch.column(2).to_numpy(zero_copy_only=False).astype(object)[:, None] != self.group[None, :]] = -np.inf
+        return ids, sims
+
+
+def _probe_blocks(probes: DataFrame, items: DataFrame, probe_id: str, item_id: str, vector: str, among: str | None, bound: str | None, block: int):
+    """(block of probes, items) for each block; at most about ``block`` numbers are held at a time."""
+    extra = [F.col(among).alias("_g")] if among else []
+    bounds = [F.col(bound).alias("_t")] if bound else []
+    asked = probes.select(F.col(probe_id).alias("_p"), unit_vector(vector).alias("_a"), *extra, *bounds).where("_a IS NOT NULL")
+    right = items.select(F.col(item_id).alias("_i"), unit_vector(vector).alias("_b"), *([F.col(among).alias("_g")] if among else [])).where("_b IS NOT NULL")
+    blocks = max(1, -(-(asked.agg(F.sum(F.size("_a"))).first()[0] or 0) // block))
+    for b in range(blocks):
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("_p"), F.lit(blocks)) == b)
+        rows = own.collect()
+        if rows:
+            yield _Probes(rows, among is not None, bound is not None), right
+
+
+def nearest(probes: DataFrame, items: DataFrame, probe_id: str, item_id: str, vector: str, k: int, block: int = 4_000_000, among: str | None = None) -> DataFrame:
     """(probe_id, item_id, similarity, rn): the k most similar items of each of a stated set of probes.
 
-    The probes are one block of at most ``most_probes`` rows, checked, and sent to the items, which
-    stay where they are; each task keeps the k best of its part before anything is shuffled. With
-    ``among`` only items of the probe's value in that column count. Ties go to the smaller id.
+    Probes go to the items in blocks of at most ``block`` numbers, however many there are; the items
+    stay where they are. Each task multiplies its vectors with the block and keeps the k best per
+    probe before anything is shuffled. With ``among`` only items of the probe's value in that column
+    count. Ties go to the smaller id. Null, empty and zero vectors, and null ids, meet nothing.
     """
-    extra = [among] if among else []
-    block = probes.select(F.col(probe_id).alias("_p"), unit_vector(vector).alias("_a"), *[F.col(c).alias(f"_{c}") for c in extra]).where("_a IS NOT NULL")
-    if block.limit(most_probes + 1).count() > most_probes:
-        raise ValueError(f"more than {most_probes} probes: search them in blocks")
-    right = items.select(F.col(item_id).alias("_i"), unit_vector(vector).alias("_b"), *extra).where("_b IS NOT NULL")
-    met = right.join(F.broadcast(block), F.col(f"_{among}") == F.col(among) if among else F.lit(True))
-    scored = met.where("_p <> _i").select("_p", "_i", F.round(dot(F.col("_a"), F.col("_b")), 6).alias("similarity"))
-    return top_k(scored, ["_p"], [F.desc("similarity"), F.col("_i")], k).select(F.col("_p").alias(probe_id), F.col("_i").alias(item_id), "similarity", "rn")
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    probe_kind, item_kind = kind(probes, probe_id), kind(items, item_id)
+    out = items.sparkSession.createDataFrame([], f"_p {probe_kind}, _i {item_kind}, similarity double")
+    for own, right in _probe_blocks(probes.where(F.col(probe_id).isNotNull()), items.where(F.col(item_id).isNotNull()), probe_id, item_id, vector, among, None, block):
+        out = out.unionByName(right.mapInArrow(_best_of(own, k), f"_p {probe_kind}, _i {item_kind}, similarity double"))
+    return top_k(out, ["_p"], [F.desc("similarity"), F.col("_i")], k).select(F.col("_p").alias(probe_id), F.col("_i").alias(item_id), "similarity", "rn")
+
+
+def _best_of(own: _Probes, k: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sims, probe = np.array([]), np.array([]), np.array([], int)
+        types = None
+        for batch in batches:
+            types = batch.schema.field(0).type
+            got, s = own.similarities(batch)
+            at, p = np.nonzero(s > -np.inf)
+            if k < len(got):  # the k-th best of the batch bounds what can stay; ties at it stay for the id to settle
+                least = -np.partition(-s, k - 1, axis=0)[k - 1]
+                keep = s[at, p] >= least[p]
+                at, p = at[keep], p[keep]
+            ids = np.concatenate([ids, got[at]]) if len(ids) else got[at]
+            sims, probe = np.concatenate([sims, s[at, p]]), np.concatenate([probe, p])
+            order = np.lexsort((ids, -sims, probe))
+            ids, sims, probe = ids[order], sims[order], probe[order]
+            first = np.searchsorted(probe, probe, side="left")
+            keep = np.arange(len(probe)) - first < k
+            ids, sims, probe = ids[keep], sims[keep], probe[keep]
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(own.ids[probe]), pa.array(ids, types), pa.array(sims)], names=["_p", "_i", "similarity"])
+
+    return run
+
+
+def count_more_similar(probes: DataFrame, items: DataFrame, probe_id: str, item_id: str, vector: str, bound: str, block: int = 4_000_000) -> DataFrame:
+    """(probe_id, n): how many items are more similar to each probe than its ``bound``; one number per probe and task is shuffled."""
+    probe_kind = probes.schema[probe_id].dataType.simpleString()
+    out = items.sparkSession.createDataFrame([], f"_p {probe_kind}, n long")
+
+    def counter(own: _Probes):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(len(own.ids), np.int64)
+            for batch in batches:
+                n += (own.similarities(batch)[1] > own.bound[None, :]).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(own.ids), pa.array(n)], names=["_p", "n"])
+
+        return run
+
+    for own, right in _probe_blocks(probes.where(F.col(probe_id).isNotNull()), items.where(F.col(item_id).isNotNull()), probe_id, item_id, vector, None, bound, block):
+        out = out.unionByName(right.mapInArrow(counter(own), f"_p {probe_kind}, n long"))
+    return out.groupBy(F.col("_p").alias(probe_id)).agg(F.sum("n").alias("n"))
 
 
 def bm25(texts: DataFrame, probes: DataFrame, text_id: str, text: str, probe_id: str, probe: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(probe_id, text_id, score, rn): the k best texts by Okapi BM25 over an inverted index.
 
     Terms are runs of a-z and 0-9 of the lower-cased text; a probe's repeated term counts once.
-    Counts are over all texts; only texts that share a term with a probe are scored.
+    Counts are over all texts; only texts that share a term with a probe are scored. A term of more
+    than a tenth of the texts is dealt over 16 tasks, so none holds all of its texts.
     """
     terms = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: x != "")
     flat = texts.select(text_id, F.size(terms(F.col(text))).alias("len"), F.explode(terms(F.col(text))).alias("term"))
@@ -90,7 +190,10 @@ def bm25(texts: DataFrame, probes: DataFrame, text_id: str, text: str, probe_id:
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
     asked = probes.select(probe_id, F.explode(F.array_distinct(terms(F.col(probe)))).alias("term"))
-    scored = asked.join(tf, "term").join(df, "term").groupBy(probe_id, text_id).agg(F.round(F.sum(weight), 6).alias("score"))
+    hot = F.col("df") * 10 > max(n, 1000)
+    asked = asked.join(df, "term").withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(15))).otherwise(F.array(F.lit(0)))))
+    tf = tf.join(df.where(hot).select("term", F.lit(True).alias("hot")), "term", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(text_id), F.lit(16))).otherwise(F.lit(0)).cast("int")).drop("hot")
+    scored = asked.join(tf, ["term", "salt"]).groupBy(probe_id, text_id).agg(F.round(F.sum(weight), 6).alias("score"))
     return top_k(scored, [probe_id], [F.desc("score"), F.col(text_id)], k)
 
 
@@ -107,13 +210,14 @@ def fuse_ranks(rankings: dict[str, tuple[DataFrame, float]], probe_id: str, item
 def cascade(probes: DataFrame, tiers: list[tuple[str, object]], key: str) -> DataFrame:
     """(key, entry_id, tier): the first tier that finds each probe; a tier sees only what is left.
 
-    ``tiers`` are (name, function from probes to (key, entry_id)), cheapest first.
+    ``tiers`` are (name, function from probes to (key, entry_id)), cheapest first; what a tier finds and
+    leaves is written to the shared folder, so none is computed twice.
     """
     left, out = probes, None
     for name, find in tiers:
-        found = find(left).select(key, F.col("entry_id"), F.lit(name).alias("tier"))
+        found = materialize(find(left).select(key, F.col("entry_id"), F.lit(name).alias("tier")), "tier")
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select(key), key, "left_anti")
+        left = materialize(left.join(found.select(key), key, "left_anti"), "left")
     return out.unionByName(left.select(key, F.lit(None).cast("long").alias("entry_id"), F.lit("none").alias("tier")))
 
 

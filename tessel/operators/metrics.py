@@ -29,13 +29,23 @@ def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
     return running_sums(df, [F.col(c) for c in order], {"rank": F.lit(1)})
 
 
+def rank_within(df: DataFrame, by: str, order: list[Column]) -> DataFrame:
+    """Rows with their place ``rank`` in the order of their group, without one task seeing a whole group."""
+    keyed = df.withColumns({f"_k{i}": c for i, c in enumerate(order)})
+    ranked = global_rank(keyed, [by, *[f"_k{i}" for i in range(len(order))]])
+    first = ranked.groupBy(by).agg(F.min("rank").alias("_first"))
+    out = ranked.join(first.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")))
+    return out.withColumn("rank", F.col("rank") - F.col("_first") + 1).drop("_first", "_by", *[f"_k{i}" for i in range(len(order))])
+
+
 def stratified_split(sizes: DataFrame, key: str, size: str, shares: dict[str, float], rest: str, strata: int) -> DataFrame:
     """(key, stratum, split): equal strata by size, in each a hashed order cut by the shares."""
     total = sizes.count()
-    cut = sizes if total == 0 else global_rank(sizes, [size, key])
+    cut = sizes.withColumn("rank", F.lit(1)) if total == 0 else global_rank(sizes, [size, key])
     cut = cut.withColumn("stratum", F.least(F.floor((F.col("rank") - 1) * strata / F.lit(max(total, 1))), F.lit(strata - 1)).cast("long"))
     m = cut.groupBy("stratum").agg(F.count("*").alias("m"))
-    placed = cut.join(m, "stratum").withColumn("k", F.row_number().over(Window.partitionBy("stratum").orderBy(F.md5(key), key)))
+    placed = cut if total == 0 else rank_within(cut.drop("rank"), "stratum", [F.md5(key), F.col(key)])
+    placed = placed.join(m, "stratum").withColumnRenamed("rank", "k")
     split, edge = F.lit(rest), F.lit(0)
     edges = []
     for name, share in shares.items():
@@ -166,17 +176,18 @@ def headroom(df: DataFrame, group: list[str], score: str, outcome: Column, tie:
     return per.where("top IS NOT NULL").agg(F.count("*").alias("n"), F.round(top, 6).alias("top1"), F.round(best, 6).alias("oracle"), F.round(best - top, 6).alias("headroom"))
 
 
-def rank_metrics(scored: DataFrame, probe: str, score: str, right: Column, k: int) -> DataFrame:
-    """One row (n, mrr, hits_at_k) of the rank of each probe's best right answer among all answers."""
-    best = scored.where(right).groupBy(probe).agg(F.max(score).alias("_best"))
-    ranks = scored.join(best, probe).groupBy(probe).agg((1 + F.count_if(F.col(score) > F.col("_best"))).alias("rank"))
-    return ranks.agg(F.count("*").alias("n"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"), F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"hits_at_{k}"))
+def rank_metrics(above: DataFrame, k: int) -> DataFrame:
+    """One row (n, mrr, hits_at_k); ``above`` has for each probe the number n of answers better than its best right one."""
+    rank = F.col("n") + 1
+    return above.agg(F.count("*").alias("n"), F.round(F.avg(1 / rank), 6).alias("mrr"), F.round(F.avg((rank <= k).cast("double")), 6).alias(f"hits_at_{k}"))
 
 
 def latency_summary(df: DataFrame, value: str, by: str) -> DataFrame:
     """(by, n, mean, p50, p95, most): the p95 is the value at place round(0.95 * (n - 1))."""
     rows = df.where(F.col(value).isNotNull())
     n = rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.expr(f"percentile({value}, 0.5)").alias("p50"), F.max(value).alias("most"))
-    counts = rows.groupBy(by, value).agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy(value)))
+    counts = running_sums(rows.groupBy(by, value).agg(F.count("*").alias("c")), [F.col(by), F.col(value)], {"upto": F.col("c")})
+    before = counts.groupBy(by).agg(F.min(F.col("upto") - F.col("c")).alias("before"))
+    counts = counts.join(before, by).withColumn("upto", F.col("upto") - F.col("before"))
     p95 = counts.join(n.select(by, "n"), by).where(F.col("upto") > F.floor(F.lit(0.95) * (F.col("n") - 1) + 0.5)).groupBy(by).agg(F.min(value).alias("p95"))
     return n.join(p95, by).select(by, "n", "mean", F.round("p50", 6).alias("p50"), "p95", "most")

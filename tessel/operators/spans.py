@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.sources.tables import materialize
+
 
 def overlap_join(a: DataFrame, b: DataFrame, key: str, width: int = 256) -> DataFrame:
     """Pairs of spans of one ``key`` with a.start < b.end and a.end > b.start.
@@ -49,12 +51,33 @@ def containing(points: DataFrame, spans: DataFrame, key: str, at: str, label: st
 
 
 def islands(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans of each key merged where they overlap or touch: (keys..., start, end)."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    ahead = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(ahead.isNull() | (F.col("start") > ahead), 1).otherwise(0)
-    marked = spans.where("start < end").withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    """Spans of each key merged where they overlap or touch: (keys..., start, end).
+
+    Spans are dealt to range partitions by key and start, so a key of very many spans is spread; the
+    farthest end of the partitions before, one row per key and partition, is handed on, and what goes
+    on from one partition into the next is joined to the last island there.
+    """
+    ranged = spans.where("start < end").select(*keys, "start", "end").repartitionByRange(*keys, "start", "end")
+    ranged = materialize(ranged.withColumn("_pid", F.spark_partition_id()), "ranged")
+    by = [*keys, "_pid"]
+    far = ranged.groupBy(*by).agg(F.max("end").alias("_far"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = far.withColumn("_carry", F.max("_far").over(before)).drop("_far").alias("c")
+    r = ranged.alias("r")
+    rows = r.join(carry, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in by]).select("r.*", "c._carry")
+    order = Window.partitionBy(*by).orderBy("start", "end")
+    ahead = F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
+    marked = rows.withColumn("_new", F.when(ahead.isNull() | (F.col("start") > ahead), 1).otherwise(0)).withColumn("_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = materialize(marked.groupBy(*by, "_no").agg(F.min("start").alias("start"), F.max("end").alias("end")), "islands")
+    # of each key and partition, the last island that began there, and what goes on from before (_no = 0)
+    last = parts.where("_no > 0").groupBy(*by).agg(F.max("_no").alias("_last"))
+    each = parts.where("_no = 0").select(*by, F.col("end").alias("_on")).alias("o").join(last.alias("l"), [F.col(f"o.{k}").eqNullSafe(F.col(f"l.{k}")) for k in by], "full")
+    each = each.select(*[F.coalesce(f"o.{k}", f"l.{k}").alias(k) for k in by], "_on", "_last")
+    owner = F.last(F.when(F.col("_last").isNotNull(), F.struct(F.col("_pid").alias("p"), F.col("_last").alias("n"))), ignorenulls=True).over(before)
+    on = each.withColumn("_owner", owner).where("_on IS NOT NULL").groupBy(*keys, F.col("_owner.p").alias("_pid"), F.col("_owner.n").alias("_no")).agg(F.max("_on").alias("_on"))
+    full = [*by, "_no"]
+    out = parts.where("_no > 0").alias("i").join(on.alias("o"), [F.col(f"i.{k}").eqNullSafe(F.col(f"o.{k}")) for k in full], "left")
+    return out.select(*[F.col(f"i.{k}").alias(k) for k in keys], F.col("i.start").alias("start"), F.greatest("i.end", "_on").alias("end"))
 
 
 def iou_by_class(a: DataFrame, b: DataFrame, text_key: str, cls: str) -> DataFrame:

@@ -9,13 +9,14 @@ from tessel.plans import vocabulary
 from tessel.plans.registry import Loader, Registry
 
 query = Registry()
-_SPANS = "SELECT DISTINCT note_id, entity_id, entity_label, orig_start AS s, orig_end AS e, confidence FROM extracted_entities WHERE note_id IS NOT NULL AND orig_start < orig_end"
-_A = f"a AS ({_SPANS} AND is_test), b AS ({_SPANS} AND NOT coalesce(is_test, false))"
+_SPANS = "SELECT DISTINCT note_id, entity_id, entity_label, {0}_start AS s, {0}_end AS e, confidence FROM extracted_entities WHERE note_id IS NOT NULL AND {0}_start < {0}_end"
+# two sets of spans that overlap: mentions at their places in the original and in the expanded text
+_A = f"a AS ({_SPANS.format('orig')}), b AS ({_SPANS.format('exp')})"
 
 
-def _spans(t: Loader, where: str = "true"):
-    rows = t.extracted_entities.where(f"note_id IS NOT NULL AND orig_start < orig_end AND {where}")
-    return rows.select("note_id", "entity_id", "entity_label", F.col("orig_start").alias("start"), F.col("orig_end").alias("end"), "confidence").distinct()
+def _spans(t: Loader, at: str, where: str = "true"):
+    rows = t.extracted_entities.where(f"note_id IS NOT NULL AND {at}_start < {at}_end AND {where}")
+    return rows.select("note_id", "entity_id", "entity_label", F.col(f"{at}_start").alias("start"), F.col(f"{at}_end").alias("end"), "confidence").distinct()
 
 
 def _probes(t: Loader):
@@ -24,15 +25,15 @@ def _probes(t: Loader):
 
 @query("jn07_interval_overlap", f"WITH {_A} SELECT DISTINCT a.entity_id AS a_id, b.entity_id AS b_id FROM a JOIN b ON a.note_id = b.note_id AND a.s < b.e AND a.e > b.s")
 def _(t: Loader):
-    met = sp.overlap_join(_spans(t, "is_test"), _spans(t, "NOT coalesce(is_test, false)"), "note_id")
+    met = sp.overlap_join(_spans(t, "orig"), _spans(t, "exp"), "note_id")
     return met.select(F.col("entity_id").alias("a_id"), F.col("b_entity_id").alias("b_id")).distinct()
 
 
 @query("jn08_best_overlap", f"""WITH {_A}, p AS (SELECT a.entity_id AS a_id, b.entity_id AS b_id, (least(a.e, b.e) - greatest(a.s, b.s)) / greatest(1, least(a.e - a.s, b.e - b.s)) AS r FROM a JOIN b ON a.note_id = b.note_id AND a.s < b.e AND a.e > b.s)
 SELECT a_id, b_id, round(r, 4) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY r DESC, b_id) AS rn FROM p) WHERE rn = 1 AND r >= 0.5""")
 def _(t: Loader):
-    a = _spans(t, "is_test").withColumnRenamed("entity_id", "a_id")
-    b = _spans(t, "NOT coalesce(is_test, false)").withColumnRenamed("entity_id", "b_id")
+    a = _spans(t, "orig").withColumnRenamed("entity_id", "a_id")
+    b = _spans(t, "exp").withColumnRenamed("entity_id", "b_id")
     return sp.best_overlap(a, b, "note_id", "a_id", "b_id")
 
 
@@ -52,7 +53,7 @@ r AS (SELECT entity_label, CAST(coalesce(i, 0) AS BIGINT) AS shared, CAST(coales
 
 
 def _iou(t: Loader):
-    return sp.iou_by_class(_spans(t, "is_test AND entity_label IS NOT NULL"), _spans(t, "NOT coalesce(is_test, false) AND entity_label IS NOT NULL"), "note_id", "entity_label")
+    return sp.iou_by_class(_spans(t, "orig", "entity_label IS NOT NULL"), _spans(t, "exp", "entity_label IS NOT NULL"), "note_id", "entity_label")
 
 
 @query("ag11_char_iou", _IOU + " SELECT * FROM r")
@@ -67,22 +68,22 @@ def _(t: Loader):
 
 @query("ag18_missed_spans", f"WITH {_A} SELECT DISTINCT entity_id, s AS start, e AS \"end\" FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.note_id = b.note_id AND a.s < b.e AND a.e > b.s)")
 def _(t: Loader):
-    gold, found = _spans(t, "is_test"), _spans(t, "NOT coalesce(is_test, false)")
+    gold, found = _spans(t, "orig"), _spans(t, "exp")
     met = sp.overlap_join(gold, found, "note_id").select("entity_id", "start", "end").distinct()
     return gold.select("entity_id", "start", "end").distinct().join(met, ["entity_id", "start", "end"], "left_anti")
 
 
 @query("ag24_compound_spans", f"WITH {_A} SELECT b.entity_id, count(DISTINCT a.entity_id) AS n FROM b JOIN a ON a.note_id = b.note_id AND a.s < b.e AND a.e > b.s GROUP BY 1 HAVING count(DISTINCT a.entity_id) >= 2")
 def _(t: Loader):
-    met = sp.overlap_join(_spans(t, "NOT coalesce(is_test, false)"), _spans(t, "is_test"), "note_id")
+    met = sp.overlap_join(_spans(t, "exp"), _spans(t, "orig"), "note_id")
     return met.groupBy("entity_id").agg(F.countDistinct("b_entity_id").alias("n")).where("n >= 2")
 
 
 @query("ag01_span_recall", f"""WITH {_A}, g AS (SELECT DISTINCT note_id, s, e, entity_label FROM a WHERE entity_label IS NOT NULL), h AS (SELECT g.note_id, g.s, g.e, max((g.entity_label = b.entity_label)::INT) AS l FROM g JOIN b ON g.note_id = b.note_id AND g.s < b.e AND g.e > b.s GROUP BY ALL), u AS (SELECT DISTINCT note_id, s, e FROM g)
 SELECT note_id, count(*) AS n_gold, count(l) AS covered, CAST(coalesce(sum(l), 0) AS BIGINT) AS linked FROM u LEFT JOIN h USING (note_id, s, e) GROUP BY 1""")
 def _(t: Loader):
-    gold = _spans(t, "is_test AND entity_label IS NOT NULL").select("note_id", "start", "end", "entity_label").distinct()
-    return sp.span_recall(gold, _spans(t, "NOT coalesce(is_test, false)"), "note_id", "entity_label")
+    gold = _spans(t, "orig", "entity_label IS NOT NULL").select("note_id", "start", "end", "entity_label").distinct()
+    return sp.span_recall(gold, _spans(t, "exp"), "note_id", "entity_label")
 
 
 _KEY = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
@@ -317,20 +318,20 @@ def _(t: Loader):
 
 @query("rk14_seeded_shuffle", "SELECT concept_id, row_number() OVER (PARTITION BY domain_id ORDER BY md5('7:' || concept_id), concept_id) AS place FROM concept")
 def _(t: Loader):
-    w = Window.partitionBy("domain_id").orderBy(F.md5(F.concat(F.lit("7:"), F.col("concept_id").cast("string"))), "concept_id")
-    return t.concept.select("concept_id", F.row_number().over(w).alias("place"))
+    from tessel.operators.metrics import rank_within
+
+    order = [F.md5(F.concat(F.lit("7:"), F.col("concept_id").cast("string"))), F.col("concept_id")]
+    return rank_within(t.concept.select("concept_id", "domain_id"), "domain_id", order).select("concept_id", F.col("rank").alias("place"))
 
 
 @query("rk15_link_prediction_rank", "WITH " + _COS.format(w="") + ", b AS (SELECT s.probe, max(similarity) AS best FROM s JOIN v i USING (vec_id) JOIN v p ON p.vec_id = s.probe WHERE i.label = p.label GROUP BY 1), k AS (SELECT s.probe, 1 + count_if(s.similarity > b.best) AS rank FROM s JOIN b USING (probe) GROUP BY 1) SELECT count(*) AS n, round(avg(1.0 / rank), 6) AS mrr, round(avg((rank <= 10)::INT), 6) AS hits_at_10 FROM k")
 def _(t: Loader):
     from tessel.operators.metrics import rank_metrics
 
-    e = t.embeddings
-    n = e.count()
-    near = lk.nearest(e.where("vec_id % 20 = 0").withColumn("probe", F.col("vec_id")), e, "probe", "vec_id", "embedding", n)
-    labels = e.select("vec_id", "label")
-    s = near.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("probe"), F.col("label").alias("own")), "probe")
-    return rank_metrics(s, "probe", "similarity", F.col("label") == F.col("own"), 10)
+    e = t.embeddings.withColumn("probe", F.col("vec_id"))
+    probes = e.where("vec_id % 20 = 0")
+    best = lk.nearest(probes, e, "probe", "vec_id", "embedding", 1, among="label").select("probe", F.col("similarity").alias("best"))
+    return rank_metrics(lk.count_more_similar(probes.join(best, "probe"), e, "probe", "vec_id", "embedding", "best"), 10)
 
 
 @query("dc01_cascade", f"""WITH {_PROBES}, a AS (SELECT text, min(concept_id) AS id FROM p JOIN concept ON lower(concept_name) = text WHERE invalid_reason IS NULL GROUP BY 1), s AS (SELECT text, min(concept_id) AS id FROM p JOIN concept_synonym ON lower(concept_synonym_name) = text WHERE text NOT IN (SELECT text FROM a) GROUP BY 1),

@@ -243,9 +243,9 @@ def _(t: Loader):
     return rows.orderBy(F.desc("l"), "concept_id").limit(20).drop("concept_name").union(rows.where("concept_name LIKE 'acute %'").drop("concept_name")).distinct()
 
 
-@query("set02_contamination", "SELECT note_id FROM extracted_entities WHERE is_test INTERSECT SELECT note_id FROM mollm_decisions WHERE NOT is_test")
+@query("set02_contamination", "SELECT note_id FROM extracted_entities WHERE is_test INTERSECT SELECT note_id FROM extracted_entities WHERE NOT coalesce(is_test, false)")
 def _(t: Loader):
-    return t.extracted_entities.where("is_test").select("note_id").intersect(t.mollm_decisions.where("NOT is_test").select("note_id"))
+    return t.extracted_entities.where("is_test").select("note_id").intersect(t.extracted_entities.where("NOT coalesce(is_test, false)").select("note_id"))
 
 
 @query("set03_merge_with_cap", "SELECT DISTINCT entity_id, expanded_text, CAST(list_slice(list_concat(list_transform(list_filter(candidates, lambda c: c IS NOT NULL), lambda c: c.omop_concept_id), [omop_concept_id]), 1, 3) AS VARCHAR) AS ids FROM normalized_entities WHERE candidates IS NOT NULL AND omop_concept_id IS NOT NULL")
