@@ -28,15 +28,12 @@ def orphan_references(
     no row, a null child key is kept as null. Repeated deliveries count once. Null times never make
     a reference late. An empty parent makes every reference missing. Other columns are not read.
 
-    Both sides are reduced to one row per key before they meet, so a key that holds many rows costs
-    its rows only once, in the map-side half of an aggregate.
+    The distinct references, one row per key with the earliest time it is used, meet the parent's keys
+    once. Only keys with a fault are joined back to the child's rows, so a key that holds many rows
+    costs its rows only where they are faulty, and is folded before it moves.
     """
-    refs = (
-        child.select(F.col(child_key).alias("child_key"), loose(ref).alias("_ref"), F.col(child_time).alias("_at"))
-        .where(F.col("_ref").isNotNull())
-        .groupBy("_ref", "child_key")
-        .agg(F.min("_at").alias("_at"))
-    )
+    rows = child.select(F.col(child_key).alias("child_key"), loose(ref).alias("_ref"), F.col(child_time).alias("_at")).where(F.col("_ref").isNotNull())
+    keys = rows.groupBy("_ref").agg(F.min("_at").alias("_first"))
     parents = (
         parent.select(
             loose(parent_key).alias("_ref"),
@@ -47,18 +44,12 @@ def orphan_references(
         .groupBy("_ref")
         .agg(F.min("_known").alias("_known"), F.max("_deleted").alias("_deleted"))
     )
-    missing = refs.join(parents, "_ref", "left_anti").withColumn("reason", F.lit("missing"))
-    present = (
-        refs.join(parents, "_ref")
-        .withColumn("reason", F.when(F.col("_deleted"), "deleted").when(F.col("_known") > F.col("_at"), "late"))
-        .where(F.col("reason").isNotNull())
-    )
-    cols = ["child_key", "reason", "_at"]
-    return (
-        missing.select(*cols)
-        .unionByName(present.select(*cols))
-        .select(F.lit(child_table).alias("child_table"), "child_key", "reason", F.date_format("_at", "yyyy-MM").alias("period"))
-    )
+    met = keys.join(parents, "_ref", "left")
+    fault = F.when(F.col("_deleted").isNull(), "missing").when(F.col("_deleted"), "deleted").when(F.col("_known") > F.col("_first"), "late")
+    faulty = met.select("_ref", "_known", fault.alias("reason")).where(F.col("reason").isNotNull())
+    back = rows.join(faulty, "_ref").groupBy("_ref", "child_key", "reason", "_known").agg(F.min("_at").alias("_at"))
+    back = back.where((F.col("reason") != "late") | (F.col("_known") > F.col("_at")))
+    return back.select(F.lit(child_table).alias("child_table"), "child_key", "reason", F.date_format("_at", "yyyy-MM").alias("period"))
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:
