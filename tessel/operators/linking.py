@@ -174,6 +174,46 @@ def count_more_similar(probes: DataFrame, items: DataFrame, probe_id: str, item_
     return out.groupBy(F.col("_p").alias(probe_id)).agg(F.sum("n").alias("n"))
 
 
+def hashed_trigrams(texts: list[str], size: int = 256) -> np.ndarray:
+    """A stand-in for a text encoder: counts of hashed character trigrams."""
+    import zlib
+
+    out = np.zeros((len(texts), size))
+    for i, t in enumerate(texts):
+        for k in range(len(t) + 1):
+            out[i, zlib.crc32(f" {t} "[k : k + 3].encode()) % size] += 1
+    return out
+
+
+def semantic_link(probes: DataFrame, vocabulary: DataFrame, text: str, entry: str, encode, floor: float = 0.72, margin: float = 0.05) -> DataFrame:
+    """(text, entry_id): the entry whose vector is most like the text's, at ``floor`` or more and without
+    another entry within ``margin``. ``encode`` makes an array of vectors of a list of texts."""
+
+    def vectors(df: DataFrame, key: str) -> DataFrame:
+        kind = df.schema[key].dataType.simpleString()
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(encode(batch.column(1).to_pylist())), pa.list_(pa.float64()))], names=["id", "v"])
+
+        return df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("t IS NOT NULL AND id IS NOT NULL").mapInArrow(run, f"id {kind}, v array<double>")
+
+    asked = vectors(probes.select(text).distinct().withColumn("_own", F.col(text)), "_own").withColumnRenamed("id", "_p")
+    near = nearest(asked, vectors(vocabulary, entry).withColumnRenamed("id", "_i"), "_p", "_i", "v", 2)
+    best = near.groupBy("_p").agg(F.max_by("_i", F.col("similarity") - F.col("rn") / 1e9).alias("entry_id"), F.max("similarity").alias("top"), F.min("similarity").alias("next"), F.count("*").alias("n"))
+    return best.where((F.col("top") >= floor) & ((F.col("n") == 1) | (F.col("top") - F.col("next") >= margin))).select(F.col("_p").alias(text), "entry_id")
+
+
+def domain_conflicts(probes: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(text, label, expected, concept_id, found): texts that name no entry of the expected domain, but some of others.
+
+    probes: (text, label, expected); vocabulary: (concept_id, domain_id, text).
+    """
+    met = probes.join(vocabulary, "text").groupBy("text", "label", "expected").agg(F.min("concept_id").alias("concept_id"), F.array_join(F.array_sort(F.collect_set("domain_id")), "|").alias("found"), F.max(F.coalesce(F.col("domain_id") == F.col("expected"), F.lit(False))).alias("_own"))
+    return met.where("NOT _own").drop("_own")
+
+
 def bm25(texts: DataFrame, probes: DataFrame, text_id: str, text: str, probe_id: str, probe: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(probe_id, text_id, score, rn): the k best texts by Okapi BM25 over an inverted index.
 

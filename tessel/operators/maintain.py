@@ -1,6 +1,11 @@
 """Keeping tables: schemas that only grow, keyed writes, conditional changes."""
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import os
+from pathlib import Path
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +16,54 @@ def additive_schema(df: DataFrame, columns: dict[str, tuple[str, object]]) -> Da
     return df.withColumns(missing) if missing else df
 
 
+def ensure_table(spark: SparkSession, path: str, columns: dict[str, tuple[str, object]]) -> DataFrame:
+    """The table at a path, created empty if it is absent, with the columns it lacks added under their defaults.
+
+    What is stored is not rewritten: the added columns are filled when the table is read, and
+    append_rows() stores them.
+    """
+    schema = ", ".join(f"`{c}` {t}" for c, (t, _) in columns.items())
+    try:
+        have = spark.read.parquet(path)
+    except AnalysisException:
+        spark.createDataFrame([], schema).write.parquet(path)
+        have = spark.read.parquet(path)
+    whole = spark.read.option("mergeSchema", True).parquet(path)
+    new = {c: F.lit(v).cast(t) for c, (t, v) in columns.items() if c not in have.columns and c not in whole.columns}
+    filled = {c: F.coalesce(F.col(c), F.lit(v).cast(t)) for c, (t, v) in columns.items() if c in whole.columns and v is not None}
+    return whole.withColumns(new | filled).select(*columns, *[c for c in whole.columns if c not in columns])
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    df.write.mode("append").parquet(path)
+
+
+def write_status(path: str, job: str, done: int, total: int, elapsed: float) -> dict:
+    """Replace a small JSON status file in one step; the estimate needs something done and something left."""
+    eta = round(elapsed * (total - done) / done) if 0 < done < total else None
+    status = {"job": job, "pid": os.getpid(), "done": done, "total": total, "elapsed_s": elapsed, "eta_s": eta}
+    Path(f"{path}.tmp").write_text(json.dumps(status))
+    Path(f"{path}.tmp").replace(path)
+    return status
+
+
+def read_status(path: str) -> dict | None:
+    """The status, or None where there is none or it cannot be read."""
+    try:
+        return json.loads(Path(path).read_text())
+    except (OSError, ValueError):
+        return None
+
+
+def clear_status(path: str, job: str) -> bool:
+    """Remove the status if it is this process's of that job."""
+    status = read_status(path)
+    own = status is not None and (status.get("job"), status.get("pid")) == (job, os.getpid())
+    if own:
+        Path(path).unlink()
+    return own
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Rows of both tables, one per key: a new row beats an old one, among new ones the last in ``order``.
 

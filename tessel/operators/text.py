@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The form of a section header.
 HEADER = r"^[ \t]*([A-Z][A-Za-z0-9 /\-'&.]{2,45}?):"
+# A sentence ends at . ! ? before a blank, or at a blank line.
+SENTENCE = re.compile(r"\S(?:.*?[.!?](?=\s|$)|.*?(?=\n\s*\n)|.*$)", re.S)
 _SPAN = "start int, end int"
 
 
@@ -53,10 +56,9 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def sentence_spans(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, sentence_id, start, end): sentences end at . ! ? before a blank, or at a blank line."""
-    pattern = re.compile(r"\S(?:.*?[.!?](?=\s|$)|.*?(?=\n\s*\n)|.*$)", re.S)
 
     def find(t: str) -> Iterator[tuple]:
-        for i, m in enumerate(pattern.finditer(t)):
+        for i, m in enumerate(SENTENCE.finditer(t)):
             yield i, m.start(), m.end()
 
     return spans_udtf(df, key, text, find, "sentence_id int, " + _SPAN)
@@ -65,10 +67,9 @@ def sentence_spans(df: DataFrame, key: str, text: str) -> DataFrame:
 def chunks(df: DataFrame, key: str, text: str, budget: int = 1800, overlap: int = 128) -> DataFrame:
     """(key, chunk, start, end, n_words): sentences packed up to ``budget`` words; each next chunk goes
     back over whole sentences of at least ``overlap`` words, but always moves on."""
-    pattern = re.compile(r"\S(?:.*?[.!?](?=\s|$)|.*?(?=\n\s*\n)|.*$)", re.S)
 
     def find(t: str) -> Iterator[tuple]:
-        spans = [(m.start(), m.end(), len(m[0].split())) for m in pattern.finditer(t)]
+        spans = [(m.start(), m.end(), len(m[0].split())) for m in SENTENCE.finditer(t)]
         first = n = 0
         while first < len(spans):
             last, words = first, spans[first][2]
@@ -281,10 +282,16 @@ def name_agreement(ratio: Column) -> Column:
     return F.when(ratio >= 0.75, "agree").when(ratio >= 0.45, "weak").otherwise("reject")
 
 
+def longest_common(needle: str, text: str) -> tuple[int, int]:
+    """(place in the text, length) of the longest stretch both share; of equal ones the first in the text."""
+    m = SequenceMatcher(None, text, needle, autojunk=False).find_longest_match()
+    return m.a, m.size
+
+
 @F.pandas_udf(T.DoubleType())
 def containment(needle, text):
     """Length of the longest common stretch over the needle's length."""
-    return needle.combine(text, lambda a, b: None if a is None or b is None else 0.0 if not a else round(SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size / len(a), 4))
+    return needle.combine(text, lambda a, b: None if a is None or b is None else 0.0 if not a else 1.0 if a in b else round(longest_common(a, b)[1] / len(a), 4))
 
 
 def repetition(text: Column, n: int = 6, least: int = 40) -> Column:

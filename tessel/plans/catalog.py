@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.plans import guideline_queries, link_queries, metric_queries, stream_queries, table_queries, text_queries, training_queries
+from tessel.plans import context_queries, guideline_queries, link_queries, metric_queries, stream_queries, table_queries, text_queries, training_queries
 
-MODULES = [training_queries, table_queries, link_queries, metric_queries, text_queries, guideline_queries, stream_queries]
+MODULES = [training_queries, table_queries, link_queries, metric_queries, text_queries, guideline_queries, context_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

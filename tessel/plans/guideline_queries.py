@@ -87,22 +87,22 @@ _POOL = f"""ab AS (SELECT {_COLS} FROM ch_a UNION ALL SELECT {_COLS} FROM ch_b),
 one AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY probe, file_id, node, direction, predicate, other ORDER BY {_ORDER}) = 1), best AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY {_ORDER}) AS rank FROM one), capped AS (SELECT *, count(*) OVER (PARTITION BY probe) AS n FROM best WHERE rank <= 5)"""
 
 
-def _ranked(t: Loader):
+def ranked(t: Loader, cap: int = 5):
     probes, (nodes, rules) = _probes(t), _graph(t)
     sure = gl.by_code(probes, nodes, rules).unionByName(gl.by_hierarchy(probes, nodes, rules, _up(t)))
-    return gl.rank_and_cap(gl.only_if_nothing(sure, gl.by_name(probes, nodes, rules)))
+    return gl.rank_and_cap(gl.only_if_nothing(sure, gl.by_name(probes, nodes, rules)), cap)
 
 
 @query("kg07_retrieve", f"{_WITH}, {_A}, {_B}, {_D}, {_POOL} SELECT {_COLS}, rank FROM capped WHERE n > 1 OR coalesce(citation_type IN ({', '.join(repr(c) for c in gl.CITABLE)}), false)")
 def _(t: Loader):
-    return _ranked(t)
+    return ranked(t)
 
 
 @query("kg07_retrieval_outcomes", f"""{_WITH}, {_A}, {_B}, {_D}, {_POOL}, k AS (SELECT probe, min(channel) AS channel FROM capped WHERE n > 1 OR coalesce(citation_type IN ({', '.join(repr(c) for c in gl.CITABLE)}), false) GROUP BY 1),
 s AS (SELECT entity_id, bool_or(coalesce(upper(assertion_status) = 'ABSENT', false)) AS gone FROM extracted_entities GROUP BY 1), m AS (SELECT DISTINCT entity_id, lower(trim(expanded_text)) || '|' || coalesce(gliner_label, '') || '|' || candidates[1].omop_concept_id AS probe FROM normalized_entities WHERE trim(expanded_text) <> '' AND candidates[1].omop_concept_id IS NOT NULL)
 SELECT CASE WHEN gone THEN 'skipped: not asserted' WHEN channel IS NOT NULL THEN 'found by ' || channel ELSE 'nothing found' END AS outcome, count(*) AS n FROM m LEFT JOIN s USING (entity_id) LEFT JOIN k USING (probe) GROUP BY 1""")
 def _(t: Loader):
-    found = _ranked(t).groupBy("probe").agg(F.min("channel").alias("channel"))
+    found = ranked(t).groupBy("probe").agg(F.min("channel").alias("channel"))
     state = t.extracted_entities.groupBy("entity_id").agg(F.max(F.coalesce(F.upper("assertion_status") == "ABSENT", F.lit(False))).alias("gone"))
     first = F.try_element_at("candidates", F.lit(1))["omop_concept_id"]
     name = F.lower(F.trim("expanded_text"))

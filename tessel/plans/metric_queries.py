@@ -171,11 +171,6 @@ def _(t: Loader):
     return vt.plurality(_usable(t), "mollm_call_id", "verdict", "pos")
 
 
-@query("rk11_cache_lookup", f"WITH {_USE}, g AS (SELECT verdict, count(*) AS n FROM u GROUP BY 1) SELECT verdict, n FROM g WHERE n >= 2 ORDER BY n DESC, verdict LIMIT 1")
-def _(t: Loader):
-    return _usable(t).groupBy("verdict").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "verdict").limit(1)
-
-
 @query("dc11_vote_features", f"WITH {_USE}, f AS (SELECT mollm_call_id, count(*) AS n_votes, count(DISTINCT verdict) AS n_verdicts, round(avg(p), 6) AS mean_p, min(p) AS low_p, max(p) AS high_p, round(max(p) - min(p), 6) AS spread FROM u GROUP BY 1) SELECT * FROM f")
 def _(t: Loader):
     return vt.vote_features(_usable(t), "mollm_call_id", "verdict", "p")

@@ -4,10 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessel.functions.keys import loose
+from tessel.operators import context as cx
 from tessel.operators import maintain as mt
+from tessel.operators import text as tx
 from tessel.plans.registry import Loader, Registry
+from tessel.plans.text_queries import mentions_sql
 from tessel.sources import readers
-from tessel.sources.tables import shared_dir
+from tessel.sources.tables import new_path
 
 query = Registry()
 ACTIVE = "NOT coalesce(below_threshold, false) AND NOT coalesce(superseded_by_split, false) AND NOT coalesce(superseded_by_growth, false)"
@@ -20,37 +23,69 @@ def _(t: Loader):
 
 @query("src02_csv_spans", "SELECT DISTINCT note_id, orig_start AS start, orig_end AS \"end\", original_text AS span FROM extracted_entities WHERE is_test AND orig_start IS NOT NULL AND orig_end IS NOT NULL")
 def _(t: Loader):
-    path = f"{shared_dir(t.spark)}/tessel-csv-{t.folder.strip('/').replace('/', '_')}"
+    path = new_path(t.spark, "csv")
     rows = t.extracted_entities.where("is_test").select("note_id", F.col("orig_start").cast("double").alias("start"), F.col("orig_end").cast("double").alias("end"), F.col("original_text").alias("span"), F.lit(1).cast("long").alias("concept_id"))
-    rows.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', nullValue="\\N", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows.write.csv(path, header=True, quoteAll=True, escape='"', nullValue="\\N", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return readers.read_spans(t.spark, path).select("note_id", "start", "end", "span").distinct()
 
 
-@query("src03_note_text", "SELECT CAST(doc_id AS VARCHAR) AS note_id, text FROM documents WHERE doc_kind = 'note' AND text IS NOT NULL AND trim(text, E' \\n\\r\\t') <> '' AND NOT contains(text, E'\\r')")
+@query("src03_note_text", "SELECT CAST(doc_id AS VARCHAR) AS note_id, text FROM documents WHERE doc_kind = 'note' AND text IS NOT NULL AND trim(text, E' \\n\\r\\t') <> ''")
 def _(t: Loader):
-    path = f"{shared_dir(t.spark)}/tessel-text-{t.folder.strip('/').replace('/', '_')}"
-    docs = t.documents.where("doc_kind = 'note' AND text IS NOT NULL AND trim(BOTH ' \n\r\t' FROM text) <> '' AND NOT contains(text, '\r')")
-    docs.select(F.col("doc_id").cast("string").alias("note_id"), "text").write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    path = new_path(t.spark, "text")
+    docs = t.documents.where("doc_kind = 'note' AND text IS NOT NULL AND trim(BOTH ' \n\r\t' FROM text) <> ''")
+    docs.select(F.col("doc_id").cast("string").alias("note_id"), "text").write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return readers.read_note_texts(t.spark, path)
 
 
 @query("src07_json_lines", "SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
 def _(t: Loader):
-    path = f"{shared_dir(t.spark)}/tessel-jsonl-{t.folder.strip('/').replace('/', '_')}"
-    t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("features")).write.mode("overwrite").json(path)
+    path = new_path(t.spark, "jsonl")
+    t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("features")).write.json(path)
     rows = readers.read_training_rows(t.spark, path, "vec_id long, label int, features array<double>", 64)
     return rows.select("vec_id", "label", F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("src10_sampled_profile", "SELECT vocabulary_id, domain_id, count(*) AS n, count(invalid_reason) AS n_withdrawn FROM concept GROUP BY ALL HAVING count(*) > 50 ORDER BY n DESC, vocabulary_id, domain_id LIMIT 12")
+@query("src05_linked_entities", """SELECT DISTINCT note_id AS chunk_id, CAST(x.omop_concept_id AS VARCHAR) AS snomed_cui, x.concept_name AS preferred_name, expanded_text AS source_value, x.similarity_score AS confidence_score FROM (SELECT note_id, expanded_text, unnest(candidates) AS x FROM normalized_entities WHERE note_id IS NOT NULL) WHERE x IS NOT NULL""")
 def _(t: Loader):
-    groups = t.concept.groupBy("vocabulary_id", "domain_id").agg(F.count("*").alias("n"), F.count("invalid_reason").alias("n_withdrawn"))
-    return groups.where("n > 50").orderBy(F.desc("n"), "vocabulary_id", "domain_id").limit(12)
+    x = t.normalized_entities.where("note_id IS NOT NULL").select("note_id", "expanded_text", "candidates")
+    entity = lambda c: F.when(c.isNotNull(), F.struct(c["omop_concept_id"].cast("string").alias("snomed_cui"), c["concept_name"].alias("preferred_name"), F.col("expanded_text").alias("source_value"), c["similarity_score"].alias("confidence_score"), F.struct(F.lit(0).alias("start"), F.length("expanded_text").alias("end")).alias("character_boundaries")))
+    path = new_path(t.spark, "linked")
+    x.select(F.col("note_id").alias("chunk_id"), F.transform("candidates", entity).alias("entities")).write.json(path)
+    return readers.read_linked_entities(t.spark, path).drop("start", "end").distinct()
 
 
-@query("snk01_additive_schema", "SELECT concept_id, concept_name, false AS reviewed, 0 AS use_count FROM concept")
+@query("src06_split_file", "SELECT note_id, CASE WHEN bool_or(is_test) THEN 'test' ELSE 'train' END AS split FROM extracted_entities WHERE note_id IS NOT NULL AND NOT contains(note_id, '#') GROUP BY 1")
 def _(t: Loader):
-    return mt.additive_schema(t.concept.select("concept_id", "concept_name"), {"concept_name": ("string", None), "reviewed": ("boolean", False), "use_count": ("int", 0)})
+    split = F.when(F.coalesce(F.max("is_test"), F.lit(False)), "test").otherwise("train")
+    rows = t.extracted_entities.where("note_id IS NOT NULL AND NOT contains(note_id, '#')").groupBy("note_id").agg(split.alias("split"), F.count("*").alias("n_gold_annotations"))
+    path = new_path(t.spark, "splits")
+    rows.write.csv(path, header=True)
+    t.spark.range(1).select(F.lit("# split by hand, see the notes\nnote_id,split,n_gold_annotations").alias("value")).write.mode("append").text(path)
+    return readers.read_split_table(t.spark, path)
+
+
+@query("src08_catalog", "SELECT DISTINCT table_name, column_name FROM duckdb_columns() WHERE table_name IN ('concept', 'concept_synonym', 'documents', 'note_index')")
+def _(t: Loader):
+    names = ("concept", "concept_synonym", "documents", "note_index")
+    return readers.describe_tables(t.spark, {n: getattr(t, n) for n in names} | {"concept_ancestor": readers.optional_table(t.spark, "concept_ancestor")}).select("table_name", "column_name")
+
+
+@query("src10_sampled_profile", "WITH s AS (SELECT * FROM concept ORDER BY md5(concept_id || ':sample') LIMIT 700) SELECT vocabulary_id, domain_id, count(*) AS n, count(invalid_reason) AS n_withdrawn FROM s GROUP BY ALL HAVING count(*) > 25")
+def _(t: Loader):
+    sample = readers.sample_rows(t.concept, F.concat(F.col("concept_id").cast("string"), F.lit(":sample")), 700)
+    return sample.groupBy("vocabulary_id", "domain_id").agg(F.count("*").alias("n"), F.count("invalid_reason").alias("n_withdrawn")).where("n > 25")
+
+
+@query("snk01_additive_schema", "SELECT concept_id, concept_name, false AS reviewed, 0 AS use_count FROM concept WHERE domain_id = 'Drug' UNION ALL SELECT concept_id, concept_name, true, 7 FROM concept WHERE domain_id = 'Procedure'")
+def _(t: Loader):
+    path = new_path(t.spark, "concepts")
+    first = {"concept_id": ("bigint", None), "concept_name": ("string", None)}
+    mt.ensure_table(t.spark, path, first)
+    mt.append_rows(t.concept.where("domain_id = 'Drug'").select(*first), path)
+    grown = first | {"reviewed": ("boolean", False), "use_count": ("int", 0)}
+    mt.ensure_table(t.spark, path, grown)
+    mt.append_rows(t.concept.where("domain_id = 'Procedure'").select(*first, F.lit(True).alias("reviewed"), F.lit(7).alias("use_count")), path)
+    return mt.ensure_table(t.spark, path, grown)
 
 
 _LAST = "SELECT {c} FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY {o}) AS rn FROM {t}) WHERE rn = 1"
@@ -81,13 +116,14 @@ def _(t: Loader):
 
 @query("snk05_parquet_export", "SELECT hitl_case_id, source_table, reviewer_decision FROM hitl_review_queue")
 def _(t: Loader):
-    path = f"{shared_dir(t.spark)}/tessel-export-{t.folder.strip('/').replace('/', '_')}"
+    path = new_path(t.spark, "export")
     return readers.export_tables({"hitl_review_queue": t.hitl_review_queue}, path)["hitl_review_queue"].select("hitl_case_id", "source_table", "reviewer_decision")
 
 
 @query("snk06_snapshot_without_vectors", "SELECT vec_id, label FROM embeddings")
 def _(t: Loader):
-    return t.embeddings.drop("embedding")
+    kept = t.embeddings.drop("embedding")
+    return readers.export_tables({"embeddings": kept, "scratch": kept.limit(0)}, new_path(t.spark, "snapshot"), leave_out=("scratch",))["embeddings"]
 
 
 @query("snk07_update_from", "SELECT concept_id, concept_name, coalesce(s, concept_code) AS concept_code FROM concept LEFT JOIN (SELECT concept_id, max(concept_synonym_name) AS s FROM concept_synonym GROUP BY 1) USING (concept_id)")
@@ -131,6 +167,18 @@ def _(t: Loader):
     return t.hitl_review_queue.where("review_duration IS NOT NULL").select("hitl_case_id", mt.duration_text(F.col("review_duration") * 97).alias("took")).distinct()
 
 
+@query("snk12_heartbeat", "SELECT 'review' AS job, count(*) FILTER (reviewer_decision <> 'PENDING') AS done, count(*) AS total, CAST(round(120 * count(*) FILTER (coalesce(reviewer_decision, 'PENDING') = 'PENDING') / count(*) FILTER (reviewer_decision <> 'PENDING')) AS BIGINT) AS eta_s FROM hitl_review_queue")
+def _(t: Loader):
+    import tempfile
+
+    r = t.hitl_review_queue.agg(F.count_if(F.col("reviewer_decision") != "PENDING").alias("done"), F.count("*").alias("total")).first()
+    with tempfile.TemporaryDirectory() as own:  # the driver's own status file
+        mt.write_status(f"{own}/status.json", "review", r["done"], r["total"], 120.0)
+        s = mt.read_status(f"{own}/status.json")
+        mt.clear_status(f"{own}/status.json", "review")
+    return t.spark.createDataFrame([(s["job"], s["done"], s["total"], s["eta_s"])], "job string, done long, total long, eta_s long")
+
+
 @query("flt02_namespace_exclusion", "SELECT concept_id, concept_code FROM concept WHERE concept_code NOT LIKE '%9____'")
 def _(t: Loader):
     return t.concept.where(~F.col("concept_code").like("%9____")).select("concept_id", "concept_code")
@@ -147,10 +195,16 @@ def _(t: Loader):
     return t.extracted_entities.where(ACTIVE).groupBy("note_id").agg(F.count("*").alias("n"), F.countDistinct("entity_id").alias("n_mentions"))
 
 
-@query("flt05_noise", "SELECT DISTINCT entity_id FROM extracted_entities WHERE lower(trim(original_text)) IN ('none', 'md') OR regexp_matches(original_text, '^[A-Z][A-Za-z /]{2,45}:$') OR length(trim(original_text)) < 3")
+_NOISE = f"{mentions_sql(['mg', 'Plan', 'daily'])}, c AS (SELECT *, substr(text, greatest(start - 11, 1), least(start, 12)) AS before, substr(text, start + length(term) + 1, 3) AS after FROM m)"
+
+
+@query("flt05_noise", f"WITH {_NOISE} SELECT doc_id, start, CASE WHEN term = 'daily' AND regexp_matches(before, ',\\s*$') THEN 'credential' WHEN regexp_matches(after, '^[ \\t]{{0,2}}:') THEN 'header' WHEN term = 'mg' THEN 'placeholder' END AS reason FROM c")
 def _(t: Loader):
-    text = F.col("original_text")
-    return t.extracted_entities.where(F.lower(F.trim(text)).isin("none", "md") | text.rlike("^[A-Z][A-Za-z /]{2,45}:$") | (F.length(F.trim(text)) < 3)).select("entity_id").distinct()
+    # the texts hold no titles and no "None": other words of theirs take these parts
+    m = tx.mentions(t.documents, "doc_id", "text", ["mg", "Plan", "daily"], 12)
+    before = F.substring("near", F.lit(1), F.col("at"))
+    reason = cx.noise_reason(F.col("term"), before, cx.is_header(F.col("near"), F.col("at"), F.length("term")), ("daily",), ("mg",))
+    return m.select("doc_id", "start", reason.alias("reason"))
 
 
 @query("flt06_confidence_flag", "SELECT CASE WHEN confidence IS NULL THEN 'unknown' WHEN confidence < 0.35 THEN 'below' ELSE 'kept' END AS band, count(*) AS n FROM extracted_entities GROUP BY 1")

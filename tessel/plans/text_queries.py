@@ -14,7 +14,7 @@ query = Registry()
 TERMS = ["mg", "acute", "chronic", "serum", "daily", "left", "right", "stable"]
 
 
-def _mentions_sql(terms: list[str]) -> str:
+def mentions_sql(terms: list[str]) -> str:
     """m(doc_id, text, term, start): every occurrence of a term that stands in no longer word."""
     values = ", ".join(f"('{t}')" for t in terms)
     return f"""s AS (SELECT doc_id, text, term, string_split(text, term) AS p FROM documents, (VALUES {values}) v(term) WHERE contains(text, term)),
@@ -52,7 +52,7 @@ def _(t: Loader):
     return e.select("doc_id", F.col("edit.start").alias("start"), tx.to_original(F.col("edits"), F.col("edit.exp_start"), False).alias("back"))
 
 
-@query("tx04_numeric_context", f"""WITH {_mentions_sql(["mg"])}, c AS (SELECT doc_id, start, substr(text, start + 3, 12) AS after, substr(text, greatest(start - 11, 1), least(start, 12)) AS before FROM m)
+@query("tx04_numeric_context", f"""WITH {mentions_sql(["mg"])}, c AS (SELECT doc_id, start, substr(text, start + 3, 12) AS after, substr(text, greatest(start - 11, 1), least(start, 12)) AS before FROM m)
 SELECT doc_id, start, CASE WHEN regexp_matches(after, '^\\s*[<>=\\-]\\s*-?\\d') THEN 'lab_value' WHEN regexp_matches(after, '^\\s*\\d') OR regexp_matches(before, '\\d\\s*$') THEN 'unit_value' END AS kind FROM c""")
 def _(t: Loader):
     m = tx.mentions(t.documents, "doc_id", "text", ["mg"], 12)
@@ -81,7 +81,7 @@ def _(t: Loader):
     return rows.select("entity_id", tx.span_id(F.col("note_id"), F.col("orig_start"), F.col("orig_end"), F.col("entity_label")).alias("made")).distinct()
 
 
-@query("tx11_dictionary_scan", f"WITH {_mentions_sql(TERMS)} SELECT doc_id, term, count(*) AS n FROM m GROUP BY ALL")
+@query("tx11_dictionary_scan", f"WITH {mentions_sql(TERMS)} SELECT doc_id, term, count(*) AS n FROM m GROUP BY ALL")
 def _(t: Loader):
     return tx.dictionary_spans(t.documents, "doc_id", "text", TERMS).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
@@ -92,7 +92,7 @@ def _(t: Loader):
     return tx.drop_overlapping(found, tx.sections(t.documents, "doc_id", "text").select("doc_id", F.col("header_start").alias("start"), F.col("start").alias("end")), "doc_id")
 
 
-@query("tx14_context_words", f"""WITH {_mentions_sql(["mg"])}, w AS (SELECT doc_id, start, list_transform(regexp_extract_all(substr(text, greatest(start - 59, 1), least(start, 60)), '[A-Za-z]+'), lambda x: lower(x)) AS b, list_transform(regexp_extract_all(substr(text, start + 3, 60), '[A-Za-z]+'), lambda x: lower(x)) AS a FROM m)
+@query("tx14_context_words", f"""WITH {mentions_sql(["mg"])}, w AS (SELECT doc_id, start, list_transform(regexp_extract_all(substr(text, greatest(start - 59, 1), least(start, 60)), '[A-Za-z]+'), lambda x: lower(x)) AS b, list_transform(regexp_extract_all(substr(text, start + 3, 60), '[A-Za-z]+'), lambda x: lower(x)) AS a FROM m)
 SELECT doc_id, start, array_to_string(b[greatest(len(b) - 2, 1):len(b)], ' ') AS before, array_to_string(a[1:3], ' ') AS after FROM w""")
 def _(t: Loader):
     m = tx.mentions(t.documents, "doc_id", "text", ["mg"], 60)
@@ -134,7 +134,7 @@ def _(t: Loader):
 _CUE = r"(^|[^\p{L}\p{M}\p{N}\p{Pc}])(%s)($|[^\p{L}\p{M}\p{N}\p{Pc}])"
 
 
-@query("tx21_assertion", f"""WITH {_mentions_sql(["acute"])}, w AS (SELECT doc_id, start, regexp_extract(substr(text, greatest(start - 39, 1), least(start, 40)), '([^.;\\n]*)$', 1) AS own FROM m)
+@query("tx21_assertion", f"""WITH {mentions_sql(["acute"])}, w AS (SELECT doc_id, start, regexp_extract(substr(text, greatest(start - 39, 1), least(start, 40)), '([^.;\\n]*)$', 1) AS own FROM m)
 SELECT doc_id, start, CASE """ + " ".join(f"WHEN regexp_matches(own, '(?i){_CUE % words}') THEN '{state}'" for state, words in tx.CUES) + " ELSE 'PRESENT' END AS state FROM w")
 def _(t: Loader):
     m = tx.mentions(t.documents, "doc_id", "text", ["acute"], 40)

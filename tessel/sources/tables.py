@@ -16,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or, where none is set (tests), an own temporary one."""
+    """The folder named in spark.checkpoint.dir; only a local session without one, as in tests, gets an own temporary one."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="tessel-")
@@ -28,15 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, also when the same query runs twice at once; release() frees it."""
+    path = f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
     The result has no lineage, is computed once, and survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
