@@ -72,19 +72,26 @@ def unit_vector(col: Column | str) -> Column:
     """A vector of length one; null for null, empty or zero vectors."""
     v = F.transform(col, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    once = F.transform(F.array(F.struct(v.alias("v"), norm.alias("n"))), lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])))
+    return once[0]
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows of length zero become NaN."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
 class _Probes:
     """A block of probes as a matrix of unit vectors."""
 
     def __init__(self, rows: list, among: bool, extra: bool):
         self.ids = np.array([r["_p"] for r in rows])
-        self.matrix = np.array([r["_a"] for r in rows], float).reshape(len(rows), -1)
+        self.matrix = _unit(np.array([r["_a"] for r in rows], float).reshape(len(rows), -1))
         self.group = np.array([r["_g"] for r in rows], object) if among else None
         self.bound = np.array([r["_t"] for r in rows], float) if extra else None
 
@@ -93,7 +100,8 @@ class _Probes:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         vectors = batch.column(1)
         items = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        sims = np.round(items @ self.matrix.T, 6)
+        sims = np.round(_unit(items) @ self.matrix.T, 6)
+        sims[np.isnan(sims)] = -np.inf
         sims[ids[:, None] == self.ids[None, :]] = -np.inf
         if self.group is not None:
             sims[batch.column(2).to_numpy(zero_copy_only=False).astype(object)[:, None] != self.group[None, :]] = -np.inf
@@ -104,14 +112,17 @@ def _probe_blocks(probes: DataFrame, items: DataFrame, probe_id: str, item_id: s
     """(block of probes, items) for each block; at most about ``block`` numbers are held at a time."""
     extra = [F.col(among).alias("_g")] if among else []
     bounds = [F.col(bound).alias("_t")] if bound else []
-    asked = probes.select(F.col(probe_id).alias("_p"), unit_vector(vector).alias("_a"), *extra, *bounds).where("_a IS NOT NULL")
-    right = items.select(F.col(item_id).alias("_i"), unit_vector(vector).alias("_b"), *([F.col(among).alias("_g")] if among else [])).where("_b IS NOT NULL")
+    numbers = F.col(vector).cast("array<double>")
+    asked = probes.select(F.col(probe_id).alias("_p"), numbers.alias("_a"), *extra, *bounds).where("size(_a) > 0")
+    right = items.select(F.col(item_id).alias("_i"), numbers.alias("_b"), *([F.col(among).alias("_g")] if among else []))
     blocks = max(1, -(-(asked.agg(F.sum(F.size("_a"))).first()[0] or 0) // block))
     for b in range(blocks):
         own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("_p"), F.lit(blocks)) == b)
-        rows = own.collect()
-        if rows:
-            yield _Probes(rows, among is not None, bound is not None), right
+        by_length: dict[int, list] = {}
+        for r in own.collect():
+            by_length.setdefault(len(r["_a"]), []).append(r)
+        for n, rows in sorted(by_length.items()):  # vectors of other lengths have nothing in common
+            yield _Probes(rows, among is not None, bound is not None), right.where(F.size("_b") == n)
 
 
 def nearest(probes: DataFrame, items: DataFrame, probe_id: str, item_id: str, vector: str, k: int, block: int = 4_000_000, among: str | None = None) -> DataFrame:
