@@ -9,6 +9,7 @@ from tessel.plans import link_queries as lq
 from tessel.plans import training_queries as tq
 from tessel.plans import vocabulary
 from tessel.plans.registry import Loader, Registry
+from tessel.sources.tables import materialize
 
 query = Registry()
 _GRAPH = """f AS (SELECT DISTINCT file_id, payload FROM guideline_files WHERE json_valid(payload)), n AS (SELECT file_id, unnest(from_json(payload->'$."@graph"', '["JSON"]')) AS x FROM f), nd AS (SELECT DISTINCT file_id, x->>'@id' AS id, x->>'@type' AS type, lower(trim(x->>'name')) AS name, x->>'snomed' AS code FROM n WHERE json_type(x) = 'OBJECT'),
@@ -88,7 +89,8 @@ one AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY probe, file_i
 
 
 def ranked(t: Loader, cap: int = 5):
-    probes, (nodes, rules) = _probes(t), _graph(t)
+    probes = materialize(_probes(t), "probes")
+    nodes, rules = (materialize(df, "graph") for df in _graph(t))
     sure = gl.by_code(probes, nodes, rules).unionByName(gl.by_hierarchy(probes, nodes, rules, _up(t)))
     return gl.rank_and_cap(gl.only_if_nothing(sure, gl.by_name(probes, nodes, rules)), cap)
 

@@ -136,8 +136,17 @@ def test_stream_equals_its_batch_twin(spark, tmp_path):
 
 
 def test_foreach_batch_upsert(spark, tmp_path):
-    write = events.upsert_to(str(tmp_path / "t"), ["k"], "at")
-    write(spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "k int, v string, at int"), 0)
-    write(spark.createDataFrame([(2, "c", 1), (1, "d", 3)], "k int, v string, at int"), 1)
-    write(spark.createDataFrame([(2, "c", 1), (1, "d", 3)], "k int, v string, at int"), 1)
-    assert rows(spark.read.parquet(str(tmp_path / "t/v1")), "k", "v") == [(1, "d"), (2, "c")]
+    path = str(tmp_path / "t")
+    write = events.upsert_to(path, ["k"], "at", parts=4)
+    frame = lambda *r: spark.createDataFrame(r, "k int, v string, at int")
+    assert events.read_upserted(spark, path, frame((1, "", 1)).schema).count() == 0
+    write(frame((1, "a", 1), (1, "b", 2), *[(k, "x", 0) for k in range(10, 30)]), 0)
+    write(frame((2, "c", 1), (1, "d", 3)), 1)
+    write(frame((2, "c", 1), (1, "d", 3)), 1)
+    write(frame((3, "e", 1)), 5)  # numbers may be skipped
+    write(frame((4, "lost", 1)), 6)
+    write(frame((4, "f", 1)), 6)  # a batch that is run again replaces its own result
+    want = sorted([(1, "d"), (2, "c"), (3, "e"), (4, "f"), *[(k, "x") for k in range(10, 30)]])
+    assert rows(events.read_upserted(spark, path), "k", "v") == want
+    events.free_upserted(spark, path)
+    assert rows(events.read_upserted(spark, path), "k", "v") == want
