@@ -188,12 +188,12 @@ def _json(raw: str) -> str:
     return json.dumps(json.loads(raw), ensure_ascii=False) if "\\" in raw else raw
 
 
-def items(tree: Tree, found: list[tuple[int, str]], repeated: Callable[[str], bool], with_fields: bool) -> list[tuple[str, str, str | None, int, dict[str, str] | None]]:
+def items(tree: Tree, found: list[tuple[int, str]], repeated: Callable[[str], bool], with_fields: bool, wanted: frozenset[str] | None = None) -> list[tuple[str, str, str | None, int, dict[str, str] | None]]:
     """(table path, own path, parent path, ordinal, {path: JSON text}) of each object that stands in an array.
 
     This is the grouping of a record's triples by their repeated ancestor. An object that is no
     element of an array is an array of one where its path is ``repeated``, else its values belong to
-    the object around it under dotted names.
+    the object around it under dotted names. With ``wanted`` only values of these keys are kept.
     """
     out: list[tuple] = []
     start = dict(found)
@@ -234,7 +234,7 @@ def items(tree: Tree, found: list[tuple[int, str]], repeated: Callable[[str], bo
         if tree.many[c]:
             if tree.holds[c] or repeated(t):
                 item[c], table[c], path[c], under[c] = item[p], t, here, name
-            elif with_fields:
+            elif with_fields and (wanted is None or name in wanted):
                 text = tree.text[tree.span[c][0] : tree.span[c][1]]
                 out[item[p]][4][name] = json.dumps(json.loads(text), ensure_ascii=False)
         elif repeated(t):
@@ -243,7 +243,7 @@ def items(tree: Tree, found: list[tuple[int, str]], repeated: Callable[[str], bo
             item[c], table[c], path[c], under[c] = item[p], t, here, f"{name}."
     if with_fields:
         for c, k, raw in tree.scalars:
-            if (own := item.get(c)) is not None:
+            if (own := item.get(c)) is not None and (wanted is None or k in wanted):
                 out[own][4][f"{under[c]}[{k}]" if tree.many[c] else f"{under[c]}{k}"] = _json(raw)
     return out
 
@@ -339,7 +339,7 @@ def _step(at: tuple[str, tuple[int, ...]], many: bool, name: str | int) -> tuple
     return (f"{path}[]", (*ordinals, name)) if many else (f"{path}.{name}" if path else str(name), ordinals)
 
 
-def flatten_json(df: DataFrame, key: Column | str, text: Column | str, root: str, with_fields: bool = True, shape: Shape | None = None) -> DataFrame:
+def flatten_json(df: DataFrame, key: Column | str, text: Column | str, root: str, with_fields: bool = True, shape: Shape | None = None, tables: Iterable[str] | None = None, fields: Iterable[str] | None = None) -> DataFrame:
     """One row per object found inside an array of a JSON text column.
 
     Returns (key, table_path, child_path, parent_path, ordinal[, fields]). The outermost array is
@@ -352,15 +352,19 @@ def flatten_json(df: DataFrame, key: Column | str, text: Column | str, root: str
     elements give no row but keep their position; a lone object is an array of one where its path is
     an array in some record; scalars beside objects are values of the object around them. Of a
     repeated key the last value counts. Rows with a null key give no row. Repeated rows are repeated.
+    Where only some tables, or values of some keys, are asked for, the others never leave the task.
     """
     shape = shape or find_shape(df, text, root)
+    only, wanted = (None if x is None else frozenset(x) for x in (tables, fields))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         repeated = shape.repeated.__contains__
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if (read := text_roots(t, root, shape)) and read[1]:
-                    for r in items(*read, repeated, with_fields):
+                    for r in items(*read, repeated, with_fields, wanted):
+                        if only is not None and r[0] not in only:
+                            continue
                         yield (k, *r[:4], list(r[4].items())) if with_fields else (k, *r[:4])
 
     names, kinds = ["key", "table_path", "child_path", "parent_path", "ordinal"], [pa.string()] * 4 + [pa.int32()]
