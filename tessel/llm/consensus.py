@@ -19,17 +19,22 @@ def annotator_name(col: Column) -> Column:
     return F.when(name != "", name)
 
 
-def verdict_name(col: Column) -> Column:
-    """A verdict in its one spelling, or null when it is none."""
-    plain = F.regexp_replace(F.upper(col), r"[^A-Z0-9]", "")
+def verdict_name(plain: Column) -> Column:
+    """A verdict in its one spelling, or null when it is none; ``plain`` is verdict_letters() of it, as a
+    column of its own, so that it is not made anew for each case."""
     number = F.regexp_extract(plain, r"(\d+)$", 1)
     return (
-        F.when(plain.rlike(r"^SUPPORTED1?$") | plain.rlike(r"^RERANK(TO)?(CANDIDATE)?1$"), "SUPPORTED_1")
+        F.when(plain.isin("SUPPORTED", "SUPPORTED1") | plain.rlike(r"^RERANK(TO)?(CANDIDATE)?1$"), "SUPPORTED_1")
         .when(plain.rlike(r"^RERANK(TO)?(CANDIDATE)?\d+$"), F.concat(F.lit("RE_RANK_TO_CANDIDATE_"), number))
         .when(plain.rlike(r"^NONE(OF.*)?CORRECT$"), "NONE_CORRECT")
     )
 
 
+def verdict_letters(col: Column) -> Column:
+    """The letters and digits of a verdict in capitals."""
+    return F.regexp_replace(F.upper(col), r"[^A-Z0-9]", "")
+
+
 def clean_votes(votes: DataFrame) -> DataFrame:
     """One row (item_id, annotator, label) per annotator of an item.
 
@@ -38,8 +43,9 @@ def clean_votes(votes: DataFrame) -> DataFrame:
     first label in string order.
     """
     kept = votes.where("item_id IS NOT NULL AND annotator IS NOT NULL AND label IS NOT NULL AND coalesce(usable, true)")
-    first = F.min(F.struct("position", "label"))
-    return kept.groupBy("item_id", "annotator").agg(first.alias("v")).select("item_id", "annotator", F.col("v.label").alias("label"))
+    per = kept.groupBy("item_id").agg(F.array_sort(F.collect_set(F.struct("annotator", "position", "label"))).alias("v"))
+    first = F.filter("v", lambda x, i: (i == 0) | (F.get("v", i - 1)["annotator"] != x["annotator"]))
+    return per.select("item_id", F.explode(first).alias("x")).select("item_id", "x.annotator", "x.label")
 
 
 class Consensus:

@@ -46,13 +46,13 @@ VOTES = Shape(frozenset({"eval_trail"}), frozenset({"model", "verdict", "logprob
 def _votes(spark: SparkSession, d: str) -> DataFrame:
     f = F.col("fields")
     text = lambda name: F.regexp_replace(f[name], '^"|"$', "")
-    a = flatten_json(table(spark, d, "mollm_decisions"), "mollm_call_id", "models", "models", shape=VOTES).where("table_path = 'models'")
+    a = flatten_json(table(spark, d, "mollm_decisions"), "mollm_call_id", "models", "models", shape=VOTES, tables=["models"], fields=["model", "verdict", "degenerate_generation"])
     a = a.select(F.col("key").alias("item_id"), text("model").alias("model"), text("verdict").alias("verdict"), F.col("ordinal").alias("position"), F.coalesce(f["degenerate_generation"] == "true", F.lit(False)).alias("bad"))
     b = table(spark, d, "mollm_tier_gate_decisions").select(F.col("mollm_call_id").alias("item_id"), F.posexplode("models").alias("position", "m"))
     b = b.select("item_id", "m.model", "m.verdict", "position", F.coalesce("m.degenerate_generation", F.lit(False)).alias("bad"))
-    return consensus.clean_votes(
-        a.unionByName(b).select("item_id", consensus.annotator_name(F.col("model")).alias("annotator"), consensus.verdict_name(F.col("verdict")).alias("label"), "position", (~F.col("bad")).alias("usable"))
-    )
+    both = a.unionByName(b).where("NOT bad AND verdict IS NOT NULL AND model IS NOT NULL")
+    both = both.select("item_id", "model", consensus.verdict_letters(F.col("verdict")).alias("plain"), "position")
+    return consensus.clean_votes(both.select("item_id", consensus.annotator_name(F.col("model")).alias("annotator"), consensus.verdict_name(F.col("plain")).alias("label"), "position", F.lit(True).alias("usable")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -113,7 +113,7 @@ def test_the_plain_weighting_equals_brute_force(spark):
 def test_votes_are_cleaned(spark):
     raw = [("i", "M-7B (q8)", "Supported-1", 1, True), ("i", "m-7b@r2", "NONE_CORRECT", 2, True), ("i", "n-3b:q4", "RERANK_TO_3", 3, True), ("i", "o", None, 4, True), ("i", "p", "None correct", 5, False), (None, "q", "x", 1, True)]
     df = spark.createDataFrame(raw, "item_id string, a string, l string, position int, usable boolean")
-    got = consensus.clean_votes(df.select("item_id", consensus.annotator_name(F.col("a")).alias("annotator"), consensus.verdict_name(F.col("l")).alias("label"), "position", "usable"))
+    got = consensus.clean_votes(df.select("item_id", consensus.annotator_name(F.col("a")).alias("annotator"), consensus.verdict_name(consensus.verdict_letters(F.col("l"))).alias("label"), "position", "usable"))
     assert rows(got, "annotator", "label") == [("m-7b", "SUPPORTED_1"), ("n-3b", "RE_RANK_TO_CANDIDATE_3")]
 
 
