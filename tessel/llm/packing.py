@@ -1,7 +1,6 @@
 """Filling fixed-capacity containers with items (problem 8)."""
 
 import base64
-import importlib.util
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -13,27 +12,29 @@ from pyspark.sql import functions as F
 from tessel.sources.tables import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-_READY: dict[str, object] = {}
+# The pattern that splits text before the merges of this vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_READY: dict[tuple[str, str], object] = {}
 
 
-def _encoder(path: str):
-    if path not in _READY:
+def _encoder(path: str, pattern: str):
+    if (path, pattern) not in _READY:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        spec = importlib.util.spec_from_file_location("vocabulary_files", path.rpartition("/")[0] + "/__init__.py")
-        files = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(files)
-        _READY[path] = tiktoken.Encoding("given", pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _READY[path]
+        _READY[path, pattern] = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _READY[path, pattern]
 
 
-def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of whole texts; null texts have no tokens and null ids give no row."""
+def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, n_tokens) of whole texts; null texts have no tokens and null ids give no row.
+
+    ``vocabulary`` is a file of merge ranks that stands at the same path on every worker.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary).encode_ordinary
+        encode = _encoder(vocabulary, pattern).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], names=["doc_id", "n_tokens"])

@@ -92,13 +92,28 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.torn_groups(_notes(spark, d))
 
 
-def p5_split(spark: SparkSession, d: str) -> DataFrame:
+def _assigned_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Each note with its component, split and rows per label."""
     rows = table(spark, d, "extracted_entities").where("note_id IS NOT NULL")
     per_note = rows.groupBy("note_id").agg(F.count("*").alias("n_rows"), *(F.count_if(F.col("entity_label") == x).alias(x) for x in LABELS))
     notes = materialize(_notes(spark, d).select("note_id", "component").join(per_note, "note_id"), "notes")
     sizes = notes.groupBy("component").agg(F.sum("n_rows").alias("n_rows"), *(F.sum(x).alias(x) for x in LABELS))
-    assigned = splits.split_components(sizes, SHARES, labels=list(LABELS))
-    return notes.join(assigned, "component").select("note_id", "component", "split", "n_rows")
+    return notes.join(splits.split_components(sizes, SHARES, labels=list(LABELS)), "component")
+
+
+def p5_split(spark: SparkSession, d: str) -> DataFrame:
+    return _assigned_notes(spark, d).select("note_id", "component", "split", "n_rows")
+
+
+def p5_deviation(spark: SparkSession, d: str) -> DataFrame:
+    """How far each split is from its share of all rows and of the rows of each label."""
+    per = _assigned_notes(spark, d).groupBy("split").agg(F.sum("n_rows").alias("all rows"), *(F.sum(x).alias(x) for x in LABELS))
+    names = ["all rows", *LABELS]
+    long = per.select("split", F.explode(F.array(*(F.struct(F.lit(n).alias("of"), F.col(f"`{n}`").alias("n")) for n in names))).alias("x")).select("split", "x.*")
+    total = long.groupBy("of").agg(F.sum("n").alias("total"))
+    wanted = F.create_map(*(F.lit(x) for kv in SHARES.items() for x in kv))[F.col("split")]
+    share = F.col("n") / F.col("total")
+    return long.join(total.where("total > 0"), "of").select("split", "of", "n", F.round(share, 6).alias("share"), wanted.alias("wanted"), F.round(share - wanted, 6).alias("deviation"))
 
 
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -163,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_split": p5_split,
     "p5_shares": p5_shares,
+    "p5_deviation": p5_deviation,
     "p8_pack": p8_pack,
     "p8_report": p8_report,
     "p9_found": p9_found,
