@@ -147,7 +147,7 @@ def union_schema(schemas: DataFrame, canonical: DataFrame) -> DataFrame:
     """(field_path, types, n_files): the fused schema, each field with all types it was seen with."""
     each = schemas.select("file_id", F.explode("fields").alias("f")).select("file_id", F.col("f.path").alias("path"), F.explode(F.split("f.types", r"\|")).alias("type"))
     return (
-        each.join(F.broadcast(canonical), "path")
+        each.join(canonical, "path")
         .groupBy("canonical_path")
         .agg(F.array_join(F.array_sort(F.collect_set("type")), "|").alias("types"), F.countDistinct("file_id").alias("n_files"))
         .withColumnRenamed("canonical_path", "field_path")

@@ -21,11 +21,12 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= k)
 
 
-def exact_link(probes: DataFrame, vocabulary: DataFrame, text: str, name: str, entry: str, k: int = 5) -> DataFrame:
-    """(probe columns, entry, rn): up to k entries whose name equals the probe's text, smallest id first."""
+def exact_link(probes: DataFrame, vocabulary: DataFrame, text: str, name: str, entry: str, k: int | None = 5) -> DataFrame:
+    """(probe columns, entry, rn): up to k entries whose name equals the probe's text, smallest id first;
+    with k None (probe columns, entry) of all of them."""
     v = vocabulary.select(entry, name_key(name).alias("_k")).where("_k <> ''").distinct()
     met = probes.withColumn("_k", name_key(text)).join(v, "_k").drop("_k")
-    return top_k(met, probes.columns, [F.col(entry)], k)
+    return met if k is None else top_k(met, probes.columns, [F.col(entry)], k)
 
 
 def _deletions(text: Column, most: int) -> Column:

@@ -98,7 +98,7 @@ def _(t: Loader):
 @query("jn03_synonym_link", f"WITH {_PROBES} SELECT DISTINCT text, c.concept_id, c.concept_name FROM p JOIN concept_synonym s ON {_KEY.format('s.concept_synonym_name')} = text JOIN concept c USING (concept_id) WHERE c.invalid_reason IS NULL")
 def _(t: Loader):
     c = t.concept.where("invalid_reason IS NULL").select("concept_id", "concept_name")
-    return lk.exact_link(_probes(t), t.concept_synonym, "text", "concept_synonym_name", "concept_id", k=1000).drop("rn").join(c, "concept_id").select("text", "concept_id", "concept_name")
+    return lk.exact_link(_probes(t), t.concept_synonym, "text", "concept_synonym_name", "concept_id", k=None).join(c, "concept_id").select("text", "concept_id", "concept_name")
 
 
 @query("jn04_relationship_walk", f"""WITH {vocabulary.REL}, r AS (SELECT * FROM relationship WHERE invalid_reason IS NULL)
