@@ -181,11 +181,21 @@ def span_id(note: Column, *parts: Column) -> Column:
     return F.concat(note, F.lit("-e"), F.substring(F.sha1(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 10))
 
 
+def table_version(rows: DataFrame, line: str) -> DataFrame:
+    """One row (n, version) that changes with any line and not with their order: a sum of digests, so no task sees all lines."""
+    digest = F.conv(F.substring(F.sha2(F.col(line), 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("version"))
+
+
+# The forms of numbers beside a mention, and how many characters are looked at.
+LAB_VALUE, NUMBER_AFTER, NUMBER_BEFORE, BESIDE = r"^\s*[<>=\-]\s*-?\d", r"^\s*\d", r"\d\s*$", 12
+
+
 def numeric_context(text: Column, start: Column, end: Column) -> Column:
     """lab_value before a comparison and number, unit_value beside a number, else null (12 characters each side)."""
-    after = F.substring(text, end + 1, F.lit(12))
-    before = F.substring(text, F.greatest(start - 11, F.lit(1)), F.least(start, F.lit(12)))
-    return F.when(after.rlike(r"^\s*[<>=\-]\s*-?\d"), "lab_value").when(after.rlike(r"^\s*\d") | before.rlike(r"\d\s*$"), "unit_value")
+    after = F.substring(text, end + 1, F.lit(BESIDE))
+    before = F.substring(text, F.greatest(start - BESIDE + 1, F.lit(1)), F.least(start, F.lit(BESIDE)))
+    return F.when(after.rlike(LAB_VALUE), "lab_value").when(after.rlike(NUMBER_AFTER) | before.rlike(NUMBER_BEFORE), "unit_value")
 
 
 def join_soft_wraps(text: Column) -> Column:

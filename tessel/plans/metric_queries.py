@@ -74,6 +74,12 @@ def _(t: Loader):
     return mx.bootstrap_rate(_co(t), "note_id", F.col("y"))
 
 
+@query("ag10_bootstrap_difference", f"""WITH {_CO}, s AS (SELECT note_id, sum(y::INT - (c >= 0.5)::INT) AS h, count(*) AS n FROM co WHERE note_id IS NOT NULL GROUP BY 1), d AS (SELECT draw, h, n, ('0x' || substr(md5('13:' || draw || ':' || note_id), 1, 8))::BIGINT / 4294967296.0 AS u FROM s, range(2000) r(draw)),
+r AS (SELECT draw, sum(({_PO}) * h) / sum(({_PO}) * n) AS r FROM d GROUP BY 1), l AS (SELECT list_sort(list(r)) AS r FROM r) SELECT (SELECT count(*) FROM s) AS n_clusters, (SELECT round(sum(h) / sum(n), 6) FROM s) AS difference, round(r[51], 6) AS low, round(r[1951], 6) AS high FROM l""")
+def _(t: Loader):
+    return mx.bootstrap_difference(_co(t), "note_id", F.col("y"), F.col("c") >= 0.5)
+
+
 _CAND = "c AS (SELECT DISTINCT entity_id, omop_concept_id AS gold, x.omop_concept_id AS id, x.similarity_score AS s FROM (SELECT entity_id, omop_concept_id, unnest(candidates) AS x FROM normalized_entities WHERE omop_concept_id IS NOT NULL) WHERE x.omop_concept_id IS NOT NULL AND x.similarity_score IS NOT NULL)"
 
 

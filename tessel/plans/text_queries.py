@@ -38,6 +38,12 @@ def _(t: Loader):
     return rows.groupBy(F.lower("original_text").alias("abbreviation")).agg(F.array_join(F.array_sort(F.collect_set("expanded_text")), "|").alias("meanings"))
 
 
+@query("tx02_dictionary_version", "WITH d AS (SELECT DISTINCT lower(original_text) || chr(9) || expanded_text AS line FROM extracted_entities WHERE length(original_text) <= 5 AND expanded_text IS NOT NULL) SELECT count(*) AS n, CAST(sum(('0x' || substr(sha256(line), 1, 12))::BIGINT) AS VARCHAR) AS version FROM d")
+def _(t: Loader):
+    rows = t.extracted_entities.where("length(original_text) <= 5 AND expanded_text IS NOT NULL")
+    return tx.table_version(rows.select(F.concat_ws("\t", F.lower("original_text"), "expanded_text").alias("line")).distinct(), "line")
+
+
 _EXPAND = {"daily": "each day", "mg": "milligrams", "left": "left-sided"}
 
 
@@ -46,7 +52,11 @@ def _(t: Loader):
     return tx.expand(t.documents, "doc_id", "text", _EXPAND).select("doc_id", "expanded")
 
 
-@query("tx06_offsets_to_original")
+_CHANGED = ", ".join(f"'{k}'" for k in _EXPAND)
+
+
+@query("tx06_offsets_to_original", f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9/]+|[^A-Za-z0-9/]+') AS w FROM documents WHERE text <> ''), l AS (SELECT doc_id, w, list_transform(w, lambda x: length(x)) AS n FROM w)
+SELECT doc_id, CAST(coalesce(list_sum(n[1:i - 1]), 0) AS INT) AS start, CAST(coalesce(list_sum(n[1:i - 1]), 0) AS INT) AS back FROM l, unnest(range(1, len(w) + 1)) u(i) WHERE lower(w[i]) IN ({_CHANGED}) AND regexp_matches(w[i], '^[A-Za-z0-9/]')""")
 def _(t: Loader):
     e = tx.expand(t.documents, "doc_id", "text", _EXPAND).withColumn("edit", F.explode("edits"))
     return e.select("doc_id", F.col("edit.start").alias("start"), tx.to_original(F.col("edits"), F.col("edit.exp_start"), False).alias("back"))
@@ -172,7 +182,8 @@ def _(t: Loader):
     return p.select("a", "b", tx.containment(F.col("b"), F.col("a")).alias("contained"))
 
 
-@query("tx27_repetition")
+@query("tx27_repetition", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}\x0B\x1c-\x1f\x85]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, len(w) AS n, list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' ')) AS g FROM w), r AS (SELECT doc_id, n, CASE WHEN len(g) > 0 THEN round(len(list_distinct(g)) / len(g), 6) END AS distinct_ratio FROM g)
+SELECT doc_id, distinct_ratio, coalesce(n >= 40 AND distinct_ratio < 0.35, false) AS loops FROM r""")
 def _(t: Loader):
     return t.documents.where("text IS NOT NULL").select("doc_id", tx.repetition(F.col("text")).alias("r")).select("doc_id", "r.distinct_ratio", "r.loops")
 
