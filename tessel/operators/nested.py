@@ -398,7 +398,20 @@ def load(tree: Tree, c: int) -> object:
 
 
 def record_objects(text: str | None, root: str, shape: Shape) -> list[dict] | None:
-    """The items of a record as Python objects; None when it is unreadable or has no array."""
+    """The items of a record as Python objects; None when it is unreadable or has no array.
+
+    A plain record, an array or an object that holds the only ``root``, is read in one go.
+    """
+    if text and text.count(f'"{root}"') <= 1:
+        try:
+            value = json.loads(text)
+        except ValueError:
+            return None
+        except RecursionError:
+            value = None
+        value = value.get(root) if isinstance(value, dict) else value
+        if isinstance(value, list):
+            return [x for x in value if isinstance(x, dict)]
     read = text_roots(text, root, shape)
     if read is None or not read[1]:
         return None
