@@ -374,6 +374,23 @@ def flatten_json(df: DataFrame, key: Column | str, text: Column | str, root: str
     return _source(df, key, text).mapInArrow(lambda batches: _in_batches(names, kinds, rows(batches)), schema)
 
 
+def root_items(df: DataFrame, key: Column | str, text: Column | str, root: str, fields: Iterable[str], shape: Shape | None = None) -> DataFrame:
+    """(key, items): each record's outermost objects as one array of (ordinal, fields), with the values of
+    the keys asked for, for records whose objects are wanted together. Otherwise like flatten_json."""
+    shape, wanted = shape or find_shape(df, text, root), frozenset(fields)
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if (read := text_roots(t, root, shape)) and read[1]:
+                    own = [{"ordinal": r[3], "fields": list(r[4].items())} for r in items(*read, shape.repeated.__contains__, True, wanted) if r[0] == root]
+                    if own:
+                        yield k, own
+
+    item = pa.struct([("ordinal", pa.int32()), ("fields", pa.map_(pa.string(), pa.string()))])
+    return _source(df, key, text).mapInArrow(lambda batches: _in_batches(["key", "items"], [pa.string(), pa.list_(item)], rows(batches)), "key string, items array<struct<ordinal:int,fields:map<string,string>>>")
+
+
 def load(tree: Tree, c: int) -> object:
     """A container as Python objects, however deep it is."""
     try:

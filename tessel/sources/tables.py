@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; only a local session without one, as in tests, gets an own temporary one."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if not (sc.master == "local" or sc.master.startswith("local[")):
