@@ -43,9 +43,24 @@ def clean_votes(votes: DataFrame) -> DataFrame:
     first label in string order.
     """
     kept = votes.where("item_id IS NOT NULL AND annotator IS NOT NULL AND label IS NOT NULL AND coalesce(usable, true)")
-    per = kept.groupBy("item_id").agg(F.array_sort(F.collect_set(F.struct("annotator", "position", "label"))).alias("v"))
+    return each_vote(clean_ballots(kept.select("item_id", F.array(F.struct("annotator", "position", "label")).alias("votes"))))
+
+
+def clean_ballots(ballots: DataFrame) -> DataFrame:
+    """One row (item_id, votes) per item, votes being (annotator, label) in the annotators' order.
+
+    ballots: (item_id, votes), votes being (annotator, position, label) without nulls but positions,
+    several rows per item if it was delivered several times. Equal deliveries are folded before they move.
+    """
+    per = ballots.where("item_id IS NOT NULL AND size(votes) > 0").groupBy("item_id").agg(F.collect_set("votes").alias("v"))
+    per = per.select("item_id", F.array_sort(F.array_distinct(F.flatten("v"))).alias("v"))
     first = F.filter("v", lambda x, i: (i == 0) | (F.get("v", i - 1)["annotator"] != x["annotator"]))
-    return per.select("item_id", F.explode(first).alias("x")).select("item_id", "x.annotator", "x.label")
+    return per.select("item_id", F.transform(first, lambda x: F.struct(x["annotator"].alias("annotator"), x["label"].alias("label"))).alias("votes"))
+
+
+def each_vote(ballots: DataFrame) -> DataFrame:
+    """(item_id, annotator, label) of clean ballots."""
+    return ballots.select("item_id", F.explode("votes").alias("x")).select("item_id", "x.annotator", "x.label")
 
 
 class Consensus:
@@ -100,7 +115,7 @@ def weigh_votes(
     max_rounds: int = 100,
     most: int = 10_000,
 ) -> Consensus:
-    """Iteratively reweighted voting over clean votes (item_id, annotator, label).
+    """Iteratively reweighted voting over clean votes (item_id, annotator, label), or ballots (item_id, votes).
 
     In turn, each item's consensus is the label of the largest summed weight, and each annotator's
     accuracy is measured, smoothed, against the weighted vote of the others, without the own vote,
@@ -123,7 +138,7 @@ def weigh_votes(
     labels and annotators. Ties go to the label more common in the consensus, then in string order.
     An item of one vote gets that vote and teaches nothing about its annotator. No votes give no rows.
     """
-    pattern = votes.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("annotator", "label"))).alias("votes"))
+    pattern = votes if "votes" in votes.columns else votes.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("annotator", "label"))).alias("votes"))
     pattern = materialize(pattern.withColumn("pattern", F.md5(F.to_json("votes"))), "ballots")
     each = materialize(pattern.groupBy("pattern").agg(F.first("votes").alias("votes"), F.count("*").alias("n")), "patterns")
     used = each.select("n", F.explode("votes").alias("v")).groupBy("v.annotator", "v.label").agg(F.sum("n").alias("n")).limit(most * 10 + 1).collect()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import confusables, consensus, leakage, mapping, packing, splits
-from tessel.operators.nested import Shape, flatten_json
+from tessel.operators.nested import Shape, root_items
 from tessel.sources.tables import materialize, table
 
 # What the labels of mentions are called in the reference list.
@@ -44,15 +44,14 @@ VOTES = Shape(frozenset({"eval_trail"}), frozenset({"model", "verdict", "logprob
 
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:
-    f = F.col("fields")
-    text = lambda name: F.regexp_replace(f[name], '^"|"$', "")
-    a = flatten_json(table(spark, d, "mollm_decisions"), "mollm_call_id", "models", "models", shape=VOTES, tables=["models"], fields=["model", "verdict", "degenerate_generation"])
-    a = a.select(F.col("key").alias("item_id"), text("model").alias("model"), text("verdict").alias("verdict"), F.col("ordinal").alias("position"), F.coalesce(f["degenerate_generation"] == "true", F.lit(False)).alias("bad"))
-    b = table(spark, d, "mollm_tier_gate_decisions").select(F.col("mollm_call_id").alias("item_id"), F.posexplode("models").alias("position", "m"))
-    b = b.select("item_id", "m.model", "m.verdict", "position", F.coalesce("m.degenerate_generation", F.lit(False)).alias("bad"))
-    both = a.unionByName(b).where("NOT bad AND verdict IS NOT NULL AND model IS NOT NULL")
-    both = both.select("item_id", "model", consensus.verdict_letters(F.col("verdict")).alias("plain"), "position")
-    return consensus.clean_votes(both.select("item_id", consensus.annotator_name(F.col("model")).alias("annotator"), consensus.verdict_name(F.col("plain")).alias("label"), "position", F.lit(True).alias("usable")))
+    text = lambda v: F.regexp_replace(v, '^"|"$', "")
+    vote = lambda model, verdict, at, bad: F.struct(model.alias("model"), consensus.verdict_letters(verdict).alias("plain"), at.alias("position"), F.coalesce(bad, F.lit(False)).alias("bad"))
+    a = root_items(table(spark, d, "mollm_decisions"), "mollm_call_id", "models", "models", ["model", "verdict", "degenerate_generation"], VOTES)
+    a = a.select(F.col("key").alias("item_id"), F.transform("items", lambda x: vote(text(x["fields"]["model"]), text(x["fields"]["verdict"]), x["ordinal"], x["fields"]["degenerate_generation"] == "true")).alias("v"))
+    b = table(spark, d, "mollm_tier_gate_decisions").select(F.col("mollm_call_id").alias("item_id"), F.transform("models", lambda m, i: vote(m["model"], m["verdict"], i, m["degenerate_generation"])).alias("v"))
+    named = F.transform(F.filter("v", lambda x: ~x["bad"] & x["plain"].isNotNull()), lambda x: F.struct(consensus.annotator_name(x["model"]).alias("annotator"), x["position"].alias("position"), consensus.verdict_name(x["plain"]).alias("label")))
+    ballots = a.unionByName(b).select("item_id", named.alias("votes")).select("item_id", F.filter("votes", lambda x: x["annotator"].isNotNull() & x["label"].isNotNull()).alias("votes"))
+    return consensus.clean_ballots(ballots)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +76,7 @@ def p4_weightings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.chance_corrected(_votes(spark, d))
+    return consensus.chance_corrected(consensus.each_vote(_votes(spark, d)))
 
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
