@@ -137,7 +137,8 @@ POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406)
 
 def _draws(sums: DataFrame, cluster: str, draws: int, seed: int, rate: Column) -> DataFrame:
     """One row (low, high): percentile interval of ``rate``, an aggregate over w, over the draws of the clusters."""
-    each = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    spread = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few clusters still make many draws
+    each = sums.repartition(spread, cluster).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(cluster).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     weight = F.lit(len(POISSON))
     for i in reversed(range(len(POISSON))):
