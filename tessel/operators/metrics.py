@@ -140,9 +140,10 @@ def _draws(sums: DataFrame, cluster: str, draws: int, seed: int, rate: Column) -
     spread = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few clusters still make many draws
     each = sums.repartition(spread, cluster).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(cluster).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    each = each.withColumn("_u", u)  # a column of its own, so that the digest is made once for all cases
     weight = F.lit(len(POISSON))
     for i in reversed(range(len(POISSON))):
-        weight = F.when(u < POISSON[i], i).otherwise(weight)
+        weight = F.when(F.col("_u") < POISSON[i], i).otherwise(weight)
     drawn = each.withColumn("w", weight).groupBy("draw").agg(rate.alias("r"))
     lo, hi = int(0.025 * draws), min(draws - 1, int(0.975 * draws))
     return drawn.agg(F.array_sort(F.collect_list("r")).alias("r")).select(F.round(F.col("r")[lo], 6).alias("low"), F.round(F.col("r")[hi], 6).alias("high"))
