@@ -2,8 +2,10 @@
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,11 +31,11 @@ def window_around(sentences: list[tuple[int, int]], size: int, start: int, end:
     if right - left < least:
         left, right = sentences[max(own - 1, 0)][0], sentences[min(own + 1, len(sentences) - 1)][1]
         basis = "sentence+neighbours"
-    over = right - left - most
-    if over > 0:
-        room = max(0, start - left), max(0, right - end)
-        cut = min(room[0], over * room[0] // max(1, sum(room)))
-        left, right = left + cut, right - min(room[1], over - cut)
+    before, behind = max(0, start - left), max(0, right - end)
+    over = min(right - left - most, before + behind)
+    if right - left > most:
+        cut = over * before // (before + behind) if over > 0 else 0
+        left, right = left + cut, right - max(0, over - cut)
         basis += "+trimmed"
     return left, right, own, basis
 
@@ -43,8 +45,6 @@ def local_contexts(df: DataFrame, key: str, text: str, terms: list[str], least:
 
     A text is cut into sentences once for all its mentions. Null texts and keys give no row.
     """
-    from bisect import bisect_right
-
     find_terms = term_finder(terms)
 
     def find(t: str) -> Iterator[tuple]:
@@ -123,20 +123,24 @@ def spelled_confidence(tokens: pd.Series, said: pd.Series) -> pd.Series:
     run is not there or there is nothing to look for.
     """
 
+    blank = ' \t\r\n"'
+
     def one(run, target):
         target = (target or "").strip()
         if run is None or not len(run) or not target:
             return None
-        for i in range(len(run)):
-            text, total = "", 0.0
-            for j in range(i, min(i + 24, len(run))):
-                text += run[j]["token"] or ""
-                total += run[j]["logprob"]
-                spelled = text.strip().strip('"').strip()
-                if spelled == target:
-                    return round(math.exp(total / (j - i + 1)), 6)
-                if len(spelled) > len(target) + 4:
-                    break
+        pieces = [t["token"] or "" for t in run]
+        ends = list(accumulate(map(len, pieces)))
+        starts = [e - len(p) for e, p in zip(ends, pieces)]
+        text = "".join(pieces)
+        at = text.find(target)
+        while at >= 0:
+            stop = at + len(target)
+            i = bisect_left(starts, len(text[:at].rstrip(blank)))  # the first token with nothing but blanks before the verdict
+            j = bisect_left(ends, stop)
+            if i < len(starts) and starts[i] <= at and not text[stop : ends[j]].strip(blank) and j - i < 24:
+                return round(math.exp(sum(t["logprob"] for t in run[i : j + 1]) / (j + 1 - i)), 6)
+            at = text.find(target, at + 1)
         return None
 
     return tokens.combine(said, one)
@@ -153,9 +157,9 @@ def recovered_excerpt(quote: str, source: str, least: int = 40, reach: int = 200
     if n < least:
         return None
     end = start + n
-    dot = source.rfind(".", max(0, start - reach), start)
-    stop = source.find(".", end, end + reach)
-    return source[dot + 1 if dot >= 0 else max(0, start - 40) : stop + 1 if stop >= 0 else end + 40].strip()
+    _, opened, lead = source[max(0, start - reach) : start].rpartition(".")
+    rest, closed, _ = source[end : end + reach].partition(".")
+    return source[start - len(lead) if opened else max(0, start - 40) : end + (len(rest) + 1 if closed else 40)].strip()
 
 
 @F.pandas_udf(T.StringType())

@@ -193,3 +193,11 @@ def latency_summary(df: DataFrame, value: str, by: str) -> DataFrame:
     counts = counts.join(before, by).withColumn("upto", F.col("upto") - F.col("before"))
     p95 = counts.join(n.select(by, "n"), by).where(F.col("upto") > F.floor(F.lit(0.95) * (F.col("n") - 1) + 0.5)).groupBy(by).agg(F.min(value).alias("p95"))
     return n.join(p95, by).select(by, "n", "mean", F.round("p50", 6).alias("p50"), "p95", "most")
+
+
+def approximate_profile(df: DataFrame, by: str, key: str, value: str) -> DataFrame:
+    """(by, n_keys, median): distinct keys by a HyperLogLog sketch and the median by a quantile sketch.
+
+    Sketches of partitions are merged, so no task sees all keys or values; the error is about 1 %.
+    """
+    return df.groupBy(by).agg(F.approx_count_distinct(key, 0.01).alias("n_keys"), F.percentile_approx(value, 0.5, 10_000).alias("median"))

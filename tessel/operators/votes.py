@@ -68,3 +68,18 @@ def allowed_pairs(head: str, tail: str, allowed: dict[str, list[str]]) -> Column
 def pair_hash(number: Column, text: Column) -> Column:
     """Sixteen digits of the SHA-256 of [[number, "text"]]."""
     return F.substring(F.sha2(F.concat(F.lit("[["), number.cast("string"), F.lit(', "'), text, F.lit('"]]')), 256), 1, 16)
+
+
+def notes_of_split(splits: DataFrame, available: DataFrame, split: str = "val", unlock: bool = False, names: tuple[str, ...] = ("train", "val", "test", "all")) -> DataFrame:
+    """(note_id, available): the notes of a split and whether there is data for them.
+
+    splits: (note_id, split). The test split, and all splits together, are only given with ``unlock``;
+    an unknown split is an error. Both are refused before anything runs.
+    """
+    if split not in names:
+        raise ValueError(f"unknown split: {split}")
+    if split in ("test", "all") and not unlock:
+        raise PermissionError(f"the {split} split is held out")
+    wanted = (splits if split == "all" else splits.where(F.col("split") == split)).select("note_id").distinct()
+    have = available.select("note_id").where("note_id IS NOT NULL").distinct().withColumn("_have", F.lit(True))
+    return wanted.join(have, "note_id", "left").select("note_id", F.col("_have").isNotNull().alias("available"))

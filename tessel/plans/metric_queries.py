@@ -153,6 +153,15 @@ def _(t: Loader):
     return mx.latency_summary(t.hitl_review_queue.where("reviewer_decision IS NOT NULL"), "review_duration", "reviewer_decision")
 
 
+@query("ag26_approximate_profile", "SELECT entity_label, count(DISTINCT entity_id) AS n_exact, true AS keys_near, true AS median_near FROM extracted_entities WHERE entity_label IS NOT NULL AND confidence IS NOT NULL GROUP BY 1")
+def _(t: Loader):
+    rows = t.extracted_entities.where("entity_label IS NOT NULL AND confidence IS NOT NULL")
+    exact = rows.groupBy("entity_label").agg(F.countDistinct("entity_id").alias("n_exact"), F.expr("percentile(confidence, 0.5)").alias("exact"))
+    both = mx.approximate_profile(rows, "entity_label", "entity_id", "confidence").join(exact, "entity_label")
+    near = lambda a, b, by: F.abs(F.col(a) / F.col(b) - 1) < by
+    return both.select("entity_label", "n_exact", near("n_keys", "n_exact", 0.05).alias("keys_near"), near("median", "exact", 0.01).alias("median_near"))
+
+
 @query("ag23_unnest_ids", "SELECT DISTINCT x.omop_concept_id AS concept_id FROM (SELECT unnest(candidates) AS x FROM normalized_entities) WHERE x.omop_concept_id IS NOT NULL")
 def _(t: Loader):
     return t.normalized_entities.select(F.explode("candidates.omop_concept_id").alias("concept_id")).where("concept_id IS NOT NULL").distinct()
@@ -250,4 +259,11 @@ def _(t: Loader):
     return t.concept.select("concept_id", vt.pair_hash(F.col("concept_id"), F.col("domain_id")).alias("candidates_hash"))
 
 
+@query("dc19_holdout_guard", "WITH s AS (SELECT note_id, CASE WHEN bool_or(is_test) THEN 'test' ELSE 'val' END AS split FROM extracted_entities WHERE note_id IS NOT NULL GROUP BY 1), d AS (SELECT DISTINCT note_id FROM mollm_decisions WHERE note_id IS NOT NULL) SELECT note_id, note_id IN (SELECT note_id FROM d) AS available FROM s WHERE split = 'val'")
+def _(t: Loader):
+    split = F.when(F.coalesce(F.max("is_test"), F.lit(False)), "test").otherwise("val")
+    table = t.extracted_entities.where("note_id IS NOT NULL").groupBy("note_id").agg(split.alias("split"))
+    return vt.notes_of_split(table, t.mollm_decisions.select("note_id"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -4,6 +4,7 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
+from tessel.functions.registered import register
 from tessel.operators import text as tx
 from tessel.operators.linking import top_k
 from tessel.operators.nested import flat_table
@@ -32,6 +33,13 @@ def _(t: Loader):
     return tx.sections(t.documents, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query("tx01_sections_in_sql", r"SELECT doc_id, len(regexp_extract_all(text, '(?m)^[ \t]*([A-Z][A-Za-z0-9 /\-''&.]{2,45}?):')) AS n FROM documents WHERE regexp_matches(text, '(?m)^[ \t]*([A-Z][A-Za-z0-9 /\-''&.]{2,45}?):')")
+def _(t: Loader):
+    register(t.spark)
+    t.documents.createOrReplaceTempView("tessel_documents")
+    return t.spark.sql("SELECT doc_id, count(*) AS n FROM tessel_documents, LATERAL sections_of(text) GROUP BY doc_id")
+
+
 @query("tx02_abbreviation_table", "SELECT lower(original_text) AS abbreviation, array_to_string(list_sort(list_distinct(list(expanded_text))), '|') AS meanings FROM extracted_entities WHERE length(original_text) <= 5 AND expanded_text IS NOT NULL GROUP BY 1")
 def _(t: Loader):
     rows = t.extracted_entities.where("length(original_text) <= 5 AND expanded_text IS NOT NULL")

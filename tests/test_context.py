@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessel.operators import context as cx
-from tessel.operators import linking, maintain
+from tessel.functions import registered
+from tessel.operators import linking, maintain, votes
 from tessel.operators.text import containment
 from tessel.sources import readers
 
@@ -54,8 +55,8 @@ def test_growth_takes_the_fewest_words_left_first(spark):
 
 def test_confidence_of_the_tokens_that_spell_the_verdict(spark):
     tokens = [("{", -5.0), ('"', -0.1), ("SUP", -0.2), ("PORTED", -0.4), ('"', -7.0), ("x", -1.0)]
-    df = spark.createDataFrame([(tokens, "SUPPORTED"), (tokens, "NONE"), ([], "X"), (None, "X"), (tokens, None)], "t array<struct<token:string,logprob:double>>, v string")
-    assert [r[0] for r in df.select(cx.spelled_confidence("t", "v")).collect()] == [round(math.exp(-0.7 / 3), 6), None, None, None, None]
+    df = spark.createDataFrame([(tokens, "SUPPORTED"), (tokens, "NONE"), ([], "X"), (None, "X"), (tokens, None), ([("so SUPPORTED", -1.0)], "SUPPORTED"), ([(" NO", -1.0), ("NE", -2.0)], "NONE")], "t array<struct<token:string,logprob:double>>, v string")
+    assert [r[0] for r in df.select(cx.spelled_confidence("t", "v")).collect()] == [round(math.exp(-0.7 / 3), 6), None, None, None, None, None, round(math.exp(-1.5), 6)]
 
 
 def test_excerpts_and_citations(spark):
@@ -106,6 +107,22 @@ def test_files(spark, tmp_path):
     assert maintain.write_status(path, "j", 0, 5, 1.0)["eta_s"] is None
 
 
+def test_held_out_splits_are_refused(spark):
+    splits = spark.createDataFrame([("a", "val"), ("b", "test"), ("c", "val")], "note_id string, split string")
+    have = spark.createDataFrame([("a",), ("a",), (None,)], "note_id string")
+    assert rows(votes.notes_of_split(splits, have)) == [("a", True), ("c", False)]
+    assert rows(votes.notes_of_split(splits, have, "test", unlock=True)) == [("b", False)]
+    for name, kind in (("test", PermissionError), ("all", PermissionError), ("odd", ValueError)):
+        with pytest.raises(kind):
+            votes.notes_of_split(splits, have, name)
+
+
+def test_sections_in_sql(spark):
+    registered.register(spark)
+    spark.createDataFrame([(1, "Plan:\nrest\nHistory Of: x"), (2, None), (3, "none")], "id int, text string").createOrReplaceTempView("some_texts")
+    assert rows(spark.sql("SELECT id, s.* FROM some_texts, LATERAL sections_of(text) s")) == [(1, "History Of", 11, 22, 24), (1, "Plan", 0, 5, 11)]
+
+
 def test_tables_that_grow(spark, tmp_path):
     path = str(tmp_path / "t")
     assert maintain.ensure_table(spark, path, {"a": ("int", None)}).count() == 0
