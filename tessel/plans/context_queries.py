@@ -20,7 +20,7 @@ def _(t: Loader):
     return cx.local_contexts(t.documents, "doc_id", "text", ["acute", "chronic"])
 
 
-GUARDED = [cx.Guarded("mg", "Dose", before=r"\d\s*"), cx.Guarded("serum", "Lab Test", after=r"\s+\w"), cx.Guarded("acute", "Condition", before=r"(?:^|\n)[ \t]*"), cx.Guarded("daily", "Frequency")]
+GUARDED = [cx.Guarded("mg", "Dose", before=r"[0-9]\s*"), cx.Guarded("serum", "Lab Test", after=r"\s+\w"), cx.Guarded("acute", "Condition", before=r"(?:^|\n)[ \t]*"), cx.Guarded("daily", "Frequency")]
 
 
 @query("tx13_guarded_terms", f"""WITH {mentions_sql([g.term for g in GUARDED])}, c AS (SELECT *, substr(text, greatest(start - 39, 1), least(start, 40)) AS before, substr(text, start + length(term) + 1, 40) AS after FROM m)

@@ -45,7 +45,7 @@ def _(t: Loader):
     return sp.containing(e.where("exp_start IS NOT NULL").select("note_id", "exp_start").distinct(), spans, "note_id", "exp_start", "section_start")
 
 
-_ISLANDS = """, m{x} AS (SELECT *, max(e) OVER (PARTITION BY note_id, entity_label ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM {x}), n{x} AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p THEN 1 ELSE 0 END) OVER (PARTITION BY note_id, entity_label ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m{x}),
+_ISLANDS = """, m{x} AS (SELECT *, max(e) OVER (PARTITION BY note_id, entity_label ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM (SELECT DISTINCT note_id, entity_label, s, e FROM {x})), n{x} AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p THEN 1 ELSE 0 END) OVER (PARTITION BY note_id, entity_label ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m{x}),
 i{x} AS (SELECT note_id, entity_label, i, min(s) AS s, max(e) AS e FROM n{x} WHERE entity_label IS NOT NULL GROUP BY ALL)"""
 _IOU = f"WITH {_A}" + _ISLANDS.format(x="a") + _ISLANDS.format(x="b") + """, ca AS (SELECT entity_label, sum(e - s) AS a FROM ia GROUP BY 1), cb AS (SELECT entity_label, sum(e - s) AS b FROM ib GROUP BY 1),
 ci AS (SELECT ia.entity_label, sum(least(ia.e, ib.e) - greatest(ia.s, ib.s)) AS i FROM ia JOIN ib ON ia.note_id = ib.note_id AND ia.entity_label = ib.entity_label AND ia.s < ib.e AND ia.e > ib.s GROUP BY 1),
