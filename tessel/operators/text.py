@@ -313,7 +313,7 @@ def repetition(text: Column, n: int = 6, least: int = 40) -> Column:
         for t in texts:
             words = (t or "").lower().split()
             grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
-            ratio = round(len(set(grams)) / len(grams), 6) if grams else None
+            ratio = int(len(set(grams)) / len(grams) * 1e6 + 0.5) / 1e6 if grams else None
             out.append((ratio, ratio is not None and len(words) >= least and ratio < 0.35))
         return pd.DataFrame(out, columns=["distinct_ratio", "loops"])
 
